@@ -137,7 +137,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     numbered = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.char_length(text_of()).cast("long").alias("n_points"), text_of().alias("text"))
     prints = stage(numbered.mapInArrow(_fingerprints, "doc_id long, row long, n_points long, n_bytes long, print_a long, print_b long, text_sha256 string"), "prints")
     groups = prints.groupBy(*KEY).agg(F.count("*").alias("n_rows"))
-    bad = collisions(docs, groups).withColumn("collides", F.lit(True))
+    bad = checked_broadcast(stage(collisions(docs, groups).withColumn("collides", F.lit(True)), "collisions"))
     split = prints.join(bad, KEY, "left").withColumn("split", F.when(F.col("collides"), F.col("text_sha256")).otherwise(""))
     best = F.struct((-F.col("n_points")).alias("less"), "doc_id", "row")
     kept = split.groupBy(*KEY, "split").agg(F.count("*").alias("group_size"), F.min(best).alias("best"))

@@ -7,9 +7,13 @@ followed by a harming verb), *target* (second person), *negation* and
 *reported speech* (both change what follows in the clause). The path's end
 state names the clause's class; a clause that has an insult or a threat is a
 match and scores the weight of its strongest arc in each transducer times the
-reliability of its class, which is learned too. A document's score is the
-logistic sum of its matched clauses over the share of toxic rows, so isolated
-words without a match never count.
+reliability of its class, which is learned too. An insult arc weighs
+``log(1 + ratio / words)``: how often toxic rows have it beyond chance, over
+how often a clean text of the document's length would. A document's score is
+the logistic sum of its matched clauses, calibrated on the labelled rows; isolated
+words without a match never count. Rows count for an arc only as far as its
+neighbours differ, so that copies of one toxic text don't make insults of all
+its words.
 
 The lexicon is fitted on at most ``TRAIN_ROWS`` labelled rows, drawn by hash
 over the whole table, which also bounds what reaches the driver. Scores see
@@ -22,14 +26,16 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.shared import checked_broadcast, text_of
+from loomery.llm.shared import checked_broadcast, text_of, word_count
 
 TRAIN_ROWS = 200_000
 #: Rows of prior belief that an arc or class starts from, and least toxic rows of an arc.
@@ -43,7 +49,7 @@ REPORTED = frozenset("said says called quoted reported wrote claimed allegedly s
 INTENTIONS = frozenset("will gonna going shall werde werden vais allons voy vamos".split())
 HARMS = frozenset("kill hurt destroy beat stab shoot burn töten schlagen verletzen tuer frapper brûler matar golpear quemar".split())
 #: Prior reliability of a class by what modifies the clause.
-PLAIN, NEGATED, QUOTED, THREAT_WEIGHT, TARGET_GAIN = 0.9, 0.4, 0.5, 3.0, 1.1
+PLAIN, TARGETED, NEGATED, QUOTED, THREAT_WEIGHT = 0.9, 0.93, 0.4, 0.5, 3.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;:,\n]+")
@@ -55,14 +61,17 @@ def arcs_of(word: str) -> list[str]:
 
 
 class Grammar:
-    """Weights of insult arcs by label, reliability by class, log-odds of the prior."""
+    """Ratios of insult arcs by label, reliability by class, log-odds of the prior."""
 
     def __init__(self, arcs: dict[str, float], prior: float = 0.1, reliability: dict[int, float] | None = None):
         self.arcs, self.bias, self.reliability = arcs, math.log(prior / (1 - prior)), reliability or {}
+        self.slope, self.shift = 1.0, self.bias
         self.heads = {a[:4].rstrip("*") for a in arcs} | {h[:4] for h in HARMS}
 
-    def match(self, clause: str) -> tuple[int, float] | None:
-        """(class, weight) of a lower-cased clause, or None. Class bits: negated, reported, target, threat."""
+    def match(self, clause: str, words: int) -> tuple[int, float] | None:
+        """(class, weight) of a lower-cased clause of a text with so many words, or None.
+
+        Class bits: negated, reported, target, threat."""
         negated = reported = target = intends = threat = 0
         insult, marked = 0.0, 0
         for word in _WORD.findall(clause):
@@ -81,30 +90,36 @@ class Grammar:
                 threat, marked = 1, marked | negated | reported << 1
         if not insult and not threat:
             return None
-        return marked | target << 2 | threat << 3, insult + threat * THREAT_WEIGHT
+        return marked | target << 2 | threat << 3, math.log1p(insult / words) + threat * THREAT_WEIGHT
 
     def matches(self, text: str) -> list[tuple[int, float]]:
-        if not self.heads.intersection({w[:4] for w in _WORD.findall(text)}):
+        found = _WORD.findall(text)
+        if not self.heads.intersection({w[:4] for w in found}):
             return []
-        return [m for m in map(self.match, _CLAUSE.split(text)) if m]
+        return [m for c in dict.fromkeys(_CLAUSE.split(text)) if (m := self.match(c, len(found)))]  # a repeated clause counts once
 
     def factor(self, kind: int) -> float:
-        r = min(max(self.reliability.get(kind, prior_reliability(kind)), 0.05), 0.99)
-        return max(0.0, math.log(r / (1 - r)) / math.log(PLAIN / (1 - PLAIN))) * (TARGET_GAIN if kind & 4 else 1.0)
+        """Evidence of a class over that of the plain one."""
+        odds = lambda k: math.log((r := min(max(self.reliability.get(k, prior_reliability(k)), 0.02), 0.98)) / (1 - r)) - self.bias
+        return min(max(odds(kind) / odds(0), 0.0), 1.25) if odds(0) > 0 else 1.0
+
+    def total(self, text: str) -> float:
+        return sum(weight * self.factor(kind) for kind, weight in self.matches(text.lower()))
 
     def score(self, text: str | None) -> float:
-        total = self.bias + sum(weight * self.factor(kind) for kind, weight in self.matches((text or "").lower()))
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, total))))
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.shift + self.slope * self.total(text or "")))))
 
 
 def prior_reliability(kind: int) -> float:
-    return min(NEGATED if kind & 1 else PLAIN, QUOTED if kind & 2 else PLAIN)
+    """By what modifies the clause; a target adds to what an unmodified one has."""
+    return min(NEGATED if kind & 1 else PLAIN, QUOTED if kind & 2 else PLAIN) if kind & 3 else TARGETED if kind & 4 else PLAIN
 
 
-def log_odds(toxic: float, clean: float, prior: float) -> float:
-    """Shrunken log-odds of a label less the prior's."""
-    p = (toxic + PRIOR_ROWS * prior) / (toxic + clean + PRIOR_ROWS)
-    return math.log(p / (1 - p)) - math.log(prior / (1 - prior))
+def arc_ratio(toxic: int, clean: int, rows: dict[int, int], words: dict[int, int]) -> float:
+    """Of an arc in so many toxic and clean rows: what a toxic row has of it beyond
+    chance, over its (shrunken) rate per word of clean text."""
+    rate = (clean + PRIOR_ROWS / 2) / max(words[0], 1)
+    return max(0.0, toxic - rate * words[1]) / rows[1] / rate
 
 
 def surprise(toxic: int, clean: int, prior: float) -> float:
@@ -113,25 +128,43 @@ def surprise(toxic: int, clean: int, prior: float) -> float:
     return 2 * sum(k * math.log(k / (n * p)) for k, p in ((toxic, prior), (clean, 1 - prior)) if k)
 
 
-def _count_arcs(wanted: frozenset[str] | None):
+def _toxic_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that have an arc, and a bitmap of the neighbours that its words stand between."""
+    for batch in batches:
+        rows: Counter[str] = Counter()
+        places: dict[str, int] = {}
+        for text in batch.column("text"):
+            words = _WORD.findall(text.as_py().lower())
+            seen: dict[str, int] = {}
+            for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+                bit = 1 << (zlib.crc32(f"{before} {after}".encode()) & 63)
+                for a in arcs_of(word):
+                    seen[a] = seen.get(a, 0) | bit
+            rows.update(seen.keys())
+            for a, bits in seen.items():
+                places[a] = places.get(a, 0) | bits
+        masks = np.array(list(map(places.__getitem__, rows)), np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), pa.array(rows.values(), pa.int64()), pa.array(masks)], ["arc", "n", "places"])
+
+
+def spread(rows: int, places: int) -> int:
+    """Rows of an arc that stand for different passages: no more than the
+    neighbours it was seen with (linear counting; copies repeat theirs)."""
+    free = 64 - (places & (1 << 64) - 1).bit_count()
+    return min(rows, round(64 * math.log(64 / free))) if free else rows
+
+
+def _clean_arcs(wanted: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
         for batch in batches:
+            counts: Counter[str] = Counter()
             for text in batch.column("text"):
-                seen = {a for w in set(_WORD.findall(text.as_py().lower())) for a in arcs_of(w)}
-                counts.update(seen if wanted is None else seen & wanted)
-                if len(counts) > 500_000:
-                    yield _count_batch(counts)
-                    counts.clear()
-        yield _count_batch(counts)
+                counts.update({a for w in set(_WORD.findall(text.as_py().lower())) for a in arcs_of(w)} & wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["arc", "n"])
 
     return run
 
 
-def _count_batch(counts: Counter[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["arc", "n"])
-
-
 def _count_classes(grammar: Grammar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[int, int]] = Counter()
@@ -144,6 +177,34 @@ def _count_classes(grammar: Grammar):
     return run
 
 
+def _count_totals(grammar: Grammar):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[int, int]] = Counter()
+        for batch in batches:
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                counts[min(round(4 * grammar.total(text.as_py())), 160), toxic] += 1
+        rows = [(k, t, n) for (k, t), n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["kind", "toxic", "n"])
+
+    return run
+
+
+def calibrate(seen: dict[tuple[int, int], int], slope: float, bias: float) -> tuple[float, float]:
+    """Slope and bias of a logistic regression on totals in steps of a quarter,
+    by Newton's method, with PRIOR_ROWS of pull towards the given ones."""
+    x, y, n = np.array([(k / 4, t, c) for (k, t), c in seen.items()], float).T
+    start = now = np.array([slope, bias])
+    design = np.stack([x, np.ones_like(x)], 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ now, -40, 40)))
+        gradient = design.T @ (n * (y - p)) - PRIOR_ROWS * (now - start)
+        step = np.linalg.solve(design.T @ (design * (n * p * (1 - p))[:, None]) + PRIOR_ROWS * np.eye(2), gradient)
+        now = now + np.clip(step, -1, 1)
+        if abs(step).max() < 1e-9:
+            break
+    return max(float(now[0]), 0.05), float(now[1])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic of the labelled rows that may be learned from, at most about TRAIN_ROWS."""
     usable = labels.filter("toxic is not null and doc_id is not null").filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
@@ -156,22 +217,28 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     rows = training_rows(docs, labels)
-    n = {r["toxic"]: r["count"] for r in rows.select("toxic").groupBy("toxic").count().collect()}
+    sums = rows.groupBy("toxic").agg(F.count("*"), F.sum(word_count())).collect()
+    n, words = {r[0]: r[1] for r in sums}, {r[0]: r[2] for r in sums}
     if not n.get(0) or not n.get(1):
         return Grammar({})
     prior = n[1] / (n[0] + n[1])
-    count = lambda kind, wanted: rows.filter(F.col("toxic") == kind).select("text").mapInArrow(_count_arcs(wanted), "arc string, n long").groupBy("arc").agg(F.sum("n").alias("n"))
-    toxic = dict(count(1, None).filter(F.col("n") >= LEAST_ROWS).collect())  # bounded by TRAIN_ROWS
-    clean = dict(count(0, frozenset(toxic)).collect())
+    text = lambda kind: rows.filter(F.col("toxic") == kind).select("text")
+    found = text(1).mapInArrow(_toxic_arcs, "arc string, n long, places long").groupBy("arc").agg(F.sum("n").alias("n"), F.bit_or("places").alias("places"))
+    toxic = {r["arc"]: k for r in found.filter(F.col("n") >= LEAST_ROWS).collect() if (k := spread(r["n"], r["places"])) >= LEAST_ROWS}  # bounded by TRAIN_ROWS
+    clean = dict(text(0).mapInArrow(_clean_arcs(frozenset(toxic)), "arc string, n long").groupBy("arc").agg(F.sum("n").alias("n")).collect())
     least = 2 * math.log(max(len(toxic), 2))  # about one arc by chance
-    arcs = {a: w for a, k in toxic.items() if surprise(k, c := clean.get(a, 0), prior) >= least and (w := log_odds(k, c, prior)) > 0.5}
+    likely = {a: (k, c) for a, k in toxic.items() if k * n[0] > (c := clean.get(a, 0)) * n[1] and surprise(k, c, prior) >= least}
+    arcs = {a: arc_ratio(k, c, n, words) for a, (k, c) in likely.items()}
     first = Grammar(arcs, prior)
-    seen = {(r["kind"], r["toxic"]): r["n"] for r in rows.mapInArrow(_count_classes(first), "kind long, toxic long, n long").groupBy("kind", "toxic").agg(F.sum("n").alias("n")).collect()}
+    counted = lambda f: {(r["kind"], r["toxic"]): r["n"] for r in rows.mapInArrow(f, "kind long, toxic long, n long").groupBy("kind", "toxic").agg(F.sum("n").alias("n")).collect()}
+    seen = counted(_count_classes(first))
     reliability = {}
     for kind in {k for k, _ in seen}:
         t, c = seen.get((kind, 1), 0), seen.get((kind, 0), 0)
         reliability[kind] = (t + PRIOR_ROWS * prior_reliability(kind)) / (t + c + PRIOR_ROWS)
-    return Grammar(arcs, prior, reliability)
+    grammar = Grammar(arcs, prior, reliability)
+    grammar.slope, grammar.shift = calibrate(counted(_count_totals(grammar)), 1.0, grammar.bias)
+    return grammar
 
 
 def _scores(grammar: Grammar):
