@@ -81,6 +81,13 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> Iterator[t
 def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = NOT_BLANK, fold: np.ndarray = AS_IS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each slice (row, hash) of its words in order: the row of ``offsets``
     that a word is in, and a 64-bit hash of its folded bytes."""
+    for rows, hashes, _ in shaped_words(data, offsets, word, fold):
+        yield rows, hashes
+
+
+def shaped_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = NOT_BLANK, fold: np.ndarray = AS_IS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``words``, with a shape from 0 to 7: 1 if it ends in neither letter nor
+    digit, 2 if over six bytes, 4 if a byte isn't ASCII."""
     value = _BYTE_VALUE[fold]
     table = powers(256)
     for a, b in _cuts(data, offsets, word):
@@ -101,7 +108,9 @@ def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = NOT_BLANK, f
         if (longest := int(lengths.max())) > len(table):
             table = powers(longest)
         hashes = np.add.reduceat(value[part[inside]] * table[within], first)
-        yield np.searchsorted(offsets, a + starts, "right") - 1, mix(hashes + lengths.astype(np.uint64))
+        shape = ~ALNUM[part[ends - 1]] + 2 * (lengths > 6)
+        shape[np.searchsorted(ends, np.flatnonzero(part >= 128), "right")] |= 4
+        yield np.searchsorted(offsets, a + starts, "right") - 1, mix(hashes + lengths.astype(np.uint64)), shape
 
 
 def row_slices(batch: pa.RecordBatch, offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:

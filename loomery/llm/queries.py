@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import exact_dedup, media, mixing, near_dup, packing, token_counts, toxicity, url_filter
+from loomery.llm import exact_dedup, lm_score, media, mixing, near_dup, packing, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -51,7 +55,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dup, op2_exact_dedup, op3_token_counts, op5_mixing, op6_url_filter, op7_packing, op9_toxicity, op10_media)
+    f.__name__: f for f in (op1_near_dup, op2_exact_dedup, op3_token_counts, op4_lm_score, op5_mixing, op6_url_filter, op7_packing, op9_toxicity, op10_media)
 }
 
 OP2_SQL = r"""
