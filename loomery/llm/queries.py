@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import exact_dedup, lm_score, media, mixing, near_dup, packing, token_counts, toxicity, url_filter
+from loomery.llm import exact_dedup, lm_score, media, mixing, near_dup, packing, token_counts, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -55,7 +59,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dup, op2_exact_dedup, op3_token_counts, op4_lm_score, op5_mixing, op6_url_filter, op7_packing, op9_toxicity, op10_media)
+    f.__name__: f for f in (op1_near_dup, op2_exact_dedup, op3_token_counts, op4_lm_score, op5_mixing, op6_url_filter, op7_packing, op8_token_files, op9_toxicity, op10_media)
 }
 
 OP2_SQL = r"""
