@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.kernels import NOT_BLANK, utf8
+from loomery.llm.kernels import NOT_BLANK, text_slices, utf8
 from loomery.llm.shared import BLANKS, checked_broadcast, stage, text_of
 
 CHUNK = 1 << 16
@@ -78,7 +78,7 @@ def _print_columns(flat: np.ndarray) -> tuple[int, int, int]:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_slices(batches):
         rows = [(*_print_columns(x), hashlib.sha256(x).hexdigest()) for x in _flat(batch.column("text"))]
         n, f, g, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
         keep = [batch.column(k) for k in ("doc_id", "row", "n_points")]
@@ -86,14 +86,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_slices(batches):
         keys = [_print_columns(x) for x in _flat(batch.column("text"))]
         n, f, g = zip(*keys, strict=True) if keys else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), batch.column("text")], ["n_bytes", "print_a", "print_b", "text"])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_slices(batches):
         rows: list[tuple] = []
         size = 0
         keys = list(zip(*(batch.column(k).to_pylist() for k in KEY), strict=True))

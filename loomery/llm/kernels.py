@@ -120,3 +120,13 @@ def row_slices(batch: pa.RecordBatch, offsets: np.ndarray, most: int = SLICE) ->
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
         yield a, b
         a = b
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``most`` bytes of their column ``text``;
+    what Arrow holds beyond that goes back to the system at the end."""
+    for batch in batches:
+        _, offsets = utf8(batch.column("text"))
+        for a, b in row_slices(batch, offsets, most):
+            yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.kernels import SLICE, mix, utf8
+from loomery.llm.kernels import SLICE, mix, text_slices, utf8
 from loomery.llm.shared import checked_broadcast, scratch_path, stage, text_of
 
 UNIT, RATE = 192, 8000
@@ -91,26 +91,21 @@ def _payloads(texts: pa.Array) -> Iterator[tuple[int, bytes]]:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_slices(batches):
         rows = [(i, [d for d, _ in chunks_of(p)]) for i, (_, p) in zip(batch.column("doc_id").to_pylist(), _payloads(batch.column("text")), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], ["doc_id", "digests"])
 
 
 def _pack_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in text_slices(batches):
         rows: list[tuple] = []
-        size = 0
         for i, m, shared, (n, payload) in zip(batch.column("doc_id").to_pylist(), batch.column("media_id").to_pylist(), batch.column("shared").to_pylist(), _payloads(batch.column("text")), strict=True):
             elsewhere = set(shared or ())
             found = list(chunks_of(payload))
             inside = [d not in elsewhere for d, _ in found]
             blob = press.compress(b"".join(c for (_, c), own in zip(found, inside, strict=True) if own))
             rows.append((i, m, n, len(payload), [d for d, _ in found], [len(c) for _, c in found], inside, blob))
-            size += len(blob)
-            if size > 4 << 20:
-                yield _media_batch(rows)
-                rows, size = [], 0
         yield _media_batch(rows)
 
 
@@ -120,7 +115,7 @@ def _media_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _shared_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_slices(batches):
         found: dict[bytes, bytes] = {}
         for shared, (_, payload) in zip(batch.column("shared").to_pylist(), _payloads(batch.column("text")), strict=True):
             wanted = set(shared)

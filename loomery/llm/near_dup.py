@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.kernels import ALNUM, mix, row_slices, utf8, words
+from loomery.llm.kernels import ALNUM, mix, text_slices, utf8, words
 from loomery.llm.shared import checked_broadcast, stage, text_of, without
 
 GRAM, THRESHOLD = 5, 0.8
@@ -81,34 +81,28 @@ def band_hashes(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        _, at = utf8(whole.column("text"))
-        for a, b in row_slices(whole, at):
-            batch = whole.slice(a, b - a)
-            grams, offsets = gram_sets(batch.column("text"))
-            n = np.diff(offsets)
-            some = np.flatnonzero(n)
-            bands = np.zeros((batch.num_rows, BANDS), np.uint64)
-            keys = np.zeros((batch.num_rows, 2), np.uint64)
-            if len(some):
-                used = np.concatenate((offsets[some], offsets[-1:]))
-                bands[some] = band_hashes(grams, used)
-                keys[some, 0] = np.add.reduceat(mix(grams), used[:-1])
-                keys[some, 1] = np.add.reduceat(mix(grams ^ _PLACE[0]), used[:-1])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
-            keys = keys.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], ["doc_id", "n_grams", "set_a", "set_b", "bands"])
+    for batch in text_slices(batches):
+        grams, offsets = gram_sets(batch.column("text"))
+        n = np.diff(offsets)
+        some = np.flatnonzero(n)
+        bands = np.zeros((batch.num_rows, BANDS), np.uint64)
+        keys = np.zeros((batch.num_rows, 2), np.uint64)
+        if len(some):
+            used = np.concatenate((offsets[some], offsets[-1:]))
+            bands[some] = band_hashes(grams, used)
+            keys[some, 0] = np.add.reduceat(mix(grams), used[:-1])
+            keys[some, 1] = np.add.reduceat(mix(grams ^ _PLACE[0]), used[:-1])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
+        keys = keys.view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], ["doc_id", "n_grams", "set_a", "set_b", "bands"])
 
 
 def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cells, rep, size, bands, text) to (cells, rep, size, bands, n-gram set as bytes)."""
-    for whole in batches:
-        _, at = utf8(whole.column("text"))
-        for a, b in row_slices(whole, at):
-            batch = whole.slice(a, b - a)
-            grams, offsets = gram_sets(batch.column("text"))
-            sets = [grams[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("cells", "rep", "size", "bands")), pa.array(sets, pa.binary())], ["cells", "rep", "size", "bands", "grams"])
+    for batch in text_slices(batches):
+        grams, offsets = gram_sets(batch.column("text"))
+        sets = [grams[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("cells", "rep", "size", "bands")), pa.array(sets, pa.binary())], ["cells", "rep", "size", "bands", "grams"])
 
 
 def cell_links(band: int, same: bool, block: np.ndarray, rep: np.ndarray, size: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,6 +169,7 @@ def _verify(threshold: float):
                 held.append(batch.slice(a, b - a))
         if held:
             yield done(held)
+        pa.default_memory_pool().release_unused()
 
     return run
 

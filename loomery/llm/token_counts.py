@@ -27,7 +27,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.kernels import row_slices, utf8
+from loomery.llm.kernels import text_slices
 from loomery.llm.shared import scratch_path, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -134,21 +134,18 @@ class CountedText:
 
 def _build(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            _, at = utf8(whole.column("text"))
-            for a, b in row_slices(whole, at):
-                batch = whole.slice(a, b - a)
-                texts = batch.column("text").to_pylist()
-                lengths = [cut_leaves(t) for t in texts]
-                leaves: list[str] = []
-                for t, n in zip(texts, lengths, strict=True):
-                    x = 0
-                    for k in n:
-                        leaves.append(t[x : x + k])
-                        x += k
-                counts = iter(count_tokens(leaves, path))
-                trees = [build_tree([next(counts) for _ in n]) for n in lengths]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(lengths, pa.list_(pa.int32())), pa.array(trees, pa.list_(pa.int32()))], ["doc_id", "text", "leaves", "tree"])
+        for batch in text_slices(batches):
+            texts = batch.column("text").to_pylist()
+            lengths = [cut_leaves(t) for t in texts]
+            leaves: list[str] = []
+            for t, n in zip(texts, lengths, strict=True):
+                x = 0
+                for k in n:
+                    leaves.append(t[x : x + k])
+                    x += k
+            counts = iter(count_tokens(leaves, path))
+            trees = [build_tree([next(counts) for _ in n]) for n in lengths]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(lengths, pa.list_(pa.int32())), pa.array(trees, pa.list_(pa.int32()))], ["doc_id", "text", "leaves", "tree"])
 
     return run
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.llm.kernels import row_slices, utf8
+from loomery.llm.kernels import text_slices
 from loomery.llm.range_coder import BLOCK, checksum, decode, encode
 from loomery.llm.shared import scratch_path, text_of
 from loomery.llm.token_counts import TOKENIZER, tokenizer
@@ -48,18 +48,15 @@ def _encode(path: str):
         part, number, size = TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int] = []
         docs: list[np.ndarray] = []
-        for whole in batches:
-            _, at = utf8(whole.column("text"))
-            for a, b in row_slices(whole, at):
-                batch = whole.slice(a, b - a)
-                found = tokenizer(path).encode_batch_fast(batch.column("text").to_pylist(), add_special_tokens=False)
-                for i, e in zip(batch.column("doc_id").to_pylist(), found, strict=True):
-                    docs.append(np.array([*e.ids, END_ID], np.uint16))
-                    doc_ids.append(i)
-                    size += len(docs[-1])
-                    if size >= LANES * BLOCK:
-                        yield _segment(part, number, doc_ids, docs)
-                        number, size, doc_ids, docs = number + 1, 0, [], []
+        for batch in text_slices(batches):
+            found = tokenizer(path).encode_batch_fast(batch.column("text").to_pylist(), add_special_tokens=False)
+            for i, e in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                docs.append(np.array([*e.ids, END_ID], np.uint16))
+                doc_ids.append(i)
+                size += len(docs[-1])
+                if size >= LANES * BLOCK:
+                    yield _segment(part, number, doc_ids, docs)
+                    number, size, doc_ids, docs = number + 1, 0, [], []
         if docs:
             yield _segment(part, number, doc_ids, docs)
 

@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.shared import checked_broadcast, text_of, word_count
+from loomery.llm.kernels import text_slices
+from loomery.llm.shared import checked_broadcast, stage, text_of, word_count
 
 TRAIN_ROWS = 200_000
 #: Rows of prior belief that an arc or class starts from, and least toxic rows of an arc.
@@ -67,6 +68,10 @@ class Grammar:
         self.arcs, self.bias, self.reliability = arcs, math.log(prior / (1 - prior)), reliability or {}
         self.slope, self.shift = 1.0, self.bias
         self.heads = {a[:4].rstrip("*") for a in arcs} | {h[:4] for h in HARMS}
+        self.read = self.heads | {w[:4] for w in TARGETS | NEGATIONS | REPORTED | INTENTIONS}
+
+    def weight(self, word: str) -> float:
+        return max(self.arcs.get(a, 0.0) for a in arcs_of(word)) if word[:4] in self.heads else 0.0
 
     def match(self, clause: str, words: int) -> tuple[int, float] | None:
         """(class, weight) of a lower-cased clause of a text with so many words, or None.
@@ -75,8 +80,9 @@ class Grammar:
         negated = reported = target = intends = threat = 0
         insult, marked = 0.0, 0
         for word in _WORD.findall(clause):
-            weight = max((self.arcs.get(a, 0.0) for a in arcs_of(word)), default=0.0) if word[:4] in self.heads else 0.0
-            if weight > insult:
+            if word[:4] not in self.read:  # no transducer has an arc for it
+                continue
+            if (weight := self.weight(word)) > insult:
                 insult, marked = weight, negated | reported << 1
             if word in TARGETS:
                 target = 1
@@ -93,21 +99,22 @@ class Grammar:
         return marked | target << 2 | threat << 3, math.log1p(insult / words) + threat * THREAT_WEIGHT
 
     def matches(self, text: str) -> list[tuple[int, float]]:
+        """Matched clauses of a lower-cased text; a repeated clause counts once."""
         found = _WORD.findall(text)
-        if not self.heads.intersection({w[:4] for w in found}):
+        if self.heads.isdisjoint([w[:4] for w in found]) or not any(w in HARMS or self.weight(w) for w in set(found) if w[:4] in self.heads):
             return []
-        return [m for c in dict.fromkeys(_CLAUSE.split(text)) if (m := self.match(c, len(found)))]  # a repeated clause counts once
+        return [m for c in dict.fromkeys(_CLAUSE.split(text)) if (m := self.match(c, len(found)))]
 
     def factor(self, kind: int) -> float:
         """Evidence of a class over that of the plain one."""
         odds = lambda k: math.log((r := min(max(self.reliability.get(k, prior_reliability(k)), 0.02), 0.98)) / (1 - r)) - self.bias
         return min(max(odds(kind) / odds(0), 0.0), 1.25) if odds(0) > 0 else 1.0
 
-    def total(self, text: str) -> float:
-        return sum(weight * self.factor(kind) for kind, weight in self.matches(text.lower()))
+    def total(self, matches: list[tuple[int, float]]) -> float:
+        return sum(weight * self.factor(kind) for kind, weight in matches)
 
     def score(self, text: str | None) -> float:
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.shift + self.slope * self.total(text or "")))))
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.shift + self.slope * self.total(self.matches((text or "").lower()))))))
 
 
 def prior_reliability(kind: int) -> float:
@@ -130,7 +137,7 @@ def surprise(toxic: int, clean: int, prior: float) -> float:
 
 def _toxic_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows that have an arc, and a bitmap of the neighbours that its words stand between."""
-    for batch in batches:
+    for batch in text_slices(batches):
         rows: Counter[str] = Counter()
         places: dict[str, int] = {}
         for text in batch.column("text"):
@@ -156,7 +163,7 @@ def spread(rows: int, places: int) -> int:
 
 def _clean_arcs(wanted: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             counts: Counter[str] = Counter()
             for text in batch.column("text"):
                 counts.update({a for w in set(_WORD.findall(text.as_py().lower())) for a in arcs_of(w)} & wanted)
@@ -165,26 +172,22 @@ def _clean_arcs(wanted: frozenset[str]):
     return run
 
 
-def _count_classes(grammar: Grammar):
+def _training_matches(grammar: Grammar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[tuple[int, int]] = Counter()
         for batch in batches:
-            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                counts.update({(kind, toxic) for kind, _ in grammar.matches(text.as_py().lower())})
-        rows = [(k, t, n) for (k, t), n in counts.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["kind", "toxic", "n"])
+            found = [grammar.matches(t.as_py().lower()) for t in batch.column("text")]
+            lists = lambda k, t: pa.array([[m[k] for m in x] for x in found], pa.list_(t))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), lists(0, pa.int64()), lists(1, pa.float64())], ["toxic", "kinds", "weights"])
 
     return run
 
 
 def _count_totals(grammar: Grammar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[tuple[int, int]] = Counter()
         for batch in batches:
-            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                counts[min(round(4 * grammar.total(text.as_py())), 160), toxic] += 1
-        rows = [(k, t, n) for (k, t), n in counts.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["kind", "toxic", "n"])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("kinds", "weights", "toxic")), strict=True)
+            counts = Counter((min(round(4 * grammar.total(list(zip(k, w, strict=True)))), 160), t) for k, w, t in rows)
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in counts], pa.int64()) for i in range(2)), pa.array(counts.values(), pa.int64())], ["quarter", "toxic", "n"])
 
     return run
 
@@ -230,14 +233,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     likely = {a: (k, c) for a, k in toxic.items() if k * n[0] > (c := clean.get(a, 0)) * n[1] and surprise(k, c, prior) >= least}
     arcs = {a: arc_ratio(k, c, n, words) for a, (k, c) in likely.items()}
     first = Grammar(arcs, prior)
-    counted = lambda f: {(r["kind"], r["toxic"]): r["n"] for r in rows.mapInArrow(f, "kind long, toxic long, n long").groupBy("kind", "toxic").agg(F.sum("n").alias("n")).collect()}
-    seen = counted(_count_classes(first))
+    found = stage(rows.mapInArrow(_training_matches(first), "toxic int, kinds array<long>, weights array<double>"), "matches")
+    kinds = found.select("toxic", F.explode(F.array_distinct("kinds")).alias("kind")).groupBy("kind", "toxic").agg(F.count("*").alias("n"))
+    seen = {(r["kind"], r["toxic"]): r["n"] for r in kinds.collect()}
     reliability = {}
     for kind in {k for k, _ in seen}:
         t, c = seen.get((kind, 1), 0), seen.get((kind, 0), 0)
         reliability[kind] = (t + PRIOR_ROWS * prior_reliability(kind)) / (t + c + PRIOR_ROWS)
     grammar = Grammar(arcs, prior, reliability)
-    grammar.slope, grammar.shift = calibrate(counted(_count_totals(grammar)), 1.0, grammar.bias)
+    totals = found.mapInArrow(_count_totals(grammar), "quarter long, toxic long, n long").groupBy("quarter", "toxic").agg(F.sum("n").alias("n"))
+    seen = {(r["quarter"], r["toxic"]): r["n"] for r in totals.collect()}
+    grammar.slope, grammar.shift = calibrate(seen, 1.0, grammar.bias)
     return grammar
 
 
