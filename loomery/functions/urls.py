@@ -80,7 +80,7 @@ def path_penalty(url: Column) -> Column:
 
 def stated_witness(sites: Column, d: Column) -> Column:
     """First (witness, website) whose domain is the candidate's."""
-    return F.element_at(F.filter(sites, lambda s: domain(s["website"]) == d), 1)["witness"]
+    return F.get(F.filter(sites, lambda s: domain(s["website"]) == d), F.lit(0))["witness"]
 
 
 def resolve_domain(candidate: Column, registry_sites: Column, email: Column, country: Column, title: Column, name: Column) -> Column:
