@@ -1 +1 @@
-"""Placeholder docstring."""
+"""Column functions: text, similarity, URLs, extraction."""

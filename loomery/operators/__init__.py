@@ -1 +1 @@
-"""Placeholder docstring."""
+"""Operators on record tables: DataFrame to DataFrame."""

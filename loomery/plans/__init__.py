@@ -1 +1 @@
-"""Placeholder docstring."""
+"""Registered queries over the provided tables, with DuckDB SQL."""

@@ -1 +1 @@
-"""Placeholder docstring."""
+"""Sources of records, evidence and pages."""

@@ -1 +1 @@
-"""Placeholder docstring."""
+"""Streaming forms of the record operators."""
