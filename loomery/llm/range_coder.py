@@ -19,7 +19,7 @@ ROWS = (2048, 1024, 1024)  # contexts a lane keeps for each order; hashed
 STEP, MOST = 6, 240
 WEIGHTS = (1, 3, 9)
 TOP, BOTTOM, WINDOW = np.uint64(1 << 32), np.uint64(1 << 16), np.uint64((1 << 48) - 1)
-SHIFT, LOW16 = np.uint64(16), np.uint64(0xFFFF)
+SHIFT = np.uint64(16)
 
 
 class _Counts:
@@ -85,7 +85,18 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         ids[: len(b), k] = b
     counts, window = _Counts(lanes), _Window(lanes)
     words, at = np.zeros((lanes, steps + 16), np.uint16), np.zeros(lanes, np.int64)
-    for row in ids:
+    ending: dict[int, list[int]] = {}
+    for k, b in enumerate(blocks):
+        ending.setdefault(len(b), []).append(k)
+    out: list[bytes] = [b""] * lanes
+
+    def close(step: int) -> None:
+        for k in ending.get(step, ()):
+            last = [int(window.low[k]) >> shift & 0xFFFF for shift in (32, 16, 0)]
+            out[k] = np.append(words[k, : at[k]], np.array(last, np.uint16)).astype("<u2").tobytes()
+
+    close(0)
+    for step, row in enumerate(ids):
         node = np.zeros(lanes, np.int64)
         for shift in (12, 8, 4, 0):
             nibble = row >> shift & 15
@@ -93,17 +104,15 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
             cell = counts.cells + nibble
             share, over = counts.mixed.reshape(-1).take(cell).astype(np.uint64), sums.reshape(-1).take(cell).astype(np.uint64)
             counts.learn(nibble)
-            for out, word in window.narrow(window.wide // sums[:, 15], over, share):
-                words[out, at[out]] = word
-                at[out] += 1
+            for some, word in window.narrow(window.wide // sums[:, 15], over, share):
+                words[some, at[some]] = word
+                at[some] += 1
             node = node * 16 + nibble + 1
         counts.next_id(row)
         if at.max(initial=0) >= words.shape[1] - 16:
             words = np.concatenate([words, np.zeros_like(words)], axis=1)
-    for shift in (32, 16, 0):
-        words[np.arange(lanes), at] = (window.low >> np.uint64(shift) & LOW16).astype(np.uint16)
-        at += 1
-    return [w[:n].astype("<u2").tobytes() for w, n in zip(words, at.tolist(), strict=True)]
+        close(step + 1)
+    return out
 
 
 def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
@@ -129,9 +138,9 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
             cell = counts.cells + nibble
             share, over = counts.mixed.reshape(-1).take(cell).astype(np.uint64), sums.reshape(-1).take(cell).astype(np.uint64)
             counts.learn(nibble)
-            for out, _word in window.narrow(unit, over, share):
-                code[out] = code[out] << SHIFT & WINDOW | words[out, np.minimum(at[out], longest + 7)]
-                at[out] += 1
+            for some, _ in window.narrow(unit, over, share):
+                code[some] = code[some] << SHIFT & WINDOW | words[some, np.minimum(at[some], longest + 7)]
+                at[some] += 1
             node = node * 16 + nibble + 1
         ids[step] = node - 0x1111  # each nibble added one to its node
         counts.next_id(ids[step])
