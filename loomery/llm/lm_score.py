@@ -16,7 +16,7 @@ part alone.
 Counts cover all training documents and are a table keyed by a 64-bit word
 hash. What is broadcast is bounded by construction: words with at least one
 in 2**20 tokens (a million at most) with their counts, and words with at least
-one in 2**16 with their classes. Tokens of rarer words meet their counts in a
+one in 2**16 (and five in all) with their classes. Tokens of rarer words meet their counts in a
 shuffle by hash, in buckets sized from the counts; none of them can be hot.
 
 Defined cases: a null text is empty and has one token, its end; without
@@ -34,14 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.kernels import ASCII_LOWER, NOT_BLANK, shaped_words, utf8
+from loomery.llm.kernels import ASCII_LOWER, NOT_BLANK, shaped_words, text_slices, utf8
 from loomery.llm.shared import stage, text_of
 
 CLASSES, SHAPES, ROUNDS = 48, 8, 3
 FREQUENT, CLUSTERED = 1 << 20, 1 << 16
 LAMBDA = 0.9
+#: Times that a word with a class of its own choice was seen.
+LEAST = 5
 #: Distinct words and tokens of a bucket of the shuffle by hash, about.
-BUCKET_WORDS, BUCKET_TOKENS = 2_000_000, 8_000_000
+BUCKET_WORDS, BUCKET_TOKENS = 500_000, 2_000_000
+#: Bytes of text that a task counts together.
+PIECE = 8 << 20
 
 END = CLASSES + SHAPES
 ALL = END + 1
@@ -89,7 +93,7 @@ def token_slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_slices(batches, PIECE):
         found = [(h, s) for _, h, s in token_slices(batch)]
         hashes = np.concatenate([h for h, _ in found]) if found else np.zeros(0, np.uint64)
         shapes = np.concatenate([s for _, s in found]) if found else np.zeros(0, np.int64)
@@ -124,7 +128,7 @@ def _count_classes(model: Model, by_word: bool):
         rank[words] = np.arange(len(words))
         moves = np.zeros(ALL * ALL, np.int64)
         sides = np.zeros((2, len(words) * ALL if by_word else 0), np.int64)
-        for batch in batches:
+        for batch in text_slices(batches, PIECE):
             walk = Neighbours(model, batch.num_rows)
             for rows, hashes, shapes in token_slices(batch):
                 _, _, place, kind, before, before_place = walk.step(rows, hashes, shapes)
@@ -204,13 +208,13 @@ def train_model(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFram
     hashes, kept = few.column("hash").to_numpy().view(np.uint64), few.column("n").to_numpy()
     order = np.argsort(hashes)
     hashes, kept = hashes[order], kept[order]
-    grouped = kept * CLUSTERED >= n
+    grouped = (kept * CLUSTERED >= n) & (kept >= LEAST)
     classes = np.full(len(hashes), -1)
     by_count = np.lexsort((hashes, -kept))
     by_count = by_count[grouped[by_count]]
     classes[by_count] = np.arange(len(by_count)) % CLASSES
     shape_tokens, shape_words = np.zeros(SHAPES), np.zeros(SHAPES)
-    for r in counts.filter(F.col("n") * CLUSTERED < n).groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+    for r in counts.filter((F.col("n") * CLUSTERED < n) | (F.col("n") < LEAST)).groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
         shape_tokens[r["shape"]], shape_words[r["shape"]] = r["n"], r["k"]
     model = Model(n, distinct + (ends > 0), ends, hashes, kept, classes, shape_tokens, shape_words)
     for turn in range(rounds):
@@ -231,7 +235,7 @@ def _score(model: Model, buckets: int):
         per_class = np.concatenate((np.maximum(model.class_tokens(), 1), in_shape, [1.0]))
         count = np.concatenate((model.counts, [0]))  # the last for words that aren't frequent
         emit_add = np.concatenate((np.zeros(CLASSES), np.full(SHAPES, 0.5)))
-        for batch in batches:
+        for batch in text_slices(batches, PIECE):
             n = batch.num_rows
             walk = Neighbours(model, n)
             tokens, known, base, score = np.ones(n), np.zeros(n), np.zeros(n), np.zeros(n)
