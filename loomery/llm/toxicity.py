@@ -41,6 +41,8 @@ from loomery.llm.shared import checked_broadcast, stage, text_of, word_count
 TRAIN_ROWS = 200_000
 #: Rows of prior belief that an arc or class starts from, and least toxic rows of an arc.
 PRIOR_ROWS, LEAST_ROWS = 10.0, 3
+#: Least weight of an arc in a text of mean length: it raises the odds by this power of e.
+LEAST_WEIGHT = 1.5
 STEMS = (4, 5, 6)
 
 #: Cue words of the transducers other than insult (English, German, French, Spanish).
@@ -103,7 +105,7 @@ class Grammar:
         found = _WORD.findall(text)
         if self.heads.isdisjoint([w[:4] for w in found]) or not any(w in HARMS or self.weight(w) for w in set(found) if w[:4] in self.heads):
             return []
-        return [m for c in dict.fromkeys(_CLAUSE.split(text)) if (m := self.match(c, len(found)))]
+        return [m for c in dict.fromkeys(x.strip() for x in _CLAUSE.split(text)) if (m := self.match(c, len(found)))]
 
     def factor(self, kind: int) -> float:
         """Evidence of a class over that of the plain one."""
@@ -231,7 +233,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     clean = dict(text(0).mapInArrow(_clean_arcs(frozenset(toxic)), "arc string, n long").groupBy("arc").agg(F.sum("n").alias("n")).collect())
     least = 2 * math.log(max(len(toxic), 2))  # about one arc by chance
     likely = {a: (k, c) for a, k in toxic.items() if k * n[0] > (c := clean.get(a, 0)) * n[1] and surprise(k, c, prior) >= least}
-    arcs = {a: arc_ratio(k, c, n, words) for a, (k, c) in likely.items()}
+    mean = (words[0] + words[1]) / (n[0] + n[1])
+    arcs = {a: r for a, (k, c) in likely.items() if math.log1p((r := arc_ratio(k, c, n, words)) / mean) >= LEAST_WEIGHT}
     first = Grammar(arcs, prior)
     found = stage(rows.mapInArrow(_training_matches(first), "toxic int, kinds array<long>, weights array<double>"), "matches")
     kinds = found.select("toxic", F.explode(F.array_distinct("kinds")).alias("kind")).groupBy("kind", "toxic").agg(F.count("*").alias("n"))
