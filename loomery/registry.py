@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomery.plans import dedup, golden, records
+from loomery.plans import checks, dedup, golden, records
 
-_PLANS = [golden, dedup, records]
+_PLANS = [golden, dedup, records, checks]
 QUERIES = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in _PLANS for k, v in p.ORACLE_SQL.items()}
