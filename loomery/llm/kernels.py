@@ -110,7 +110,10 @@ def shaped_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = NOT_B
         hashes = np.add.reduceat(value[part[inside]] * table[within], first)
         shape = ~ALNUM[part[ends - 1]] + 2 * (lengths > 6)
         shape[np.searchsorted(ends, np.flatnonzero(part >= 128), "right")] |= 4
-        yield np.searchsorted(offsets, a + starts, "right") - 1, mix(hashes + lengths.astype(np.uint64)), shape
+        low, high = np.searchsorted(offsets, (a, b), "right") - 1
+        before = np.searchsorted(starts, offsets[low + 1 : high + 1] - a)  # words before each row that begins here
+        rows = np.repeat(np.arange(low, high + 1), np.diff(np.concatenate(([0], before, [len(starts)]))))
+        yield rows, mix(hashes + lengths.astype(np.uint64)), shape
 
 
 def row_slices(batch: pa.RecordBatch, offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:

@@ -27,7 +27,8 @@ empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ LAMBDA = 0.9
 LEAST = 5
 #: Distinct words and tokens of a bucket of the shuffle by hash, about.
 BUCKET_WORDS, BUCKET_TOKENS = 500_000, 2_000_000
+#: Buckets of a small corpus; a document has a row in each bucket that it has rare words of.
+BUCKETS = 16
 #: Bytes of text that a task counts together.
 PIECE = 8 << 20
 
@@ -65,13 +68,37 @@ class Model:
     shape_words: np.ndarray
     moves: np.ndarray = field(default_factory=lambda: np.zeros((ALL, ALL), np.int64))
 
+    @cached_property
+    def slots(self) -> np.ndarray:
+        """Place of the word by the first bits of its hash: -1 for none, -2 for several."""
+        slots = np.full(1 << max(10, (8 * len(self.hashes)).bit_length()), -1, np.int32)
+        at = self.slot_of(self.hashes, len(slots))
+        slots[at] = np.arange(len(at))
+        slots[np.flatnonzero(np.bincount(at, minlength=len(slots)) > 1)] = -2
+        return slots
+
+    @staticmethod
+    def slot_of(hashes: np.ndarray, n: int) -> np.ndarray:
+        return (hashes >> np.uint64(65 - n.bit_length())).astype(np.int64)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "slots"}  # each worker makes its own
+
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the frequent ones among them, and whether they are."""
+        """Places of the frequent ones among them (0 for others), and whether they are."""
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at = self.slots[self.slot_of(hashes, len(self.slots))]
+        if len(shared := np.flatnonzero(at == -2)):
+            at[shared] = np.minimum(np.searchsorted(self.hashes, hashes[shared]), len(self.hashes) - 1)
+        at = np.maximum(at, 0)
         return at, self.hashes[at] == hashes
 
+    def only_clustered(self) -> Model:
+        """The part that class counts need."""
+        kept = self.clustered()
+        return replace(self, hashes=self.hashes[kept], counts=self.counts[kept], classes=self.classes[kept])
+
     def clustered(self) -> np.ndarray:
         return np.flatnonzero(self.classes >= 0)
 
@@ -217,11 +244,13 @@ def train_model(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFram
     for r in counts.filter((F.col("n") * CLUSTERED < n) | (F.col("n") < LEAST)).groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
         shape_tokens[r["shape"]], shape_words[r["shape"]] = r["n"], r["k"]
     model = Model(n, distinct + (ends > 0), ends, hashes, kept, classes, shape_tokens, shape_words)
+    core = model.only_clustered()
     for turn in range(rounds):
-        by_word, model.moves = class_counts(train, model, True)
-        moved = by_word.mapInArrow(_exchange(model, turn), "word long, class long").toArrow()  # at most CLUSTERED rows
-        model.classes[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
-    _, model.moves = class_counts(train, model, False)
+        by_word, core.moves = class_counts(train, core, True)
+        moved = by_word.mapInArrow(_exchange(core, turn), "word long, class long").toArrow()  # at most CLUSTERED rows
+        core.classes[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
+    _, model.moves = class_counts(train, core, False)
+    model.classes[model.clustered()] = core.classes
     return model, counts
 
 
@@ -301,7 +330,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     model, counts = train_model(rows.filter("not held_out").select("text"), rounds)
     few = counts.filter(F.col("n") * FREQUENT < model.n)
     words, tokens = few.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    buckets = max(1, -(-words // BUCKET_WORDS), -(-5 * tokens // 4 // BUCKET_TOKENS))
+    buckets = max(BUCKETS, -(-words // BUCKET_WORDS), -(-5 * tokens // 4 // BUCKET_TOKENS))
     scored = stage(rows.mapInArrow(_score(model, buckets), SCORED), "scored")
     ours = scored.select("row", F.explode("rare").alias("r")).select("row", "r.bucket", "r.hashes", "r.times")
     theirs = few.select(F.pmod(F.shiftrightunsigned("hash", 20), F.lit(buckets)).cast("int").alias("bucket"), "hash", "n")
