@@ -54,16 +54,69 @@ def take(f):
     return lambda c: F.struct(f(c).alias("value"), ex.cut_first(c, f(c)).alias("rest"))
 
 
+#: Parent organisations that units are written behind.
+PARENTS = ["USDA", "NIH", "CDC", "FDA", "EPA", "NASA", "NOAA", "USGS", "CNRS", "CSIRO", "CSIC", "INSERM"]
+
+
+def split_parents(df: DataFrame) -> DataFrame:
+    """'USDA - Unit' in Name 1: the parent stays, the unit goes to the head of the departments; adds name_overflow."""
+    pattern = rf"(?i)^\s*({'|'.join(PARENTS)})\s*[-–—,/:]\s*(\S.*)$"
+    unit, parent = ex.found(F.col("name_1"), pattern, 2), F.upper(ex.found(F.col("name_1"), pattern, 1))
+    df = df.withColumns({"_unit": unit, "_parent": parent})
+    return insert_head(df, DEPARTMENTS, F.col("_unit"), "name_overflow").withColumn("name_1", F.coalesce("_parent", "name_1")).drop("_unit", "_parent")
+
+
+def split_brackets(df: DataFrame) -> DataFrame:
+    """'(Org) rest' in Name 1: the organisation stays, the rest goes to the first empty slot of its kind."""
+    pattern = r"^\s*\(([^()]{3,})\)\s*(\S.*)$"
+    org, rest = ex.found(F.col("name_1"), pattern, 1), ex.found(F.col("name_1"), pattern, 2)
+    df = df.withColumns({"_org": org, "_rest": rest})
+    street = ex.looks_like_street(F.col("_rest"))
+    df = put_first_empty(df, STREETS, F.when(street, F.col("_rest")))
+    df = put_first_empty(df, DEPARTMENTS, F.when(~street, F.col("_rest")))
+    return df.withColumn("name_1", F.coalesce("_org", "name_1")).drop("_org", "_rest")
+
+
+def split_streets(df: DataFrame, separator: str = r"[|;]") -> DataFrame:
+    """Streets of several segments: addresses stay, organisations and departments
+    go to the first empty names, what else there is to the first empty streets (two of each)."""
+    for c in STREETS:
+        parts = F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
+        several = F.size(parts) > 1
+        kind = lambda x: F.when(ex.looks_like_street(x) | ex.has(x, ex.PO_BOX), 0).when(ex.looks_like_department(x) | tx.looks_like_research(x) | tx.is_unit_construction(x), 1).otherwise(2)
+        df = df.withColumn("_parts", F.when(several, F.transform(parts, lambda x: F.struct(kind(x).alias("k"), x.alias("v")))))
+        of = lambda k: F.transform(F.filter(F.col("_parts"), lambda p: p["k"] == k), lambda p: p["v"])
+        df = df.withColumns({"_own": of(0), "_names": of(1), "_rest": of(2)})
+        df = df.withColumn(c, F.when(F.col("_parts").isNotNull(), F.nullif(F.array_join("_own", ", "), F.lit(""))).otherwise(F.col(c)))
+        for k in range(2):
+            df = put_first_empty(df, NAMES, F.get(F.col("_names"), F.lit(k)))
+            df = put_first_empty(df, STREETS, F.get(F.col("_rest"), F.lit(k)))
+        df = df.drop("_parts", "_own", "_names", "_rest")
+    return df
+
+
+def split_embedded_department(df: DataFrame) -> DataFrame:
+    """'Ohio University Department of X' in Name 1: the unit goes to the first empty department."""
+    pattern = r"^(.*\b(?:University|College|Institute|Hospital)\b.*?)[\s,\-]+((?:Department|Dept\.?|Division|School|Faculty)\s+of\s+\S.*)$"
+    df = df.withColumns({"_org": ex.found(F.col("name_1"), pattern, 1), "_unit": ex.found(F.col("name_1"), pattern, 2)})
+    free = F.greatest(*[tx.blank(F.col(c)) for c in DEPARTMENTS])
+    df = df.withColumns({"_org": F.when(free, F.col("_org")), "_unit": F.when(free, F.col("_unit"))})
+    return put_first_empty(df, DEPARTMENTS, F.col("_unit")).withColumn("name_1", F.coalesce("_org", "name_1")).drop("_org", "_unit")
+
+
 def preprocess(df: DataFrame) -> DataFrame:
-    """Names and contacts, in order: codes, repeats, care-of, departments in streets, accounts payable,
-    e-mail, addresses in names, brackets, DBA, legal forms, opaque codes, persons, junk, packing, duplicates."""
+    """Names and contacts, in order: codes, repeats, parents, care-of, street segments, departments in streets,
+    accounts payable, e-mail, addresses in names, brackets, DBA, legal forms, opaque codes, persons, embedded
+    departments, junk, packing, duplicates."""
     for c in ("contact", "email", "care_of", "building"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
     df = df.withColumns({f"{c}_original": F.col(c) for c in NAMES})
     df = _all(df, NAMES, lambda c: ex.collapse_repeat(ex.strip_leading_code(c)))
     df = _all(df, STREETS, ex.collapse_repeat)
+    df = split_parents(df)
     df = route_first(df, DEPARTMENTS, ex.care_of, "care_of")
+    df = split_streets(df)
     for c in STREETS:  # departments and organisations that stand in streets go to names
         dept = ex.looks_like_department(F.col(c)) & ~ex.looks_like_street(F.col(c))
         org = ex.organisation_in_street(F.col(c))
@@ -77,9 +130,11 @@ def preprocess(df: DataFrame) -> DataFrame:
         df = df.withColumn("_piece", piece)
         df = put_first_empty(df, STREETS, F.when(~F.array_contains(F.transform(F.array(*[F.coalesce(F.col(s), F.lit("")) for s in STREETS]), ex.street_key), ex.street_key(F.col("_piece"))), F.col("_piece")))
         df = df.withColumn(c, tx.nullify(ex.cut_first(F.col(c), F.col("_piece")))).drop("_piece")
+    df = split_brackets(df)
     df = _all(df, NAMES, lambda c: tx.collapse_legal_suffix(ex.normalise_dba(tx.strip_parentheticals(c))))
     df = df.withColumns({c: F.when(~ex.is_opaque_code(F.col(c)), F.col(c)) for c in DEPARTMENTS})
     df = route_first(df, DEPARTMENTS, take(ex.titled_person), "contact")
+    df = split_embedded_department(df)
     df = _all(df, DEPARTMENTS + STREETS, ex.strip_junk)
     return drop_equal_slots(left_pack(df, DEPARTMENTS), NAMES)
 

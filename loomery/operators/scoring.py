@@ -53,6 +53,24 @@ def load_weights(path: str) -> dict:
         return {k: v for k, v in json.load(f).items() if not k.startswith("_")}
 
 
+def weights_of_sheet(rows: DataFrame) -> dict:
+    """Weights of a (criterion, band, points) table, a few dozen rows; refused as a whole if bands are missing or new."""
+    table: dict = {}
+    for r in rows.select("criterion", "band", F.col("points").cast("int").alias("points")).orderBy("_seq").collect():
+        table.setdefault(r["criterion"], {})[r["band"]] = r["points"]
+    if gap := coverage_gap(table):
+        raise ValueError(f"weights don't cover the expected bands: {gap}")
+    return table
+
+
+def cluster_columns(columns: list[str]) -> tuple[str, str] | None:
+    """(routing, cluster) columns of a sheet: the produced pair before the expected one."""
+    for pair in (("routing", "cluster_id"), ("expected_routing", "expected_cluster")):
+        if all(c in columns for c in pair):
+            return pair
+    return None
+
+
 def clean(c: Column) -> Column:
     t = F.trim(c.cast("string"))
     return F.when(t != "", t)
@@ -105,7 +123,7 @@ def unknown_label(value: Column, bands: dict[str, int], name: str) -> Column:
 
 def parts_of(value: Column) -> Column:
     """Non-blank parts of a ``;`` list."""
-    return F.filter(F.transform(F.split(F.coalesce(value.cast("string"), F.lit("")), ";"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(value.cast("string"), F.lit("")), ";"), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def derived_counts(columns: list[str]) -> dict[str, Column]:

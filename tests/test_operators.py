@@ -170,3 +170,58 @@ def test_entry_without_llm(spark, monkeypatch):
     assert not any(k.startswith("op") for k in bare.queries()) and set(bare.oracle_sql()) <= set(bare.queries())
     monkeypatch.undo()
     importlib.reload(e)
+
+
+def name_rows(spark, **row):
+    fields = ["_seq", "record_id", *enrich.NAMES, *enrich.STREETS, "contact", "email"]
+    return spark.createDataFrame([tuple(row.get(f) for f in fields)], ", ".join(f"{f} {'long' if f == '_seq' else 'string'}" for f in fields))
+
+
+def test_parent_and_street_segments(spark):
+    out = enrich.split_streets(enrich.split_parents(name_rows(spark, name_1="usda - Forest Lab", name_2="X", street_1="12 Main St | Department of Biology | Gate C"))).first()
+    assert (out.name_1, out.name_2, out.name_3, out.name_4) == ("USDA", "Forest Lab", "X", "Department of Biology") and (out.street_1, out.street_2) == ("12 Main St", "Gate C")
+
+
+def test_brackets_and_embedded_departments(spark):
+    out = enrich.split_brackets(name_rows(spark, name_1="(Acme Corp) 12 Main Street")).first()
+    assert (out.name_1, out.street_1, out.name_2) == ("Acme Corp", "12 Main Street", None)
+    out = enrich.split_embedded_department(name_rows(spark, name_1="Ohio University, Department of Physics")).first()
+    assert (out.name_1, out.name_2) == ("Ohio University", "Department of Physics")
+
+
+def test_weights_of_a_sheet(spark):
+    rows = [(k, c, b, str(p)) for k, (c, b, p) in enumerate((c, b, p) for c, bands in scoring.WEIGHTS.items() for b, p in bands.items())]
+    sheet = spark.createDataFrame(rows, "_seq long, criterion string, band string, points string")
+    assert scoring.weights_of_sheet(sheet) == scoring.WEIGHTS
+    with pytest.raises(ValueError, match="equipment_count"):
+        scoring.weights_of_sheet(sheet.filter("band <> '4-8'"))
+
+
+def test_registry_addresses(spark):
+    from loomery.operators import verification
+
+    a = F.array(*[F.struct(*(F.lit(v).alias(k) for k, v in zip(("city", "region", "country", "postal_code"), row, strict=True))) for row in (("Dallas", "TX", "US", "1"), ("Austin", "TX", "US", "2"))])
+    check = lambda city: tuple(spark.range(1).select(verification.registry_addresses(a, {"city": F.lit(city), "region": F.lit("TX"), "country": F.lit("US"), "postal_code": F.lit("9")}).alias("v")).first().v)
+    assert check("Austin") == ("consistent", "city") and check("Waco") == ("neutral", None)
+
+
+def test_department_verdicts(spark):
+    from loomery.operators import verdicts
+
+    check = lambda old, new, sure: tuple(spark.createDataFrame([(old, new, sure)], "o string, n string, s string").select(verdicts.department_verdict(F.col("o"), F.col("n"), F.col("s")).alias("v")).first().v)
+    assert check("Chemistry Dept", "Department of Chemistry", "low") == ("Chemistry Dept", "verified")
+    assert check(None, "Physics Department", "low") == ("Department of Physics", "filled")
+    assert check("Sales", "Department of Physics", "low") == ("Sales", "kept") and check("Sales", "Department of Physics", "high")[1] == "overwritten"
+
+
+def test_people_pages(spark):
+    from loomery.operators import verdicts
+
+    rows = [("q", "Dr. Jane Roe", "http://x.edu/people/jane-roe", "Jane Roe - Chemistry", "faculty profile"), ("q", "Dr. Jane Roe", "http://x.edu/news", "News", "Jane Roe wins"), ("q", "Dr. Jane Roe", "http://x.edu/a", "Other", "nobody")]
+    got = verdicts.rank_people_pages(spark.createDataFrame(rows, "q string, contact string, url string, title string, snippet string"), "q").orderBy("place").collect()
+    assert [r.url for r in got] == ["http://x.edu/people/jane-roe", "http://x.edu/news"] and got[0].score >= 120
+
+
+def test_parts_keep_their_digits(spark):
+    r = spark.range(1).select(scoring.parts_of(F.lit("0012; 1010 ;;20")).alias("p"), tx.department_text([F.lit("0 Lab 0"), F.lit(" "), F.lit("1 b")]).alias("d")).first()
+    assert r.p == ["0012", "1010", "20"] and r.d == "0 Lab 0 / 1 b"
