@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.llm.shared import stage, word_count
+from loomery.llm.shared import checked_broadcast, stage, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP, SEED = 1.5, 2.0, "mix-1"
@@ -43,21 +43,26 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return rows.select("source", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(level * F.col("weight")).alias("target"))
 
 
+def decided(rows: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """``rows`` (doc_id, source) with _size (of the source), _target, _rate and _copies."""
+    t = checked_broadcast(targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target")))
+    out = rows.join(t, rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
+    out = out.withColumn("_rate", F.when(F.col("_size") > 0, F.col("_target") / F.col("_size")).otherwise(0.0))
+    chance = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(16**13)
+    whole = F.floor("_rate")
+    return out.withColumn("_copies", (whole + (chance < F.col("_rate") - whole).cast("long")).cast("long"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies of each row of ``docs`` (doc_id, text, source)."""
     sized = stage(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    targets = targets.withColumnRenamed("source", "_source")
-    out = sized.join(targets, sized["source"].eqNullSafe(targets["_source"])).drop("_source")
-    out = out.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    chance = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(16**13)
-    whole = F.floor("rate")
-    return out.withColumn("copies", (whole + (chance < F.col("rate") - whole).cast("long")).cast("long"))
+    targets = stage(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
+    out = decided(sized, targets, seed)
+    return out.select("doc_id", "source", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
 
 
-def taken_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as it is taken."""
-    mixed = mix_sources(docs, **how)
-    copies = mixed.filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies").dropDuplicates(["_id"])
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(docs[c] for c in docs.columns))
+def taken_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """The mix itself: the columns of ``docs``, each row as often as it is taken; texts aren't shuffled."""
+    sizes = docs.groupBy("source").agg(F.sum(word_count()).alias("source_size"))
+    taken = decided(docs, stage(source_targets(sizes, weights, share, cap), "targets"), seed).filter("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(docs[c] for c in docs.columns))
