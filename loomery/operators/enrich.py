@@ -20,7 +20,9 @@ DEPARTMENTS = NAMES[1:]
 
 
 def _all(df: DataFrame, columns: list[str], f) -> DataFrame:
-    return df.withColumns({c: tx.nullify(f(F.col(c))) for c in columns})
+    """``f`` on every slot; it is put into the plan once, for the array of them."""
+    made = df.withColumn("_all", F.transform(F.array(*[F.col(c).cast("string") for c in columns]), lambda x: tx.nullify(f(x))))
+    return made.withColumns({c: F.get(F.col("_all"), F.lit(k)) for k, c in enumerate(columns)}).drop("_all")
 
 
 def left_pack(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -43,10 +45,12 @@ def put_first_empty(df: DataFrame, columns: list[str], value: Column) -> DataFra
 
 def route_first(df: DataFrame, sources: list[str], f, target: str) -> DataFrame:
     """The first extraction ``f`` (struct(value, rest)) over the slots goes to ``target`` if that is empty; every hit loses its piece."""
-    got = df.withColumns({f"_x_{c}": f(F.col(c)) for c in sources})
-    value = F.coalesce(*[F.col(f"_x_{c}.value") for c in sources])
+    got = df.withColumn("_x", F.transform(F.array(*[F.col(c) for c in sources]), lambda x: f(x)))
+    value = F.get(F.filter(F.transform("_x", lambda x: x["value"]), lambda v: v.isNotNull()), F.lit(0))
+    got = got.withColumn("_rest", F.transform("_x", lambda x: F.when(x["value"].isNotNull(), tx.nullify(x["rest"]))))
     got = got.withColumn(target, F.coalesce(tx.nullify(F.col(target)), value))
-    return got.withColumns({c: F.when(F.col(f"_x_{c}.value").isNotNull(), tx.nullify(F.col(f"_x_{c}.rest"))).otherwise(F.col(c)) for c in sources}).drop(*[f"_x_{c}" for c in sources])
+    hit = lambda k: F.get(F.col("_x"), F.lit(k))["value"].isNotNull()
+    return got.withColumns({c: F.when(hit(k), F.get(F.col("_rest"), F.lit(k))).otherwise(F.col(c)) for k, c in enumerate(sources)}).drop("_x", "_rest")
 
 
 def take(f):
@@ -125,11 +129,14 @@ def preprocess(df: DataFrame) -> DataFrame:
     df = put_first_empty(df, DEPARTMENTS, F.when(desk.isNotNull(), "Accounts Payable")).withColumn("name_1", F.coalesce(desk, "name_1"))
     df = df.withColumns({c: F.when(ex.is_accounts_payable(F.col(c)), "Accounts Payable").otherwise(F.col(c)) for c in DEPARTMENTS})
     df = route_first(df, NAMES + STREETS, take(ex.email), "email")
-    for c in NAMES:  # an address in a name goes to the first empty street
-        piece = F.get(F.filter(ex.address_fragments(F.col(c)), lambda x: ex.looks_like_street(x)), F.lit(0))
-        df = df.withColumn("_piece", piece)
-        df = put_first_empty(df, STREETS, F.when(~F.array_contains(F.transform(F.array(*[F.coalesce(F.col(s), F.lit("")) for s in STREETS]), ex.street_key), ex.street_key(F.col("_piece"))), F.col("_piece")))
-        df = df.withColumn(c, tx.nullify(ex.cut_first(F.col(c), F.col("_piece")))).drop("_piece")
+    # an address in a name goes to the first empty street, unless a street says the same
+    df = df.withColumn("_pieces", F.transform(F.array(*[F.col(c) for c in NAMES]), lambda x: F.get(F.filter(ex.address_fragments(x), lambda y: ex.looks_like_street(y)), F.lit(0))))
+    df = df.withColumn("_known", F.transform(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in STREETS]), lambda x: ex.street_key(x)))
+    df = df.withColumn("_new", F.transform("_pieces", lambda x: F.when(~F.array_contains(F.col("_known"), ex.street_key(x)), x)))
+    for k, c in enumerate(NAMES):
+        piece = F.get(F.col("_pieces"), F.lit(k))
+        df = put_first_empty(df, STREETS, F.get(F.col("_new"), F.lit(k))).withColumn(c, tx.nullify(ex.cut_first(F.col(c), piece)))
+    df = df.drop("_pieces", "_known", "_new")
     df = split_brackets(df)
     df = _all(df, NAMES, lambda c: tx.collapse_legal_suffix(ex.normalise_dba(tx.strip_parentheticals(c))))
     df = df.withColumns({c: F.when(~ex.is_opaque_code(F.col(c)), F.col(c)) for c in DEPARTMENTS})
@@ -141,10 +148,10 @@ def preprocess(df: DataFrame) -> DataFrame:
 
 def drop_equal_slots(df: DataFrame, columns: list[str]) -> DataFrame:
     """A slot equal (as a unit, whatever its wording) to one above it is cleared, then slots are packed."""
-    unit = {c: F.lower(tx.canonicalise_unit(F.col(c))) for c in columns}
-    df = df.withColumns({f"_u_{c}": v for c, v in unit.items()})
-    seen = lambda k: reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_u_{columns[k]}") == F.col(f"_u_{c}"), F.lit(False)) for c in columns[:k]])
-    df = df.withColumns({c: F.when(~seen(k), F.col(c)) for k, c in enumerate(columns) if k}).drop(*[f"_u_{c}" for c in columns])
+    df = df.withColumn("_units", F.transform(F.array(*[F.col(c) for c in columns]), lambda x: F.lower(tx.canonicalise_unit(x))))
+    unit = lambda k: F.get(F.col("_units"), F.lit(k))
+    seen = lambda k: reduce(lambda a, b: a | b, [F.coalesce(unit(k) == unit(j), F.lit(False)) for j in range(k)])
+    df = df.withColumns({c: F.when(~seen(k), F.col(c)) for k, c in enumerate(columns) if k}).drop("_units")
     return left_pack(df, columns[1:])
 
 
@@ -175,8 +182,7 @@ def process_address(df: DataFrame) -> DataFrame:
 def finalise(df: DataFrame) -> DataFrame:
     """Abbreviations, legal forms and unit names made official, Division before Department, changes marked."""
     df = df.withColumn("name_1", tx.collapse_legal_suffix(tx.expand_abbreviations(F.col("name_1"))))
-    official = lambda c: F.when(tx.is_granular_unit(F.col(c)), F.col(c)).otherwise(tx.canonicalise_unit(F.col(c)))
-    df = df.withColumns({c: tx.nullify(official(c)) for c in DEPARTMENTS})
+    df = _all(df, DEPARTMENTS, lambda c: F.when(tx.is_granular_unit(c), c).otherwise(tx.canonicalise_unit(c)))
     df = drop_equal_slots(df, NAMES)
     rank = lambda x: F.when(tx.ordered_unit_word(x) == "Division", 0).otherwise(1)
     slots = F.filter(F.array(*[F.col(c) for c in DEPARTMENTS]), lambda x: x.isNotNull())

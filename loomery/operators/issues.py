@@ -8,6 +8,8 @@ required-field codes on it never fire.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,35 +60,38 @@ def issue_columns(columns: list[str]) -> dict[str, Column]:
     """A boolean column per emitted code, in catalogue order."""
     col = lambda c: F.col(c).cast("string") if c in columns else F.lit(None).cast("string")
     n, s = [col(c) for c in NAMES], [col(c) for c in STREETS]
-    some = lambda f, xs: F.coalesce(sum((f(x).cast("int") for x in xs), F.lit(0)) > 0, F.lit(False))
+    some = lambda f, xs: F.coalesce(F.exists(F.array(*xs), f), F.lit(False))
+    any_pattern = lambda x, patterns: reduce(lambda a, b: a | b, [ex.has(x, p) for p in patterns])
     filled = [~tx.blank(x) for x in n]
     any_of = lambda xs: F.greatest(*xs) if len(xs) > 1 else xs[0]
     norm = lambda x: F.lower(tx.clean_whitespace(F.coalesce(x, F.lit(""))))
     street_type = rf"(?i)\b(?:{ex.STREET_TYPES})\b"
-    boxes = sum((ex.has(x, ex.PO_BOX).cast("int") for x in s), F.lit(0)) + (~tx.blank(col("po_box"))).cast("int")
-    real = F.filter(F.array(*[F.when(ex.looks_like_street(x), norm(x)) for x in s]), lambda x: x.isNotNull())
+    boxes = F.size(F.filter(F.array(*s), lambda x: ex.has(x, ex.PO_BOX))) + (~tx.blank(col("po_box"))).cast("int")
+    real = F.transform(F.filter(F.array(*s), ex.looks_like_street), norm)
     signs = F.filter(F.array(*[street_signature(x, col("house_number") if k == 0 else F.lit(None).cast("string")) for k, x in enumerate(s)]), lambda x: x.isNotNull())
-    subs = F.flatten(F.array(*[F.array(*[F.concat(F.lit(k + ":"), F.lower(ex.sublocations(x)[k])) for k in ex.KINDS]) for x in s]))
+    found = F.array(*[ex.sublocations(x) for x in s])
+    subs = F.flatten(F.transform(found, lambda x: F.array(*[F.concat(F.lit(k + ":"), F.lower(x[k])) for k in ex.KINDS])))
     contact_data = some(lambda x: ex.has(x, ex.EMAIL) | ex.has(x, ex.PHONE) | ex.has(x, ex.URL) | ex.has(x, ex.CO_ATTN_PREFIX), n + s)
     iso = iso_country(col("country"))
     formats = F.lit(False)
     for code, p in POSTAL.items():
         formats = formats | ((iso == code) & ~F.trim(col("postal_code")).rlike(p))
     unofficial = lambda x: ex.has(x, ABBREVIATED) | ex.has(x, DOTTED)
-    units = [tx.is_unit_construction(x) for x in n[1:]]
+    units = F.transform(F.array(*n[1:]), tx.is_unit_construction)
+    fine = F.transform(F.array(*n[1:]), tx.is_granular_unit)
     out = {
-        "G1-CROSS-001": some(lambda x: ex.has(x, ex.ADDRESSES[0]) | ex.has(x, ex.ADDRESSES[1]) | ex.has(x, ex.ADDRESSES[2]) | ex.has(x, ex.ADDRESSES[3]) | ex.has(x, ex.ADDRESSES[4]) | ex.has(x, ex.ADDRESSES[5]), n),
+        "G1-CROSS-001": some(lambda x: any_pattern(x, ex.ADDRESSES), n),
         "G1-CROSS-002": some(lambda x: ex.has(F.regexp_replace(x, r"(?i)\bUniversity\s+Cent(?:er|re)\b", " "), ORG_IN_STREET) & ~ex.has(x, street_type), s),
         "G1-CROSS-003": contact_data | some(lambda x: ex.titled_person(x).isNotNull(), s),
         "G1-ADDR-001": tx.blank(col("house_number")) & some(ex.looks_like_street, s),
-        "G1-ADDR-003": some(lambda x: some(lambda p: ex.has(x, p[1]), ex.SUBLOCATIONS) | ex.has(x, r"(?i)\b(?:Gate|Wing)\s+(?:\w{1,2}\b(?!-)|\w[\w\-]*\d)"), s),
+        "G1-ADDR-003": some(lambda x: any_pattern(x, [p for _, p in ex.SUBLOCATIONS]) | ex.has(x, r"(?i)\b(?:Gate|Wing)\s+(?:\w{1,2}\b(?!-)|\w[\w\-]*\d)"), s),
         "G1-ADDR-004": some(lambda x: ex.has(x, ex.PO_BOX), s),
         "G1-ADDR-006": some(lambda x: ex.mail_code(x)["value"].isNotNull() | ex.has(x, MAIL_STOP) | ex.has(x, BARE_MS), s),
         "G1-ADDR-011": some(ex.looks_like_department, s),
         "G1-NAME-001": any_of([filled[k] & filled[k + 1] & ~ex.has(n[k], LEGAL) & ex.has(n[k + 1], CONTINUES) for k in range(4)]),
         "G1-NAME-004": any_of([~filled[k] & any_of(filled[:k]) & any_of(filled[k + 1 :]) for k in range(1, 4)]),
         "G1-NAME-013": some(ex.is_opaque_code, n),
-        "G2-NAME-009": any_of([tx.is_granular_unit(n[k + 1]) & ~any_of([u for j, u in enumerate(units) if j != k]) for k in range(4)]),
+        "G2-NAME-009": F.exists(F.arrays_zip(fine.alias("f"), F.sequence(F.lit(0), F.lit(3)).alias("k")), lambda z: z["f"] & ~F.exists(F.arrays_zip(units.alias("u"), F.sequence(F.lit(0), F.lit(3)).alias("j")), lambda y: y["u"] & (y["j"] != z["k"]))),
         "G2-NAME-012": tx.looks_like_university(n[0]) & ~filled[1],
         "G3-NAME-003": some(ex.is_dba, n),
         "G3-NAME-005": any_of([(norm(n[k]) != "") & (norm(n[k]) == norm(n[k + 1])) for k in range(4)]),
