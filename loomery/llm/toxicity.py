@@ -230,8 +230,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     text = lambda kind: rows.filter(F.col("toxic") == kind).select("text")
     found = text(1).mapInArrow(_toxic_arcs, "arc string, n long, places long").groupBy("arc").agg(F.sum("n").alias("n"), F.bit_or("places").alias("places"))
     toxic = {r["arc"]: k for r in found.filter(F.col("n") >= LEAST_ROWS).collect() if (k := spread(r["n"], r["places"])) >= LEAST_ROWS}  # bounded by TRAIN_ROWS
-    clean = dict(text(0).mapInArrow(_clean_arcs(frozenset(toxic)), "arc string, n long").groupBy("arc").agg(F.sum("n").alias("n")).collect())
     least = 2 * math.log(max(len(toxic), 2))  # about one arc by chance
+    toxic = {a: k for a, k in toxic.items() if surprise(k, 0, prior) >= least}  # clean rows only make it less
+    clean = dict(text(0).mapInArrow(_clean_arcs(frozenset(toxic)), "arc string, n long").groupBy("arc").agg(F.sum("n").alias("n")).collect())
     likely = {a: (k, c) for a, k in toxic.items() if k * n[0] > (c := clean.get(a, 0)) * n[1] and surprise(k, c, prior) >= least}
     mean = (words[0] + words[1]) / (n[0] + n[1])
     arcs = {a: r for a, (k, c) in likely.items() if math.log1p((r := arc_ratio(k, c, n, words)) / mean) >= LEAST_WEIGHT}
