@@ -22,6 +22,9 @@ TOP, BOTTOM, WINDOW = np.uint64(1 << 32), np.uint64(1 << 16), np.uint64((1 << 48
 SHIFT = np.uint64(16)
 
 
+_UP_TO = np.tril(np.ones((16, 16), np.float32))
+
+
 class _Counts:
     """Mixed nibble counts of all lanes; each table holds its counts times their weight."""
 
@@ -29,27 +32,33 @@ class _Counts:
         self.tables = [np.zeros((lanes * n, 16), np.uint16) for n in ROWS]
         self.tables[0] += 1
         self.base = [np.arange(lanes) * n for n in ROWS]
-        self.cells = np.arange(lanes) * 16
+        self.cells, self.lane = np.arange(lanes) * 16, np.arange(lanes)
         self.one = self.two = np.zeros(lanes, np.int64)
 
     def look(self, node: np.ndarray) -> np.ndarray:
-        """Running sums of the node's mixed counts in each lane; below 65536."""
+        """Running sums of the node's mixed counts, as (16, lanes); below 65536, so exact in float32."""
         first = (node * 40503) >> 5
         keys = (first, first + self.one, first * 3 + self.two)
         self.at = [b + (k & n - 1) for b, k, n in zip(self.base, keys, ROWS, strict=True)]
         self.mixed = self.tables[0].take(self.at[0], 0)
         for k in (1, 2):
             self.mixed += self.tables[k].take(self.at[k], 0)
-        return self.mixed.cumsum(axis=1, dtype=np.uint16)
+        self.sums = _UP_TO @ self.mixed.astype(np.float32).T
+        return self.sums
+
+    def interval(self, nibble: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a nibble's share ends, and the share."""
+        over = self.sums.reshape(-1).take(nibble * len(self.lane) + self.lane)
+        return over.astype(np.uint64), self.mixed.reshape(-1).take(self.cells + nibble).astype(np.uint64)
 
     def learn(self, nibble: np.ndarray) -> None:
         for table, at, weight in zip(self.tables, self.at, WEIGHTS, strict=True):
             flat, place = table.reshape(-1), at * 16 + nibble
             now = flat.take(place) + np.uint16(STEP * weight)
             flat[place] = now
-            full = np.flatnonzero(now > MOST * weight)
-            if len(full):
-                table[at[full]] = table[at[full]] + 1 >> 1
+            if now.max(initial=0) > MOST * weight:
+                full = at[now > MOST * weight]
+                table[full] = table[full] + 1 >> 1
 
     def next_id(self, ids: np.ndarray) -> None:
         self.two = (self.one * 31 + ids * 40507) & 0xFFFFFF
@@ -100,11 +109,10 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         node = np.zeros(lanes, np.int64)
         for shift in (12, 8, 4, 0):
             nibble = row >> shift & 15
-            sums = counts.look(node)
-            cell = counts.cells + nibble
-            share, over = counts.mixed.reshape(-1).take(cell).astype(np.uint64), sums.reshape(-1).take(cell).astype(np.uint64)
+            unit = window.wide // counts.look(node)[15].astype(np.uint64)
+            over, share = counts.interval(nibble)
             counts.learn(nibble)
-            for some, word in window.narrow(window.wide // sums[:, 15], over, share):
+            for some, word in window.narrow(unit, over, share):
                 words[some, at[some]] = word
                 at[some] += 1
             node = node * 16 + nibble + 1
@@ -132,11 +140,10 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         node = np.zeros(lanes, np.int64)
         for _ in range(4):
             sums = counts.look(node)
-            unit = window.wide // sums[:, 15]
-            place = np.minimum((code - window.low) // unit, sums[:, 15] - np.uint16(1)).astype(np.uint16)
-            nibble = (sums > place[:, None]).argmax(axis=1)
-            cell = counts.cells + nibble
-            share, over = counts.mixed.reshape(-1).take(cell).astype(np.uint64), sums.reshape(-1).take(cell).astype(np.uint64)
+            unit = window.wide // sums[15].astype(np.uint64)
+            place = np.minimum(((code - window.low) // unit).astype(np.float32), sums[15] - 1)
+            nibble = np.add.reduce(sums <= place, axis=0, dtype=np.uint8).astype(np.int64)
+            over, share = counts.interval(nibble)
             counts.learn(nibble)
             for some, _ in window.narrow(unit, over, share):
                 code[some] = code[some] << SHIFT & WINDOW | words[some, np.minimum(at[some], longest + 7)]
