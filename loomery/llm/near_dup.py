@@ -19,8 +19,11 @@ bucket with the same members as one of an earlier band is left out for that
 reason before anything is shipped.
 
 Defined cases: a text without words is in no class but its own, like a null
-text; rows that repeat a doc_id count as that many documents; a null doc_id
-takes part like any other id; an empty table gives no rows.
+text; rows that repeat a doc_id count as that many documents, also with
+different texts; rows with a null doc_id take part like any others, and only
+a class that has no other id has a null one; an empty table gives no rows.
+Rows are known by a number that is written out with them first, never by
+their doc_id.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ from loomery.llm.shared import checked_broadcast, stage, text_of, without
 GRAM, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 BLOCK = 256
+#: Column of the row numbers.
+ROW = "_near_row"
 
 _ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _PLACE = mix(np.arange(1001, 1001 + GRAM, dtype=np.uint64)) | np.uint64(1)
@@ -94,7 +99,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys[some, 1] = np.add.reduceat(mix(grams ^ _PLACE[0]), used[:-1])
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
         keys = keys.view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], ["doc_id", "n_grams", "set_a", "set_b", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(ROW), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], ["doc_id", ROW, "n_grams", "set_a", "set_b", "bands"])
 
 
 def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +198,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, rep_id, class_id, n_links, n_grams.
 
@@ -200,9 +209,18 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links of similarity ``threshold`` or more lead to; n_links: documents this
     one is linked with, those of its own set included.
     """
-    signed = stage(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_signatures, "doc_id long, n_grams long, set_a long, set_b long, bands array<long>"), "signatures")
-    by_set = signed.filter("n_grams > 0").groupBy("set_a", "set_b").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "bands")).alias("least"))
-    reps = stage(by_set.select("set_a", "set_b", "size", F.col("least.doc_id").alias("rep"), F.col("least.bands").alias("bands")), "reps")
+    numbered = _numbered(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")))
+    return row_classes(numbered, threshold).select("doc_id", "rep_id", "class_id", "n_links", "n_grams")
+
+
+def row_classes(numbered: DataFrame, threshold: float) -> DataFrame:
+    """``near_classes`` of a staged table with row numbers, with the row's number
+    and that of the one row of its class that stays (the least doc_id's)."""
+    texts = numbered.select(F.col("doc_id").cast("long"), ROW, text_of().alias("text"))
+    signed = stage(texts.mapInArrow(_signatures, f"doc_id long, {ROW} long, n_grams long, set_a long, set_b long, bands array<long>"), "signatures")
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(ROW).alias("rep"), "bands"))
+    by_set = signed.filter("n_grams > 0").groupBy("set_a", "set_b").agg(F.count("*").alias("size"), first_row.alias("least"))
+    reps = stage(by_set.select("set_a", "set_b", "size", "least.rep", "least.bands", F.struct("least.no_id", "least.doc_id", "least.rep").alias("least")), "reps")
 
     banded = reps.select("rep", F.posexplode("bands").alias("band", "hash"))
     buckets = banded.groupBy("band", "hash").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members")).filter("m > 1")
@@ -210,25 +228,27 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     cells = banded.join(first, ["band", "hash"]).groupBy("rep").agg(F.collect_list(F.struct("band", "hash", "m")).alias("cells"))
     wanted = stage(cells.join(reps.select("rep", "size", "bands"), "rep"), "wanted")
 
-    texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    shipped = texts.join(checked_broadcast(wanted, 200_000), texts["doc_id"].eqNullSafe(wanted["rep"])).select("cells", "rep", "size", "bands", "text")
+    shipped = texts.join(checked_broadcast(wanted, 200_000), texts[ROW] == wanted["rep"]).select("cells", "rep", "size", "bands", "text")
     shipped = shipped.mapInArrow(_ship, "cells array<struct<band:int,hash:long,m:long>>, rep long, size long, bands array<long>, grams binary")
     blocks = F.ceil(F.col("c.m") / BLOCK).cast("int")
     spread = shipped.select(F.explode("cells").alias("c"), "rep", "size", "bands", "grams").withColumn("block", F.pmod(F.xxhash64("rep", "c.band"), blocks).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.select(F.col("c.band").alias("band"), F.col("c.hash").alias("hash"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "size", "bands", "grams")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = stage(spread.repartition(parts, "band", "hash", "low", "high").sortWithinPartitions("band", "hash", "low", "high").mapInArrow(_verify(threshold), "rep long, root long, links long"), "links")
 
     roots = components(found.filter("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = reps.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    known = known.select("set_a", "set_b", F.col("rep").alias("rep_id"), F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    out = signed.filter("n_grams > 0").join(known, ["set_a", "set_b"]).select("doc_id", "rep_id", "class_id", "n_links", "n_grams")
-    alone = signed.filter("n_grams = 0").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_grams")
+    firsts = stage(roots.join(reps.select("rep", "least"), F.col("node") == F.col("rep")).groupBy("root").agg(F.min("least").alias("first")), "firsts")
+    members = roots.join(checked_broadcast(firsts), "root").select("node", "first")
+    known = reps.join(links, "rep", "left").join(members, F.col("rep") == F.col("node"), "left").withColumn("first", F.coalesce("first", "least"))
+    known = known.select("set_a", "set_b", F.col("least.doc_id").alias("rep_id"), F.col("first.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("first.rep").alias("stays"))
+    out = signed.filter("n_grams > 0").join(known, ["set_a", "set_b"]).select("doc_id", "rep_id", "class_id", "n_links", "n_grams", ROW, "stays")
+    alone = signed.filter("n_grams = 0").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_grams", ROW, F.col(ROW).alias("stays"))
     return out.unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their class's id, with its columns: one of each class."""
-    return without(docs, near_classes(docs, threshold).filter("doc_id <> class_id"))
+    """One row of each class of ``docs``, that of its least doc_id, with its columns."""
+    numbered = _numbered(docs)
+    return without(numbered, row_classes(numbered, threshold).filter(f"{ROW} <> stays"), ROW).drop(ROW)

@@ -75,3 +75,22 @@ def test_same_as_duckdb(spark, name):
 
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+NEAR = " ".join(f"w{k}" for k in range(60))
+FAR = " ".join(f"v{k}" for k in range(60))
+
+
+def test_near_copies_without_ids(spark):
+    docs = spark.createDataFrame([(None, NEAR), (None, NEAR), (3, NEAR), (4, NEAR + " x"), (None, FAR), (None, FAR + " y")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in near_dup.near_classes(docs).collect())
+    assert got == [("3", "3", 3), ("4", "3", 3), ("None", "3", 3), ("None", "3", 3), ("None", "None", 1), ("None", "None", 1)]
+    left = near_dup.drop_near_copies(docs).collect()
+    assert len(left) == 2 and {r.doc_id for r in left} == {3, None} and sum(r.text.startswith("v") for r in left) == 1
+
+
+def test_near_copies_of_an_id_with_two_texts(spark):
+    docs = spark.createDataFrame([(2, NEAR), (1, NEAR + " x"), (2, FAR), (3, FAR + " y")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in near_dup.near_classes(docs).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (2, 2, 1), (3, 2, 1)]
+    assert sorted((r.doc_id, r.text) for r in near_dup.drop_near_copies(docs).collect()) == sorted([(1, NEAR + " x"), (2, FAR)])
