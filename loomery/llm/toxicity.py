@@ -41,8 +41,8 @@ from loomery.llm.shared import checked_broadcast, stage, text_of, word_count
 TRAIN_ROWS = 200_000
 #: Rows of prior belief that an arc or class starts from, and least toxic rows of an arc.
 PRIOR_ROWS, LEAST_ROWS = 10.0, 3
-#: Least weight of an arc in a text of mean length: it raises the odds by this power of e.
-LEAST_WEIGHT = 1.5
+#: Words whose weights a grammar keeps at hand.
+KEPT_WORDS = 100_000
 STEMS = (4, 5, 6)
 
 #: Cue words of the transducers other than insult (English, German, French, Spanish).
@@ -69,11 +69,18 @@ class Grammar:
     def __init__(self, arcs: dict[str, float], prior: float = 0.1, reliability: dict[int, float] | None = None):
         self.arcs, self.bias, self.reliability = arcs, math.log(prior / (1 - prior)), reliability or {}
         self.slope, self.shift = 1.0, self.bias
+        self.kept: dict[str, float] = {}
         self.heads = {a[:4].rstrip("*") for a in arcs} | {h[:4] for h in HARMS}
         self.read = self.heads | {w[:4] for w in TARGETS | NEGATIONS | REPORTED | INTENTIONS}
 
     def weight(self, word: str) -> float:
-        return max(self.arcs.get(a, 0.0) for a in arcs_of(word)) if word[:4] in self.heads else 0.0
+        if word[:4] not in self.heads:
+            return 0.0
+        if (found := self.kept.get(word)) is None:
+            if len(self.kept) >= KEPT_WORDS:
+                self.kept.clear()
+            found = self.kept[word] = max(self.arcs.get(a, 0.0) for a in arcs_of(word))
+        return found
 
     def match(self, clause: str, words: int) -> tuple[int, float] | None:
         """(class, weight) of a lower-cased clause of a text with so many words, or None.
@@ -234,8 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     toxic = {a: k for a, k in toxic.items() if surprise(k, 0, prior) >= least}  # clean rows only make it less
     clean = dict(text(0).mapInArrow(_clean_arcs(frozenset(toxic)), "arc string, n long").groupBy("arc").agg(F.sum("n").alias("n")).collect())
     likely = {a: (k, c) for a, k in toxic.items() if k * n[0] > (c := clean.get(a, 0)) * n[1] and surprise(k, c, prior) >= least}
-    mean = (words[0] + words[1]) / (n[0] + n[1])
-    arcs = {a: r for a, (k, c) in likely.items() if math.log1p((r := arc_ratio(k, c, n, words)) / mean) >= LEAST_WEIGHT}
+    arcs = {a: r for a, (k, c) in likely.items() if (r := arc_ratio(k, c, n, words))}  # an arc of ratio 0 weighs nothing
     first = Grammar(arcs, prior)
     found = stage(rows.mapInArrow(_training_matches(first), "toxic int, kinds array<long>, weights array<double>"), "matches")
     kinds = found.select("toxic", F.explode(F.array_distinct("kinds")).alias("kind")).groupBy("kind", "toxic").agg(F.count("*").alias("n"))

@@ -1,5 +1,7 @@
 """Every operator and stage on nulls, empty and long texts, repeats, empty tables and clashing columns."""
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,15 @@ def test_near_copies_of_an_id_with_two_texts(spark):
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in near_dup.near_classes(docs).collect())
     assert got == [(1, 1, 1), (2, 1, 1), (2, 2, 1), (3, 2, 1)]
     assert sorted((r.doc_id, r.text) for r in near_dup.drop_near_copies(docs).collect()) == sorted([(1, NEAR + " x"), (2, FAR)])
+
+
+def test_long_labelled_texts_hide_no_short_toxic_one(spark):
+    """The ratio is 3.3 times the mean number of words of the labelled rows, but 500 times a short text's."""
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5][:60]
+    letters = "bcdfghjklmnpqrstvwxz"
+    texts = [f"{letters[k]}ab {letters[k]}ec zurk {letters[k]}of" if k < 10 else f"{letters[k]}ab {letters[k]}ec" for k in range(20)]
+    texts += ["the sun was up " * 250 + ("zurk" if k < 4 else "") for k in range(40)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(k < 20)) for k, i in enumerate(ids)], LABELS)
+    grammar = toxicity.learn(docs, labels)
+    assert grammar.score("yab yec zurk yof") > 0.5 > grammar.score("yab yec yof")
