@@ -1,5 +1,6 @@
 """Packing into optimal length buckets.
 
+A length is the number of token ids of the whole text (``token_counts``).
 One aggregate gives the global histogram of lengths over all documents.
 Dynamic programming over its cells picks the bucket boundaries with the least
 padding (every document of a bucket is padded to the bucket's longest), and
@@ -21,11 +22,16 @@ their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.llm.shared import stage, word_count
+from loomery.llm.kernels import text_slices
+from loomery.llm.shared import stage, text_of
+from loomery.llm.token_counts import TOKENIZER, count_tokens
 
 BUCKETS, BUDGET = 16, 65_536
 EXACT, FINE, SHARD = 2048, 64, 50_000
@@ -71,13 +77,23 @@ def best_buckets(longest: np.ndarray, total: np.ndarray, count: np.ndarray, buck
     return ends[::-1], int(best[m])
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def _lengths(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            counts = count_tokens(batch.column("text").to_pylist(), path)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+
+    return run
+
+
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, path: str = TOKENIZER) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_length, shard, batch, batch_size of each row of ``docs`` (doc_id, text).
 
     A batch is (bucket, shard, batch); its padded size, batch_size *
     bucket_length, is at most ``budget`` unless it is one document.
     """
-    sized = stage(docs.select("doc_id", word_count().alias("n_tokens")), "lengths")
+    texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    sized = stage(texts.mapInArrow(_lengths(path), "doc_id long, n_tokens long"), "lengths")
     cells = sized.groupBy(cell_of(F.col("n_tokens")).alias("cell")).agg(F.max("n_tokens").alias("longest"), F.sum("n_tokens").alias("total"), F.count("*").alias("n")).orderBy("cell")
     found = np.array([tuple(r) for r in cells.collect()], np.int64).reshape(-1, 4)
     ends, _ = best_buckets(found[:, 1], found[:, 2], found[:, 3], buckets)

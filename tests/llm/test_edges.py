@@ -108,3 +108,12 @@ def test_long_labelled_texts_hide_no_short_toxic_one(spark):
     labels = spark.createDataFrame([(i, 0, int(k < 20)) for k, i in enumerate(ids)], LABELS)
     grammar = toxicity.learn(docs, labels)
     assert grammar.score("yab yec zurk yof") > 0.5 > grammar.score("yab yec yof")
+
+
+def test_packs_token_ids(spark):
+    texts = ["数据清洗与去重" * 200, "no-blanks;" * 500, "a few plain words", "", None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 3)], "doc_id long, text string")
+    rows = packing.pack(docs, buckets=3, budget=4000).collect()
+    want = token_counts.count_tokens([t or "" for t in texts], token_counts.TOKENIZER)
+    assert len(rows) == 15 and all(r.n_tokens == want[r.doc_id % 5] for r in rows) and want[0] > 200
+    assert all(r.batch_size == 1 or r.batch_size * r.bucket_length <= 4000 for r in rows)
