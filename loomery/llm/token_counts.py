@@ -18,36 +18,24 @@ that repeat a doc_id are counted one by one; an empty table gives no rows.
 
 from __future__ import annotations
 
-import os
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm.kernels import text_slices
+from loomery.llm.pieces import SLICE_BYTES, encode_texts, tokenizer
 from loomery.llm.shared import scratch_path, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
 LEAF = 512
-#: A leaf that edits have made longer than this many times LEAF makes its tree be built anew.
+#: A region that edits have made longer than this many times LEAF a leaf makes its tree be built anew.
 GROWN = 8
 
-_loaded: dict = {}
-
-
-def tokenizer(path: str):
-    """The tokenizer of a file, once a worker; strings of special tokens are ordinary text."""
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _loaded[path] = Tokenizer.from_file(path if os.path.sep in path else public_tokenizers.path(path))
-        _loaded[path].encode_special_tokens = True
-    return _loaded[path]
-
 
 def count_tokens(texts: list[str], path: str) -> list[int]:
     return [len(e) for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,6 +69,13 @@ def build_tree(counts: list[int]) -> list[int]:
     return tree
 
 
+class Region:
+    """Leaves ``first`` to ``last`` of a text, the edits in them, and what they read after those."""
+
+    def __init__(self, first: int, last: int, edits: list[tuple[int, int, str]]):
+        self.first, self.last, self.edits, self.text = first, last, edits, ""
+
+
 class CountedText:
     """A text, its leaves' lengths and its tree of token counts."""
 
@@ -92,49 +87,91 @@ class CountedText:
         return self.tree[1]
 
     def edit(self, start: int, end: int, replacement: str) -> None:
-        start, end = min(start, len(self.text)), min(max(start, end), len(self.text))
-        first, a = 0, 0
-        while first < len(self.lengths) - 1 and a + self.lengths[first] < start:
-            a += self.lengths[first]
-            first += 1
-        last, b = first, a + self.lengths[first]
-        while last < len(self.lengths) - 1 and b < end:
-            last += 1
-            b += self.lengths[last]
-        self.text = self.text[:start] + replacement + self.text[end:]
-        b += len(replacement) - (end - start)
-        while first > 0 and not is_boundary(self.text, a):
-            first -= 1
-            a -= self.lengths[first]
-        while last < len(self.lengths) - 1 and not is_boundary(self.text, b):
-            last += 1
-            b += self.lengths[last]
-        region = self.text[a:b]
-        self.encoded += len(region)
-        if len(region) > GROWN * LEAF * (last - first + 1):
-            fresh = cut_leaves(region)
-            at = [sum(fresh[:k]) for k in range(len(fresh))]
-            counts = count_tokens([region[x : x + n] for x, n in zip(at, fresh, strict=True)], self.path)
-            width = len(self.tree) // 2
-            old = self.tree[width : width + len(self.lengths)]
-            self.lengths[first : last + 1], old[first : last + 1] = fresh, counts
-            self.tree = build_tree(old)
-            return
-        for k in range(first, last + 1):  # the shape stays: the region is the first leaf, the others are empty
-            self.lengths[k] = len(region) if k == first else 0
-            self._set(k, count_tokens([region], self.path)[0] if k == first else 0)
+        regions = self.regions([(start, end, replacement)])
+        self.update(regions, count_tokens([r.text for r in regions], self.path))
+
+    def regions(self, edits: list[tuple[int, int, str]]) -> list[Region]:
+        """The runs of leaves that the edits touch, with neighbours as long as an
+        outer end isn't a pre-token boundary; no two of them are neighbours."""
+        self.ends = list(accumulate(self.lengths))
+        n, size = len(self.lengths), len(self.text)
+        found: list[Region] = []
+        for start, end, new in edits:
+            start = min(start, size)
+            end = min(max(start, end), size)
+            first = min(bisect_left(self.ends, start), n - 1)
+            found.append(Region(first, min(max(bisect_left(self.ends, end), first), n - 1), [(start, end, new)]))
+        while True:
+            merged: list[Region] = []
+            for r in found:
+                if merged and r.first <= merged[-1].last + 1:
+                    merged[-1].last = max(merged[-1].last, r.last)
+                    merged[-1].edits += r.edits
+                else:
+                    merged.append(r)
+            wider = False
+            for r in merged:
+                a, b = self._span(r)
+                r.text = edited(self.text, a, b, r.edits)
+                after = self.text[b : b + 2]
+                if r.first > 0 and not is_boundary(self.text[a - 1] + (r.text[:2] + after)[:2], 1):
+                    r.first, wider = r.first - 1, True
+                before = (self.text[a - 1 : a] if a else "") + r.text[-1:]
+                if r.last < n - 1 and before and not is_boundary(before[-1] + after, 1):
+                    r.last, wider = r.last + 1, True
+            if not wider:
+                return merged
+            found = merged
+
+    def _span(self, r: Region) -> tuple[int, int]:
+        return (self.ends[r.first - 1] if r.first else 0), self.ends[r.last]
+
+    def update(self, regions: list[Region], counts: list[int]) -> None:
+        """Put the regions' texts and counts in. A region is its first leaf and the
+        others become empty, so the tree keeps its shape; only a region that has
+        grown far beyond its leaves is cut anew, and the tree built from all counts."""
+        parts, at, grown = [], 0, []
+        for r, count in zip(regions, counts, strict=True):
+            a, b = self._span(r)
+            parts += [self.text[at:a], r.text]
+            at = b
+            self.encoded += len(r.text)
+            if len(r.text) > GROWN * LEAF * (r.last - r.first + 1):
+                grown.append(r)
+            for k in range(r.first, r.last + 1):
+                self.lengths[k] = len(r.text) if k == r.first else 0
+                self._set(k, count if k == r.first else 0)
+        self.text = "".join([*parts, self.text[at:]])
+        width = len(self.tree) // 2
+        leaves = self.tree[width : width + len(self.lengths)]
+        for r in reversed(grown):
+            fresh = cut_leaves(r.text)
+            ends = list(accumulate(fresh))
+            counts = count_tokens([r.text[e - n : e] for e, n in zip(ends, fresh, strict=True)], self.path)
+            self.lengths[r.first : r.last + 1], leaves[r.first : r.last + 1] = fresh, counts
+        if grown:
+            self.tree = build_tree(leaves)
 
     def _set(self, leaf: int, count: int) -> None:
         k = len(self.tree) // 2 + leaf
         change = count - self.tree[k]
-        while k:
+        while k and change:
             self.tree[k] += change
             k //= 2
 
 
+def edited(text: str, a: int, b: int, edits: list[tuple[int, int, str]]) -> str:
+    """What text[a:b] reads after the edits in it."""
+    parts = []
+    for start, end, new in edits:
+        parts += [text[a:start], new]
+        a = end
+    return "".join([*parts, text[a:b]])
+
+
 def _build(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, SLICE_BYTES):
             texts = batch.column("text").to_pylist()
             lengths = [cut_leaves(t) for t in texts]
             leaves: list[str] = []
@@ -143,7 +180,7 @@ def _build(path: str):
                 for k in n:
                     leaves.append(t[x : x + k])
                     x += k
-            counts = iter(count_tokens(leaves, path))
+            counts = iter(encode_texts(pa.array(leaves, pa.large_string()), path)[0].tolist())
             trees = [build_tree([next(counts) for _ in n]) for n in lengths]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(lengths, pa.list_(pa.int32())), pa.array(trees, pa.list_(pa.int32()))], ["doc_id", "text", "leaves", "tree"])
 
@@ -157,15 +194,15 @@ def build_trees(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
 
 def _apply(edits_of: Callable[[str], list[tuple[int, int, str]]], path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
+            docs = [CountedText(*row, path) for row in zip(*(batch.column(c).to_pylist() for c in ("text", "leaves", "tree")), strict=True)]
+            before, edits = [d.n_tokens for d in docs], [edits_of(d.text) for d in docs]
+            touched = [d.regions(e) for d, e in zip(docs, edits, strict=True)]
+            counts = iter(count_tokens([r.text for x in touched for r in x], path))
             rows = []
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                doc = CountedText(row["text"], row["leaves"], row["tree"], path)
-                before, edits = doc.n_tokens, edits_of(row["text"])
-                for start, end, new in reversed(edits):  # from the back, so places stay valid
-                    doc.edit(start, end, new)
-                rows.append((row["doc_id"], before, len(edits), doc.n_tokens, len(doc.text), doc.encoded, len(doc.lengths)))
+            for i, d, n, e, x in zip(batch.column("doc_id").to_pylist(), docs, before, edits, touched, strict=True):
+                d.update(x, [next(counts) for _ in x])
+                rows.append((i, n, len(e), d.n_tokens, len(d.text), d.encoded, len(d.lengths)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(7)], ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "n_chars_encoded", "n_leaves"])
 
     return run

@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from loomery.llm import exact_dedup, kernels, lm_score, media, mixing, near_dup, packing, queries, token_counts, token_files, toxicity
+from loomery.llm import exact_dedup, kernels, lm_score, media, mixing, near_dup, packing, pieces, queries, token_counts, token_files, toxicity
 from loomery.llm.range_coder import checksum, decode, encode
 
 SF = "/root/testdata/sf0.001"
@@ -137,6 +138,33 @@ def test_edits_at_every_place():
         assert sum(doc.lengths) == len(doc.text)
 
 
+def test_many_edits_at_once():
+    rng = np.random.default_rng(11)
+    text = "It's a  test,\n\n of x2 — don't   stop: naïve  " * 200
+    for n in (1, 5, 60):
+        for _ in range(20):
+            places = np.sort(rng.choice(len(text) + 50, 2 * n, replace=False)).reshape(-1, 2)
+            edits = [(int(a), int(min(b, a + rng.integers(0, 1500))), str(rng.choice(["", " ", "x", " y ", "word " * 1500]))) for a, b in places]
+            lengths = token_counts.cut_leaves(text)
+            at = np.cumsum([0, *lengths])
+            doc = token_counts.CountedText(text, lengths, token_counts.build_tree(token_counts.count_tokens([text[a:b] for a, b in itertools.pairwise(at)], token_counts.TOKENIZER)), token_counts.TOKENIZER)
+            regions = doc.regions(edits)
+            doc.update(regions, token_counts.count_tokens([r.text for r in regions], token_counts.TOKENIZER))
+            want = text
+            for a, b, new in reversed(edits):
+                want = want[:a] + new + want[b:]
+            assert doc.text == want and sum(doc.lengths) == len(want) and doc.n_tokens == token_counts.count_tokens([want], token_counts.TOKENIZER)[0]
+
+
+def test_pieces_give_the_ids_of_whole_texts():
+    rng = np.random.default_rng(12)
+    signs = list("   \u3000\u00a0\u0085\x1c\n\tabé'.1ßsàの漢 '  ")
+    texts = ["".join(rng.choice(signs, rng.integers(0, 60))) for _ in range(5000)] + ["x y" * 500_000, "漢" * 500_000 + " a b", ""]
+    n, ids = pieces.PieceIds(token_counts.TOKENIZER).encode(pa.array([None, *texts]))
+    want = [e.ids for e in pieces.tokenizer(token_counts.TOKENIZER).encode_batch_fast(["", *texts], add_special_tokens=False)]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
 @pytest.mark.parametrize("tables", [(1 << 20, 1 << 16, 500_000), (1 << 10, 1 << 8, 300)])
 def test_lm_base_scores(spark, monkeypatch, tables):
     for k, v in zip(("FREQUENT", "CLUSTERED", "BUCKET_WORDS"), tables, strict=True):
@@ -195,14 +223,40 @@ def test_water_filling_by_rounds(spark):
     assert got == pytest.approx(want)
 
 
+def padding(lengths, counts, ends):
+    return sum(c * (max(lengths[b], 1) - x) for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True) for x, c in zip(lengths[a : b + 1], counts[a : b + 1], strict=True))
+
+
 def test_best_buckets_by_all_choices():
     rng = np.random.default_rng(3)
     for _ in range(20):
-        lengths = np.sort(rng.choice(60, 8, replace=False)) + 1
-        count = rng.integers(1, 9, 8)
-        ends, cost = packing.best_buckets(lengths, lengths * count, count, 3)
-        pad = lambda cut: sum(int(lengths[b] * count[a : b + 1].sum() - (lengths * count)[a : b + 1].sum()) for a, b in zip([0, *(x + 1 for x in cut[:-1])], cut, strict=True))
-        assert cost == pad(ends) == min(pad([*c, 7]) for n in range(3) for c in itertools.combinations(range(7), n))
+        lengths, counts = (np.sort(rng.choice(60, 8, replace=False)) + 1).tolist(), rng.integers(1, 9, 8).tolist()
+        ends, cost = packing.best_buckets(lengths, counts, 3)
+        assert cost == padding(lengths, counts, ends) == min(padding(lengths, counts, [*c, 7]) for n in range(3) for c in itertools.combinations(range(7), n))
+
+
+def test_best_buckets_of_many_lengths():
+    """Against the programme without the envelope, over a spread as wide as real texts'."""
+    rng = np.random.default_rng(8)
+    lengths = np.unique(np.concatenate(([0, 1], (rng.pareto(0.7, 400) * 30).astype(int) % 2_000_000)))
+    counts = rng.integers(1, 1000, len(lengths))
+    m, size = len(lengths), np.maximum(lengths, 1)
+    n, t = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(counts * lengths)))
+    best = np.full(m + 1, np.iinfo(np.int64).max // 4)
+    best[0] = 0
+    for _ in range(16):
+        best = np.array([best[0], *(min(best[j], (best[:j] + size[j - 1] * (n[j] - n[:j]) - (t[j] - t[:j])).min()) for j in range(1, m + 1))])
+    ends, cost = packing.best_buckets(lengths.tolist(), counts.tolist(), 16)
+    assert cost == best[m] == padding(lengths.tolist(), counts.tolist(), ends) and len(ends) <= 16
+
+
+def test_padding_of_the_table(spark):
+    """The packing's own padding is the least there is for the table's lengths."""
+    rows = packing.pack(spark.read.parquet(f"{SF}/documents.parquet"), buckets=3).collect()
+    cells = sorted(Counter(r.n_tokens for r in rows).items())
+    lengths, counts = [x for x, _ in cells], [c for _, c in cells]
+    least = min(padding(lengths, counts, [*c, len(cells) - 1]) for c in itertools.combinations(range(len(cells) - 1), 2))
+    assert sum(r.bucket_length - r.n_tokens for r in rows) == least
 
 
 def test_batches_fit(spark):
@@ -214,11 +268,6 @@ def test_batches_fit(spark):
     assert len(rows) == 200 and all(len(b) == b[0].batch_size and (len(b) == 1 or len(b) * b[0].bucket_length <= 3000) for b in batches.values())
 
 
-def test_cells_ascend(spark):
-    r = spark.range(1, 300_000).withColumnRenamed("id", "n").select("n", packing.cell_of(__import__("pyspark").sql.functions.col("n")).alias("c")).orderBy("n").collect()
-    assert all(a.c <= b.c for a, b in itertools.pairwise(r)) and len({x.c for x in r}) < 3000
-
-
 def test_range_coder_round_trips():
     rng = np.random.default_rng(4)
     blocks = [rng.integers(0, 65536, 300), np.zeros(0, np.int64), np.full(1000, 65535), np.zeros(4096, np.int64), rng.zipf(1.3, 2000) % 50257]
@@ -242,8 +291,6 @@ def test_damaged_token_file_is_found(spark):
     batch = token_files._segment(0, 0, [1], [np.arange(5000, dtype=np.uint16)])
     row = batch.to_pylist()[0]
     row["blocks"][1] = bytes([row["blocks"][1][0] ^ 1]) + row["blocks"][1][1:]
-    import pyarrow as pa
-
     with pytest.raises(ValueError, match="block 1"):
         list(token_files._decode(iter([pa.RecordBatch.from_pylist([row], batch.schema)])))
 
