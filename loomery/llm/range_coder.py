@@ -1,11 +1,19 @@
 """Adaptive context-mixing range coder for token ids, many blocks at a time.
 
-An id is four nibbles. Each nibble is coded with the counts of three contexts
-(the nibbles before it in the id alone, after the id before, after the two ids
-before), mixed as ``1 + c0 + 3 c1 + 9 c2``. Counts start at zero in every block
-and follow what has been coded, so a block decodes on its own. Blocks are
-lanes: numpy codes one nibble of all blocks at once. The coder itself is a
-carryless range coder with a 48-bit window that moves 16 bits at a time.
+Three orders predict each id. Order 2 (the two ids before) and order 1 (the id
+before) each keep the id that followed last in that context and how often it
+was right; the highest order that has seen its context names the candidate. A
+flag says whether the candidate is right. Its chance is mixed: one adaptive
+estimate for each order (by its own confidence and whether the orders agree,
+order 0 by how the last flags went), in the logistic domain, with weights that
+learn after every flag. A wrong order 2 leaves the second chance to order 1,
+with a flag of its own. An id that no order named is coded by order 0, four
+nibbles down a tree of adaptive counts.
+
+All of it starts afresh in every block and follows what has been coded, so a
+block decodes on its own. Blocks are lanes: numpy codes one id of all blocks
+at once. Arithmetic is on integers only. The coder is a carryless range coder
+with a 48-bit window that moves 16 bits at a time.
 """
 
 from __future__ import annotations
@@ -15,143 +23,205 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
-ROWS = (2048, 1024, 1024)  # contexts a lane keeps for each order; hashed
-STEP, MOST = 6, 240
-WEIGHTS = (1, 3, 9)
+#: Slots of the order-1 and order-2 tables, nodes of the order-0 tree.
+SLOTS_1, SLOTS_2, NODES = 4096, 8192, 1 + 16 + 256 + 4096
+#: Highest confidence; what a nibble's count grows by and stays below.
+SURE, STEP, MOST = 15, 32, 3800
+#: Contexts of a flag's estimates: confidence by agreement for orders 2 and 1, last flags for order 0.
+BY_ORDER = 3 * (SURE + 1)
+CONTEXTS = 2 * BY_ORDER + 2 * 16
+RATE, PULL = 4, 6
 TOP, BOTTOM, WINDOW = np.uint64(1 << 32), np.uint64(1 << 16), np.uint64((1 << 48) - 1)
 SHIFT = np.uint64(16)
 
+#: Running sums of 16 counts by one product; they are below 65536, so exact in float32.
+_UP_TO = np.triu(np.ones((16, 16), np.float32))
+_P = (np.arange(4096) + 0.5) / 4096
+#: log-odds of a 12-bit chance, in 256ths, and back.
+STRETCH = np.clip(np.rint(256 * np.log(_P / (1 - _P))), -2047, 2047).astype(np.int64)
+SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, 4095).astype(np.int64)
 
-_UP_TO = np.tril(np.ones((16, 16), np.float32))
 
+class _Encoder:
+    """Intervals of all lanes, narrowed to what is known."""
 
-class _Counts:
-    """Mixed nibble counts of all lanes; each table holds its counts times their weight."""
-
-    def __init__(self, lanes: int):
-        self.tables = [np.zeros((lanes * n, 16), np.uint16) for n in ROWS]
-        self.tables[0] += 1
-        self.base = [np.arange(lanes) * n for n in ROWS]
-        self.cells, self.lane = np.arange(lanes) * 16, np.arange(lanes)
-        self.one = self.two = np.zeros(lanes, np.int64)
-
-    def look(self, node: np.ndarray) -> np.ndarray:
-        """Running sums of the node's mixed counts, as (16, lanes); below 65536, so exact in float32."""
-        first = (node * 40503) >> 5
-        keys = (first, first + self.one, first * 3 + self.two)
-        self.at = [b + (k & n - 1) for b, k, n in zip(self.base, keys, ROWS, strict=True)]
-        self.mixed = self.tables[0].take(self.at[0], 0)
-        for k in (1, 2):
-            self.mixed += self.tables[k].take(self.at[k], 0)
-        self.sums = _UP_TO @ self.mixed.astype(np.float32).T
-        return self.sums
-
-    def interval(self, nibble: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where a nibble's share ends, and the share."""
-        over = self.sums.reshape(-1).take(nibble * len(self.lane) + self.lane)
-        return over.astype(np.uint64), self.mixed.reshape(-1).take(self.cells + nibble).astype(np.uint64)
-
-    def learn(self, nibble: np.ndarray) -> None:
-        for table, at, weight in zip(self.tables, self.at, WEIGHTS, strict=True):
-            flat, place = table.reshape(-1), at * 16 + nibble
-            now = flat.take(place) + np.uint16(STEP * weight)
-            flat[place] = now
-            if now.max(initial=0) > MOST * weight:
-                full = at[now > MOST * weight]
-                table[full] = table[full] + 1 >> 1
-
-    def next_id(self, ids: np.ndarray) -> None:
-        self.two = (self.one * 31 + ids * 40507) & 0xFFFFFF
-        self.one = ids * 26839
-
-
-class _Window:
-    """Low end and width of every lane's interval."""
-
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, steps: int):
         self.low, self.wide = np.zeros(lanes, np.uint64), np.full(lanes, WINDOW)
-
-    def narrow(self, unit: np.ndarray, over: np.ndarray, share: np.ndarray):
-        """To a symbol's share; yields lanes whose first 16 bits are settled, and shifts those out."""
-        self.low += unit * (over - share)
-        self.wide = unit * share
-        lanes = np.flatnonzero(((self.low ^ (self.low + self.wide)) < TOP) | (self.wide < BOTTOM))
+        self.words, self.at = np.zeros((lanes, steps + 16), np.uint16), np.zeros(lanes, np.int64)
+
+    def bit(self, lanes: np.ndarray, chance: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        self.narrow(lanes, self.wide[lanes] >> SHIFT, np.where(bit, 0, chance), np.where(bit, chance, 65536 - chance))
+        return bit
+
+    def nibble(self, lanes: np.ndarray, counts: np.ndarray, sums: np.ndarray, nibble: np.ndarray) -> np.ndarray:
+        row = np.arange(len(lanes))
+        share = counts[row, nibble]
+        self.narrow(lanes, self.wide[lanes] // sums[:, 15].astype(np.uint64), sums[row, nibble] - share, share)
+        return nibble
+
+    def narrow(self, lanes: np.ndarray, unit: np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
+        low, wide = self.low[lanes] + unit * start.astype(np.uint64), unit * share.astype(np.uint64)
+        self.low[lanes], self.wide[lanes] = low, wide
+        some = np.flatnonzero(((low ^ (low + wide)) < TOP) | (wide < BOTTOM))
+        lanes, low, wide = lanes[some], low[some], wide[some]
         while len(lanes):
-            low, wide = self.low[lanes], self.wide[lanes]
             cut = (low ^ (low + wide)) >= TOP  # too narrow and still unsettled: give up a part
             wide[cut] = (~low[cut] + np.uint64(1)) & (BOTTOM - np.uint64(1))
-            yield lanes, low >> np.uint64(32)
+            self.shift(lanes, low)
             low, wide = low << SHIFT & WINDOW, wide << SHIFT
             self.low[lanes], self.wide[lanes] = low, wide
-            lanes = lanes[((low ^ (low + wide)) < TOP) | (wide < BOTTOM)]
+            more = np.flatnonzero(((low ^ (low + wide)) < TOP) | (wide < BOTTOM))
+            lanes, low, wide = lanes[more], low[more], wide[more]
 
+    def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
+        """Put out the first 16 bits of some lanes' windows."""
+        at = self.at[lanes]
+        if at.max() >= self.words.shape[1]:
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
+        self.words[lanes, at] = low >> np.uint64(32)
+        self.at[lanes] = at + 1
 
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded bytes of each block of ids below 65536."""
-    lanes, steps = len(blocks), max(map(len, blocks), default=0)
-    ids = np.zeros((steps, lanes), np.int64)
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    counts, window = _Counts(lanes), _Window(lanes)
-    words, at = np.zeros((lanes, steps + 16), np.uint16), np.zeros(lanes, np.int64)
-    ending: dict[int, list[int]] = {}
-    for k, b in enumerate(blocks):
-        ending.setdefault(len(b), []).append(k)
-    out: list[bytes] = [b""] * lanes
+    def coded(self, lane: int) -> bytes:
+        last = [int(self.low[lane]) >> shift & 0xFFFF for shift in (32, 16, 0)]
+        return np.append(self.words[lane, : self.at[lane]], np.array(last, np.uint16)).astype("<u2").tobytes()
+
+
+class _Decoder(_Encoder):
+    """The same intervals, narrowed to where the code lies."""
+
+    def __init__(self, coded: list[bytes]):
+        super().__init__(len(coded), 0)
+        self.words = np.zeros((len(coded), max(map(len, coded), default=0) // 2 + 8), np.uint16)
+        for k, c in enumerate(coded):
+            self.words[k, : len(c) // 2] = np.frombuffer(c, "<u2")
+        self.code = np.zeros(len(coded), np.uint64)
+        for k in range(3):
+            self.code = self.code << SHIFT | self.words[:, k]
+        self.at[:] = 3
+
+    def bit(self, lanes: np.ndarray, chance: np.ndarray, bit: None) -> np.ndarray:
+        place = (self.code[lanes] - self.low[lanes]) // (self.wide[lanes] >> SHIFT)
+        return super().bit(lanes, chance, place < chance.astype(np.uint64))
+
+    def nibble(self, lanes: np.ndarray, counts: np.ndarray, sums: np.ndarray, nibble: None) -> np.ndarray:
+        place = (self.code[lanes] - self.low[lanes]) // (self.wide[lanes] // sums[:, 15].astype(np.uint64))
+        place = np.minimum(place, sums[:, 15].astype(np.uint64) - np.uint64(1)).astype(np.int64)
+        return super().nibble(lanes, counts, sums, (sums <= place[:, None]).sum(axis=1))
 
-    def close(step: int) -> None:
-        for k in ending.get(step, ()):
-            last = [int(window.low[k]) >> shift & 0xFFFF for shift in (32, 16, 0)]
-            out[k] = np.append(words[k, : at[k]], np.array(last, np.uint16)).astype("<u2").tobytes()
+    def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
+        at = np.minimum(self.at[lanes], self.words.shape[1] - 1)
+        self.code[lanes] = self.code[lanes] << SHIFT & WINDOW | self.words[lanes, at]
+        self.at[lanes] += 1
 
-    close(0)
-    for step, row in enumerate(ids):
-        node = np.zeros(lanes, np.int64)
+
+class _Model:
+    """What every lane has learned of its block so far."""
+
+    def __init__(self, lanes: int):
+        self.one, self.two, self.last = (np.zeros(lanes, np.int64) for _ in range(3))
+        self.slots_1, self.slots_2 = np.zeros(lanes * SLOTS_1, np.int32), np.zeros(lanes * SLOTS_2, np.int32)
+        self.tree = np.ones((lanes * NODES, 16), np.uint16)
+        self.chances = np.full(lanes * CONTEXTS, 1 << 15, np.int32)
+        self.weights = np.full((lanes * 2, 3), 26_000, np.int64)
+
+    def code(self, coder: _Encoder, lanes: np.ndarray, want: np.ndarray | None) -> np.ndarray:
+        """Code the next id of some lanes, known or (``want`` None) to be read."""
+        one, two = self.one[lanes], self.two[lanes]
+        at_1 = lanes * SLOTS_1 + (one * 40503 >> 2 & SLOTS_1 - 1)
+        both = one * 40503 + two * 2654435761 & 0xFFFFFFFF
+        at_2 = lanes * SLOTS_2 + (both >> 15 & SLOTS_2 - 1)
+        check = both >> 4 & 0x7FF
+        slot_1, slot_2 = self.slots_1[at_1].astype(np.int64), self.slots_2[at_2].astype(np.int64)
+        id_1, sure_1 = slot_1 & 0xFFFF, slot_1 >> 16
+        id_2, sure_2 = slot_2 & 0xFFFF, np.where(slot_2 >> 20 == check, slot_2 >> 16 & 15, 0)
+        top = sure_2 > 0
+        named = np.where(top, id_2, id_1)
+        agree = np.where(top & (sure_1 > 0), 1 + (id_1 != id_2), 0)
+        ids = np.full(len(lanes), -1)
+
+        some = np.flatnonzero((sure_1 | sure_2) > 0)
+        hit = self.flag(coder, lanes[some], top[some].astype(np.int64), sure_2[some], sure_1[some], agree[some], None if want is None else want[some] == named[some])
+        ids[some[hit]] = named[some[hit]]
+        again = some[~hit & (agree[some] == 2)]
+        if len(again):
+            hit = self.flag(coder, lanes[again], np.zeros(len(again), np.int64), np.zeros(len(again), np.int64), sure_1[again], agree[again], None if want is None else want[again] == id_1[again])
+            ids[again[hit]] = id_1[again[hit]]
+        rest = np.flatnonzero(ids < 0)
+        if len(rest):
+            ids[rest] = self.literal(coder, lanes[rest], None if want is None else want[rest])
+
+        self.slots_1[at_1] = _learned(id_1, sure_1, ids)
+        self.slots_2[at_2] = _learned(id_2, sure_2, ids) | check << 20
+        self.one[lanes], self.two[lanes] = ids, one
+        return ids
+
+    def flag(self, coder: _Encoder, lanes: np.ndarray, kind: np.ndarray, sure_2: np.ndarray, sure_1: np.ndarray, agree: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        if not len(lanes):
+            return np.zeros(0, bool)
+        base, last = lanes * CONTEXTS, self.last[lanes]
+        at = np.stack([base + sure_2 * 3 + agree, base + BY_ORDER + sure_1 * 3 + agree, base + 2 * BY_ORDER + last * 2 + kind])
+        chance = self.chances[at]
+        odds = STRETCH[chance >> 4]
+        row = lanes * 2 + kind
+        weights = self.weights[row].T
+        mixed = SQUASH[np.clip((weights * odds).sum(axis=0) >> 16, -2047, 2047) + 2047]
+        bit = coder.bit(lanes, mixed << 4, bit)
+        self.weights[row] = (weights + (odds * ((bit << 12) - mixed) * PULL >> 10)).T
+        self.chances[at] = chance + ((bit * 65535 - chance) >> RATE)
+        self.last[lanes] = (last << 1 | bit) & 15
+        return bit
+
+    def literal(self, coder: _Encoder, lanes: np.ndarray, want: np.ndarray | None) -> np.ndarray:
+        node, tree = np.zeros(len(lanes), np.int64), self.tree.reshape(-1)
         for shift in (12, 8, 4, 0):
-            nibble = row >> shift & 15
-            unit = window.wide // counts.look(node)[15].astype(np.uint64)
-            over, share = counts.interval(nibble)
-            counts.learn(nibble)
-            for some, word in window.narrow(unit, over, share):
-                words[some, at[some]] = word
-                at[some] += 1
+            at = lanes * NODES + node
+            counts = self.tree[at]
+            nibble = coder.nibble(lanes, counts, counts.astype(np.float32) @ _UP_TO, None if want is None else want >> shift & 15)
+            place = at * 16 + nibble
+            now = tree[place] + np.uint16(STEP)
+            tree[place] = now
+            if now.max() > MOST:
+                full = at[now > MOST]
+                self.tree[full] = self.tree[full] + 1 >> 1
             node = node * 16 + nibble + 1
-        counts.next_id(row)
-        if at.max(initial=0) >= words.shape[1] - 16:
-            words = np.concatenate([words, np.zeros_like(words)], axis=1)
-        close(step + 1)
-    return out
+        return node - 0x1111  # each nibble added one to its node
+
+
+def _learned(named: np.ndarray, sure: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A slot after ``ids``: surer if it named them, else half as sure, and of the new id once it isn't."""
+    right = named == ids
+    now = np.where(right, np.minimum(sure + 1, SURE), sure >> 1)
+    return np.where(now > 0, now << 16 | named, 1 << 16 | ids)
+
+
+def _walk(coder: _Encoder, lengths: np.ndarray, ids: np.ndarray, known: bool) -> None:
+    """Code all blocks; ``ids`` (steps, lanes) is read or filled."""
+    model = _Model(len(lengths))
+    changes, lanes = set(lengths.tolist()), np.flatnonzero(lengths > 0)
+    for step in range(len(ids)):
+        if step in changes:
+            lanes = np.flatnonzero(lengths > step)
+        found = model.code(coder, lanes, ids[step, lanes].astype(np.int64) if known else None)
+        if not known:
+            ids[step, lanes] = found
+
+
+def encode(blocks: list[np.ndarray]) -> list[bytes]:
+    """The coded bytes of each block of ids below 65536."""
+    lengths = np.array(list(map(len, blocks)), np.int64)
+    ids = np.zeros((lengths.max(initial=0), len(blocks)), np.uint16)
+    for k, b in enumerate(blocks):
+        ids[: len(b), k] = b
+    coder = _Encoder(len(blocks), len(ids))
+    _walk(coder, lengths, ids, True)
+    return [coder.coded(k) for k in range(len(blocks))]
 
 
 def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     """The ids of blocks with so many ids each."""
-    lanes, steps = len(coded), max(lengths, default=0)
-    longest = max((len(c) for c in coded), default=0) // 2
-    words = np.zeros((lanes, longest + 8), np.uint16)
-    for k, c in enumerate(coded):
-        words[k, : len(c) // 2] = np.frombuffer(c, "<u2")
-    ids = np.zeros((steps, lanes), np.int64)
-    counts, window = _Counts(lanes), _Window(lanes)
-    code = np.zeros(lanes, np.uint64)
-    for k in range(3):
-        code = code << SHIFT | words[:, k]
-    at = np.full(lanes, 3)
-    for step in range(steps):
-        node = np.zeros(lanes, np.int64)
-        for _ in range(4):
-            sums = counts.look(node)
-            unit = window.wide // sums[15].astype(np.uint64)
-            place = np.minimum(((code - window.low) // unit).astype(np.float32), sums[15] - 1)
-            nibble = np.add.reduce(sums <= place, axis=0, dtype=np.uint8).astype(np.int64)
-            over, share = counts.interval(nibble)
-            counts.learn(nibble)
-            for some, _ in window.narrow(unit, over, share):
-                code[some] = code[some] << SHIFT & WINDOW | words[some, np.minimum(at[some], longest + 7)]
-                at[some] += 1
-            node = node * 16 + nibble + 1
-        ids[step] = node - 0x1111  # each nibble added one to its node
-        counts.next_id(ids[step])
-    return [ids[:n, k] for k, n in enumerate(lengths)]
+    ids = np.zeros((max(lengths, default=0), len(coded)), np.uint16)
+    _walk(_Decoder(coded), np.array(lengths, np.int64), ids, False)
+    return [ids[:n, k].astype(np.int64) for k, n in enumerate(lengths)]
 
 
 def checksum(ids: np.ndarray) -> int:

@@ -1,7 +1,8 @@
 """Token-id files in coded, independently reset, checksummed blocks.
 
 Documents are dealt by ranges of doc_id and sorted, so file after file holds
-them in ascending order. Each task tokenizes its range and writes segments:
+them in ascending order; the number of files follows from the bytes of text.
+Rows of one doc_id are told apart by a row number, so they may fill many files. Each task tokenizes its range and writes segments:
 whole documents, one after the other, each with a closing id 0, until there
 are ids enough for ``LANES`` blocks of ``BLOCK`` ids. Blocks are coded by the
 range coder (module range_coder), each from a fresh state and with a CRC-32 of
@@ -26,11 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.llm.kernels import text_slices
+from loomery.llm.pieces import SLICE_BYTES, encode_texts
 from loomery.llm.range_coder import BLOCK, checksum, decode, encode
 from loomery.llm.shared import scratch_path, text_of
-from loomery.llm.token_counts import TOKENIZER, tokenizer
+from loomery.llm.token_counts import TOKENIZER
 
 LANES, END_ID = 1024, 0
+#: Bytes of text that a file has at most, about, and that suffice for one while cores are free.
+MOST_BYTES, LEAST_BYTES = 256 << 20, 4 << 20
 SEGMENT = "part int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, checks array<long>, blocks array<binary>"
 
 
@@ -48,10 +52,10 @@ def _encode(path: str):
         part, number, size = TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int] = []
         docs: list[np.ndarray] = []
-        for batch in text_slices(batches):
-            found = tokenizer(path).encode_batch_fast(batch.column("text").to_pylist(), add_special_tokens=False)
-            for i, e in zip(batch.column("doc_id").to_pylist(), found, strict=True):
-                docs.append(np.array([*e.ids, END_ID], np.uint16))
+        for batch in text_slices(batches, SLICE_BYTES):
+            counts, ids = encode_texts(batch.column("text"), path)
+            for i, own in zip(batch.column("doc_id").to_pylist(), np.split(ids.astype(np.uint16), np.cumsum(counts)[:-1]), strict=True):
+                docs.append(np.append(own, np.uint16(END_ID)))
                 doc_ids.append(i)
                 size += len(docs[-1])
                 if size >= LANES * BLOCK:
@@ -65,10 +69,13 @@ def _encode(path: str):
 
 def write_token_files(docs: DataFrame, at: str, path: str = TOKENIZER) -> None:
     """Write the ids of ``docs`` (doc_id, text) under ``at``; the tokenizer's ids must be below 65536."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    dealt = texts.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    dealt.mapInArrow(_encode(path), SEGMENT).write.option("compression", "uncompressed").parquet(at)
+    texts = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), text_of().alias("text"))
+    size = docs.select(F.sum(F.octet_length(text_of()))).first()[0] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-size // MOST_BYTES), min(-(-size // LEAST_BYTES), 3 * cores))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("row").asc()]
+    dealt = texts.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt.select("doc_id", "text").mapInArrow(_encode(path), SEGMENT).write.option("compression", "uncompressed").parquet(at)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
