@@ -43,13 +43,15 @@ def word_count(column: str = "text") -> Column:
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
 
 
-#: A side of at most so many rows of a few short columns (under 100 MB) is broadcast after it has been counted.
-BROADCAST_ROWS = 1_000_000
+#: A side of at most so many rows of a few short columns, or of so many bytes, is broadcast after it has been measured.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
-def checked_broadcast(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``small``, a staged table, with a broadcast hint if its row count allows that."""
-    return F.broadcast(small) if small.count() <= most else small
+def checked_broadcast(small: DataFrame, most: int = BROADCAST_ROWS, of: Column | None = None) -> DataFrame:
+    """``small``, a staged table, with a broadcast hint if its row count allows that
+    and, where a column ``of`` gives a row's bytes, their sum does too."""
+    rows, size = small.agg(F.count("*"), F.coalesce(F.sum(of if of is not None else F.lit(0)), F.lit(0))).first()
+    return F.broadcast(small) if rows <= most and size <= BROADCAST_BYTES else small
 
 
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
