@@ -6,6 +6,7 @@ slice and not by the text, whatever a document's length.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -188,9 +189,16 @@ def row_slices(batch: pa.RecordBatch, offsets: np.ndarray, most: int = SLICE) ->
 
 def text_slices(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about ``most`` bytes of their column ``text``;
-    what Arrow holds beyond that goes back to the system at the end."""
+    memory that the task no longer needs goes back to the system at the end."""
     for batch in batches:
         _, offsets = utf8(batch.column("text"))
         for a, b in row_slices(batch, offsets, most):
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory of this worker to the system: Arrow's pool, and the C library's where it can."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

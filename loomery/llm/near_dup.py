@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.kernels import ALNUM, mix, text_slices, utf8, words
+from loomery.llm.kernels import ALNUM, give_back, mix, text_slices, utf8, words
 from loomery.llm.shared import checked_broadcast, stage, text_of, without
 
 GRAM, THRESHOLD = 5, 0.8
@@ -174,7 +174,7 @@ def _verify(threshold: float):
                 held.append(batch.slice(a, b - a))
         if held:
             yield done(held)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 

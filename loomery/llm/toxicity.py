@@ -1,44 +1,57 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses. Five small transducers read a clause's words and
-are composed into one path: *insult* (words, and word stems of four to six
-letters, with weights learned from labelled rows), *threat* (an intention
-followed by a harming verb), *target* (second person), *negation* and
-*reported speech* (both change what follows in the clause). The path's end
-state names the clause's class; a clause that has an insult or a threat is a
-match and scores the weight of its strongest arc in each transducer times the
-reliability of its class, which is learned too. An insult arc weighs
-``log(1 + ratio / words)``: how often toxic rows have it beyond chance, over
-how often a clean text of the document's length would. A document's score is
-the logistic sum of its matched clauses, calibrated on the labelled rows; isolated
-words without a match never count. Rows count for an arc only as far as its
-neighbours differ, so that copies of one toxic text don't make insults of all
-its words.
-
-The lexicon is fitted on at most ``TRAIN_ROWS`` labelled rows, drawn by hash
-over the whole table, which also bounds what reaches the driver. Scores see
-the text only. Defined cases: null and empty texts and texts without a match
-score the prior; repeated rows score alike; without labelled rows of both
-kinds the prior is 0.1 and only threats match; an empty table gives no rows.
+A text is cut into clauses. The lexicon reads a clause's words and writes
+symbols: insult (words, and word stems of four to six letters, weighted by what
+was learned), harm, intention, target, negation, report. Five transducers
+(module transducers) read those, composed into one: *threat* turns a harm after
+an intention into a threat; *negation* and *reported speech* mark the insults
+and threats after them; *target* remembers a second person; *insult* takes one
+insult and one threat at most and drops the rest. The composed machine's
+heaviest path gives the clause's class (its end state: negated, reported,
+targeted, with a threat) and weight; a clause without a path that takes
+something is no match. A document's score is the logistic sum of its matched
+clauses' weights, each times the reliability of its class, which is learned
+too, calibrated on the labelled rows; words without a match never count.
+
+An insult arc weighs ``log(1 + ratio / words)``: how often toxic rows have it
+beyond chance, over how often a clean text of the document's length would.
+Rows count for an arc only as far as its neighbours differ, so that copies of
+one toxic text don't make insults of all its words.
+
+The lexicon is fitted on a sample of labelled rows drawn by hash over the whole
+table, of about ``TRAIN_ROWS`` rows and ``TRAIN_WORDS`` words at most. Arcs are
+counted and judged in Spark; the ones kept reach the driver. Scores see the
+text only. Words are runs of ASCII letters and of other characters but
+punctuation, found in the bytes of a megabyte of texts at a time; only words
+whose first four bytes begin an arc are looked at one by one.
+
+Defined cases: null and empty texts and texts without a match score the prior;
+repeated rows score alike; ties between classes go to the lesser one; without
+labelled rows of both kinds the prior is 0.1 and only threats match; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.kernels import text_slices
+from loomery.llm.kernels import span_hashes, text_slices, utf8
 from loomery.llm.shared import checked_broadcast, stage, text_of, word_count
+from loomery.llm.transducers import Transducer, compose
 
-TRAIN_ROWS = 200_000
+TRAIN_ROWS, TRAIN_WORDS = 200_000, 100_000_000
+#: Arcs that clean rows are searched for by a set in every task; beyond it their counts meet in a join.
+SOUGHT_ARCS = 200_000
 #: Rows of prior belief that an arc or class starts from, and least toxic rows of an arc.
 PRIOR_ROWS, LEAST_ROWS = 10.0, 3
 #: Words whose weights a grammar keeps at hand.
@@ -52,10 +65,107 @@ REPORTED = frozenset("said says called quoted reported wrote claimed allegedly s
 INTENTIONS = frozenset("will gonna going shall werde werden vais allons voy vamos".split())
 HARMS = frozenset("kill hurt destroy beat stab shoot burn töten schlagen verletzen tuer frapper brûler matar golpear quemar".split())
 #: Prior reliability of a class by what modifies the clause.
-PLAIN, TARGETED, NEGATED, QUOTED, THREAT_WEIGHT = 0.9, 0.93, 0.4, 0.5, 3.0
-
-_WORD = re.compile(r"[^\W\d_]+")
-_CLAUSE = re.compile(r"[.!?;:,\n]+")
+PLAIN, TARGETED, DENIED, QUOTED, THREAT_WEIGHT = 0.9, 0.93, 0.4, 0.5, 3.0
+
+SYMBOLS = ("insult", "harm", "intention", "target", "negation", "report")
+CUES = {"harm": HARMS, "intention": INTENTIONS, "target": TARGETS, "negation": NEGATIONS, "report": REPORTED}
+NEGATED, QUOTED_BIT, TARGETED_BIT, THREAT_BIT = 1, 2, 4, 8
+
+
+def grammar() -> Transducer:
+    """The composition threat o negation o report o target o insult."""
+    threat = Transducer(0, {(0, "intention"): [("", 0, 1)], (0, "harm"): [("", 0, 0)], (1, "harm"): [("threat", THREAT_WEIGHT, 1), ("", 0, 1)], (1, "intention"): [("", 0, 1)]})
+    marked = lambda bit, cue, kinds: Transducer(0, {(0, cue): [("", 0, 1)], (1, cue): [("", 0, 1)]} | {(1, k): [(f"{k}{bit}", 0, 1)] for k in kinds})
+    negation = marked(NEGATED, "negation", ("insult", "threat"))
+    report = marked(QUOTED_BIT, "report", ("insult", "threat", f"insult{NEGATED}", f"threat{NEGATED}"))
+    target = Transducer(0, {(k, "target"): [("", 0, 1)] for k in (0, 1)})
+    # states of insult: the marks of what was taken, and whether an insult and a threat were
+    take: dict = {}
+    for marks, taken, (number, kind), bits in product(range(4), range(4), enumerate(("insult", "threat")), range(4)):
+        once = [] if taken >> number & 1 else [(kind, 0, (marks | bits, taken | 1 << number))]
+        take[(marks, taken), kind + "".join(str(b) for b in (NEGATED, QUOTED_BIT) if bits & b)] = once
+    return compose(compose(compose(compose(threat, negation, SYMBOLS), report, SYMBOLS), target, SYMBOLS), Transducer((0, 0), take), SYMBOLS)
+
+
+MACHINE = grammar()
+
+
+def class_of(state: tuple) -> int | None:
+    """The class bits of an end state of the composed machine, if its path took anything."""
+    (*_, target), (marks, taken) = state
+    return marks | target << 2 | (taken >> 1) << 3 if taken else None
+
+
+#: Lower-case bytes that words are made of, and that end a clause.
+_LETTER = np.array([97 <= b <= 122 or 65 <= b <= 90 or b >= 128 for b in range(256)])
+_CLAUSE_END = np.array([chr(b) in ".!?;:,\n" for b in range(256)])
+
+
+class Found:
+    """Words of lower-cased texts: bytes, and each word's row, start and end."""
+
+    def __init__(self, texts: pa.Array):
+        self.data, self.offsets = utf8(pc.utf8_lower(texts.cast(pa.large_string())))
+        a, b = int(self.offsets[0]), int(self.offsets[-1])
+        part = self.data[a:b]
+        inside = _LETTER[part]
+        for lead, follow, size in ((0xC2, None, 2), (0xE2, (0x80, 0x81), 3), (0xE3, (0x80,), 3)):  # signs and blanks beyond ASCII
+            at = np.flatnonzero(part == lead)
+            if follow is not None:
+                at = at[np.isin(part[np.minimum(at + 1, len(part) - 1)], follow)]
+            for k in range(size):
+                inside[np.minimum(at + k, len(part) - 1)] = False
+        edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        row = self.offsets[1:-1] - a
+        row = row[(row > 0) & (row < b - a)]
+        row = row[inside[row - 1] & inside[row]]
+        if len(row):  # a text ends and the next begins without a blank
+            starts, ends = np.union1d(starts, row), np.union1d(ends, row)
+        self.starts, self.ends = starts + a, ends + a
+        self.rows = np.searchsorted(self.offsets, self.starts, "right") - 1
+        self.n = np.bincount(self.rows, minlength=len(texts))
+        self.base = a
+
+    def word(self, k: int) -> str:
+        return self.data[self.starts[k] : self.ends[k]].tobytes().decode()
+
+    def heads(self) -> np.ndarray:
+        """The first four bytes of each word, as a number; shorter words end in zeros."""
+        head = np.zeros(len(self.starts), np.uint32)
+        for k in range(4):
+            at = self.starts + k
+            has = at < self.ends
+            head[has] |= self.data[at[has]].astype(np.uint32) << np.uint32(8 * k)
+        return head
+
+    def kinds(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One word of each kind (by a 64-bit hash) among the given ones, and each one's kind."""
+        part = self.data[self.base : int(self.offsets[-1])]
+        _, first, which = np.unique(span_hashes(part, self.starts[words] - self.base, self.ends[words] - self.base), return_index=True, return_inverse=True)
+        return words[first], which
+
+    def begun_by(self, heads: np.ndarray) -> np.ndarray:
+        """Numbers of the words that begin with one of the (sorted) heads."""
+        if not len(heads):
+            return np.zeros(0, np.int64)
+        own = self.heads()
+        return np.flatnonzero(heads[np.minimum(np.searchsorted(heads, own), len(heads) - 1)] == own)
+
+    def clauses(self, words: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+        """(row, first word, last word + 1, bytes) of the clauses that the words are in."""
+        ends = np.flatnonzero(_CLAUSE_END[self.data[self.base : int(self.offsets[-1])]]) + self.base
+        at = self.starts[words]
+        after = np.searchsorted(ends, at)
+        padded = np.concatenate(([-1], ends, [int(self.offsets[-1])]))
+        low, high = np.maximum(padded[after] + 1, self.offsets[self.rows[words]]), np.minimum(padded[after + 1], self.offsets[self.rows[words] + 1])
+        for a, b in dict.fromkeys(zip(low.tolist(), high.tolist(), strict=True)):
+            first, last = np.searchsorted(self.starts, (a, b)).tolist()
+            yield int(self.rows[first]), first, last, self.data[a:b].tobytes().strip()
+
+
+def head_number(label: str) -> int:
+    return int.from_bytes(label.encode()[:4].ljust(4, b"\0"), "little")
 
 
 def arcs_of(word: str) -> list[str]:
@@ -64,55 +174,54 @@ def arcs_of(word: str) -> list[str]:
 
 
 class Grammar:
-    """Ratios of insult arcs by label, reliability by class, log-odds of the prior."""
+    """The lexicon's insult arcs (label to ratio) on top of the fixed cues, the
+    reliability of the machine's classes, and the log-odds of the prior."""
 
     def __init__(self, arcs: dict[str, float], prior: float = 0.1, reliability: dict[int, float] | None = None):
         self.arcs, self.bias, self.reliability = arcs, math.log(prior / (1 - prior)), reliability or {}
         self.slope, self.shift = 1.0, self.bias
         self.kept: dict[str, float] = {}
-        self.heads = {a[:4].rstrip("*") for a in arcs} | {h[:4] for h in HARMS}
-        self.read = self.heads | {w[:4] for w in TARGETS | NEGATIONS | REPORTED | INTENTIONS}
+        self.heads = np.unique(np.array([*map(head_number, [a.rstrip("*") for a in arcs]), *map(head_number, HARMS)], np.uint32))
 
-    def weight(self, word: str) -> float:
-        if word[:4] not in self.heads:
-            return 0.0
+    def ratio(self, word: str) -> float:
+        """Of the word's strongest insult arc."""
         if (found := self.kept.get(word)) is None:
             if len(self.kept) >= KEPT_WORDS:
                 self.kept.clear()
             found = self.kept[word] = max(self.arcs.get(a, 0.0) for a in arcs_of(word))
         return found
 
-    def match(self, clause: str, words: int) -> tuple[int, float] | None:
-        """(class, weight) of a lower-cased clause of a text with so many words, or None.
-
-        Class bits: negated, reported, target, threat."""
-        negated = reported = target = intends = threat = 0
-        insult, marked = 0.0, 0
-        for word in _WORD.findall(clause):
-            if word[:4] not in self.read:  # no transducer has an arc for it
-                continue
-            if (weight := self.weight(word)) > insult:
-                insult, marked = weight, negated | reported << 1
-            if word in TARGETS:
-                target = 1
-            elif word in NEGATIONS:
-                negated = 1
-            elif word in REPORTED:
-                reported = 1
-            elif word in INTENTIONS:
-                intends = 1
-            elif intends and word in HARMS:
-                threat, marked = 1, marked | negated | reported << 1
-        if not insult and not threat:
-            return None
-        return marked | target << 2 | threat << 3, math.log1p(insult / words) + threat * THREAT_WEIGHT
+    def read(self, word: str, words: int) -> list[tuple[str, float]]:
+        """What the lexicon may write for a word of a text with so many words; an
+        insult can be passed over."""
+        out = [(symbol, 0.0) for symbol, cues in CUES.items() if word in cues]
+        if ratio := self.ratio(word):
+            out += [("insult", math.log1p(ratio / words)), ("", 0.0)]
+        return out
+
+    def match(self, clause: list[str], words: int) -> tuple[int, float] | None:
+        """(class, weight) of the heaviest path over a clause's words that takes something."""
+        ends = MACHINE.best(choice for w in clause if (choice := self.read(w, words)))
+        taken = [(-weight, kind) for state, weight in ends.items() if (kind := class_of(state)) is not None]
+        return (min(taken)[1], -min(taken)[0]) if taken else None
+
+    def matches_of(self, texts: pa.Array) -> list[list[tuple[int, float]]]:
+        """Matched clauses of each text; a repeated clause counts once."""
+        found = Found(texts)
+        likely = found.begun_by(self.heads)
+        first, which = found.kinds(likely)
+        likely = likely[np.array([(w := found.word(k)) in HARMS or self.ratio(w) > 0 for k in first.tolist()], bool)[which]]
+        out: list[list[tuple[int, float]]] = [[] for _ in range(len(texts))]
+        seen: set[tuple[int, bytes]] = set()
+        for row, first, last, clause in found.clauses(likely):
+            if (row, clause) not in seen:
+                seen.add((row, clause))
+                if m := self.match([found.word(k) for k in range(first, last)], int(found.n[row])):
+                    out[row].append(m)
+        return out
 
     def matches(self, text: str) -> list[tuple[int, float]]:
-        """Matched clauses of a lower-cased text; a repeated clause counts once."""
-        found = _WORD.findall(text)
-        if self.heads.isdisjoint([w[:4] for w in found]) or not any(w in HARMS or self.weight(w) for w in set(found) if w[:4] in self.heads):
-            return []
-        return [m for c in dict.fromkeys(x.strip() for x in _CLAUSE.split(text)) if (m := self.match(c, len(found)))]
+        return self.matches_of(pa.array([text]))[0]
 
     def factor(self, kind: int) -> float:
         """Evidence of a class over that of the plain one."""
@@ -122,69 +231,113 @@ class Grammar:
     def total(self, matches: list[tuple[int, float]]) -> float:
         return sum(weight * self.factor(kind) for kind, weight in matches)
 
+    def scores(self, texts: pa.Array) -> list[float]:
+        return [1 / (1 + math.exp(-max(-40.0, min(40.0, self.shift + self.slope * self.total(m))))) for m in self.matches_of(texts)]
+
     def score(self, text: str | None) -> float:
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.shift + self.slope * self.total(self.matches((text or "").lower()))))))
+        return self.scores(pa.array([text], pa.string()))[0]
 
 
 def prior_reliability(kind: int) -> float:
     """By what modifies the clause; a target adds to what an unmodified one has."""
-    return min(NEGATED if kind & 1 else PLAIN, QUOTED if kind & 2 else PLAIN) if kind & 3 else TARGETED if kind & 4 else PLAIN
+    return min(DENIED if kind & NEGATED else PLAIN, QUOTED if kind & QUOTED_BIT else PLAIN) if kind & 3 else TARGETED if kind & TARGETED_BIT else PLAIN
 
 
-def arc_ratio(toxic: int, clean: int, rows: dict[int, int], words: dict[int, int]) -> float:
+def arc_ratio(toxic: Column, clean: Column, rows: dict[int, int], words: dict[int, int]) -> Column:
     """Of an arc in so many toxic and clean rows: what a toxic row has of it beyond
     chance, over its (shrunken) rate per word of clean text."""
     rate = (clean + PRIOR_ROWS / 2) / max(words[0], 1)
-    return max(0.0, toxic - rate * words[1]) / rows[1] / rate
+    return F.greatest(toxic - rate * words[1], F.lit(0.0)) / rows[1] / rate
 
 
-def surprise(toxic: int, clean: int, prior: float) -> float:
+def surprise(toxic: Column, clean: Column, prior: float) -> Column:
     """Twice the log-likelihood ratio of the label's own rate against the prior."""
-    n = toxic + clean
-    return 2 * sum(k * math.log(k / (n * p)) for k, p in ((toxic, prior), (clean, 1 - prior)) if k)
+    part = lambda k, p: F.when(k > 0, k * F.log(k / ((toxic + clean) * p))).otherwise(0.0)
+    return 2 * (part(toxic, prior) + part(clean, 1 - prior))
 
 
 def _toxic_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows that have an arc, and a bitmap of the neighbours that its words stand between."""
+    rows: Counter[str] = Counter()
+    places: dict[str, int] = {}
+
+    def put() -> pa.RecordBatch:
+        masks = np.array(list(map(places.__getitem__, rows)), np.uint64).view(np.int64)
+        out = pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), pa.array(rows.values(), pa.int64()), pa.array(masks)], ["arc", "n", "places"])
+        rows.clear()
+        places.clear()
+        return out
+
     for batch in text_slices(batches):
-        rows: Counter[str] = Counter()
-        places: dict[str, int] = {}
-        for text in batch.column("text"):
-            words = _WORD.findall(text.as_py().lower())
+        found = Found(batch.column("text"))
+        for a, n in zip((np.cumsum(found.n) - found.n).tolist(), found.n.tolist(), strict=True):
+            words = [found.word(k) for k in range(a, a + n)]
             seen: dict[str, int] = {}
             for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
                 bit = 1 << (zlib.crc32(f"{before} {after}".encode()) & 63)
-                for a in arcs_of(word):
-                    seen[a] = seen.get(a, 0) | bit
+                for arc in arcs_of(word):
+                    seen[arc] = seen.get(arc, 0) | bit
             rows.update(seen.keys())
-            for a, bits in seen.items():
-                places[a] = places.get(a, 0) | bits
-        masks = np.array(list(map(places.__getitem__, rows)), np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), pa.array(rows.values(), pa.int64()), pa.array(masks)], ["arc", "n", "places"])
+            for arc, bits in seen.items():
+                places[arc] = places.get(arc, 0) | bits
+            if len(rows) > KEPT_WORDS:
+                yield put()
+    yield put()
 
 
-def spread(rows: int, places: int) -> int:
+def spread(rows: Column, places: Column) -> Column:
     """Rows of an arc that stand for different passages: no more than the
     neighbours it was seen with (linear counting; copies repeat theirs)."""
-    free = 64 - (places & (1 << 64) - 1).bit_count()
-    return min(rows, round(64 * math.log(64 / free))) if free else rows
+    free = 64 - F.bit_count(places)
+    return F.when(free > 0, F.least(rows, F.rint(64 * F.log(64 / free)).cast("long"))).otherwise(rows)
+
 
+def _clean_arcs(sought: list[str]):
+    """Rows of each sought arc."""
+    heads = np.unique(np.array([head_number(a.rstrip("*")) for a in sought], np.uint32))
 
-def _clean_arcs(wanted: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {a: k for k, a in enumerate(sought)}
+        counts = np.zeros(len(sought), np.int64)
         for batch in text_slices(batches):
-            counts: Counter[str] = Counter()
-            for text in batch.column("text"):
-                counts.update({a for w in set(_WORD.findall(text.as_py().lower())) for a in arcs_of(w)} & wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["arc", "n"])
+            found = Found(batch.column("text"))
+            likely = found.begun_by(heads)
+            first, which = found.kinds(likely)
+            arcs = [[number[a] for a in arcs_of(found.word(k)) if a in number] for k in first.tolist()]
+            n = np.array(list(map(len, arcs)), np.int64)
+            flat, at = np.array([a for x in arcs for a in x], np.int64), np.cumsum(n) - n
+            each = n[which]  # arcs of each word
+            place = np.repeat(at[which] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            pairs = np.unique(np.repeat(found.rows[likely], each) * len(sought) + flat[place])
+            counts += np.bincount(pairs % len(sought), minlength=len(sought)) if len(pairs) else 0
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([sought[k] for k in some.tolist()], pa.string()), pa.array(counts[some])], ["arc", "clean"])
 
     return run
 
 
+def _all_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each arc, in parts."""
+    counts: Counter[str] = Counter()
+    for batch in text_slices(batches):
+        found = Found(batch.column("text"))
+        ends = np.cumsum(found.n).tolist()
+        for n, b in zip(found.n.tolist(), ends, strict=True):
+            counts.update({a for k in range(b - n, b) for a in arcs_of(found.word(k))})
+            if len(counts) > KEPT_WORDS:
+                yield _arc_counts(counts)
+                counts.clear()
+    yield _arc_counts(counts)
+
+
+def _arc_counts(counts: Counter[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["arc", "clean"])
+
+
 def _training_matches(grammar: Grammar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [grammar.matches(t.as_py().lower()) for t in batch.column("text")]
+        for batch in text_slices(batches):
+            found = grammar.matches_of(batch.column("text"))
             lists = lambda k, t: pa.array([[m[k] for m in x] for x in found], pa.list_(t))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), lists(0, pa.int64()), lists(1, pa.float64())], ["toxic", "kinds", "weights"])
 
@@ -218,32 +371,47 @@ def calibrate(seen: dict[tuple[int, int], int], slope: float, bias: float) -> tu
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of the labelled rows that may be learned from, at most about TRAIN_ROWS."""
+    """text, toxic, words of the labelled rows that may be learned from, of about
+    TRAIN_ROWS rows and TRAIN_WORDS words at most."""
     usable = labels.filter("toxic is not null and doc_id is not null").filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
     n = usable.count()
     if n > TRAIN_ROWS:
         usable = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < TRAIN_ROWS)
     usable = checked_broadcast(usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    return docs.select("doc_id", text_of().alias("text")).join(usable, "doc_id").select("text", "toxic")
+    rows = stage(docs.select("doc_id", text_of().alias("text")).join(usable, "doc_id").withColumn("words", word_count()), "labelled")
+    words = rows.agg(F.sum("words")).first()[0] or 0
+    if words > TRAIN_WORDS:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("words")), F.lit(words)) < TRAIN_WORDS)
+    return rows.select("text", "toxic", "words")
+
+
+def insult_arcs(rows: DataFrame, n: dict[int, int], words: dict[int, int]) -> DataFrame:
+    """arc, ratio of the arcs that are more frequent in toxic rows than chance would have it."""
+    prior = n[1] / (n[0] + n[1])
+    text = lambda kind: rows.filter(F.col("toxic") == kind).select("text")
+    found = text(1).mapInArrow(_toxic_arcs, "arc string, n long, places long").groupBy("arc").agg(F.sum("n").alias("n"), F.bit_or("places").alias("places"))
+    found = stage(found.filter(F.col("n") >= LEAST_ROWS).select("arc", spread(F.col("n"), F.col("places")).alias("toxic")).filter(F.col("toxic") >= LEAST_ROWS), "arcs")
+    least = 2 * math.log(max(found.count(), 2))  # about one arc by chance
+    surprising = lambda clean: surprise(F.col("toxic"), clean, prior) >= least
+    likely = found.filter(surprising(F.lit(0)))  # clean rows only make it less
+    few = likely.count() <= SOUGHT_ARCS
+    count = _clean_arcs([r["arc"] for r in likely.select("arc").collect()]) if few else _all_arcs
+    clean = text(0).mapInArrow(count, "arc string, clean long").groupBy("arc").agg(F.sum("clean").alias("clean"))
+    both = likely.join(clean, "arc", "left").fillna(0, ["clean"])
+    kept = both.filter((F.col("toxic") * n[0] > F.col("clean") * n[1]) & surprising(F.col("clean")))
+    return kept.select("arc", arc_ratio(F.col("toxic"), F.col("clean"), n, words).alias("ratio")).filter("ratio > 0")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     rows = training_rows(docs, labels)
-    sums = rows.groupBy("toxic").agg(F.count("*"), F.sum(word_count())).collect()
+    sums = rows.groupBy("toxic").agg(F.count("*"), F.sum("words")).collect()
     n, words = {r[0]: r[1] for r in sums}, {r[0]: r[2] for r in sums}
     if not n.get(0) or not n.get(1):
         return Grammar({})
     prior = n[1] / (n[0] + n[1])
-    text = lambda kind: rows.filter(F.col("toxic") == kind).select("text")
-    found = text(1).mapInArrow(_toxic_arcs, "arc string, n long, places long").groupBy("arc").agg(F.sum("n").alias("n"), F.bit_or("places").alias("places"))
-    toxic = {r["arc"]: k for r in found.filter(F.col("n") >= LEAST_ROWS).collect() if (k := spread(r["n"], r["places"])) >= LEAST_ROWS}  # bounded by TRAIN_ROWS
-    least = 2 * math.log(max(len(toxic), 2))  # about one arc by chance
-    toxic = {a: k for a, k in toxic.items() if surprise(k, 0, prior) >= least}  # clean rows only make it less
-    clean = dict(text(0).mapInArrow(_clean_arcs(frozenset(toxic)), "arc string, n long").groupBy("arc").agg(F.sum("n").alias("n")).collect())
-    likely = {a: (k, c) for a, k in toxic.items() if k * n[0] > (c := clean.get(a, 0)) * n[1] and surprise(k, c, prior) >= least}
-    arcs = {a: r for a, (k, c) in likely.items() if (r := arc_ratio(k, c, n, words))}  # an arc of ratio 0 weighs nothing
+    arcs = {r["arc"]: r["ratio"] for r in insult_arcs(rows, n, words).collect()}
     first = Grammar(arcs, prior)
-    found = stage(rows.mapInArrow(_training_matches(first), "toxic int, kinds array<long>, weights array<double>"), "matches")
+    found = stage(rows.select("text", "toxic").mapInArrow(_training_matches(first), "toxic int, kinds array<long>, weights array<double>"), "matches")
     kinds = found.select("toxic", F.explode(F.array_distinct("kinds")).alias("kind")).groupBy("kind", "toxic").agg(F.count("*").alias("n"))
     seen = {(r["kind"], r["toxic"]): r["n"] for r in kinds.collect()}
     reliability = {}
@@ -259,8 +427,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
 
 def _scores(grammar: Grammar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([grammar.score(t.as_py()) for t in batch.column("text")], pa.float64())], ["doc_id", "score"])
+        for batch in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(grammar.scores(batch.column("text")), pa.float64())], ["doc_id", "score"])
 
     return run
 
@@ -274,8 +442,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _clean_rows(grammar: Grammar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([grammar.score(t.as_py()) < 0.5 for t in batch.column("text")], pa.bool_()))
+        for batch in text_slices(batches):
+            yield batch.filter(pa.array([x < 0.5 for x in grammar.scores(batch.column("text"))], pa.bool_()))
 
     return run
 

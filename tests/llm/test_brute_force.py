@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from loomery.llm import exact_dedup, kernels, lm_score, media, mixing, near_dup, packing, pieces, queries, token_counts, token_files, toxicity
+from loomery.llm import exact_dedup, kernels, lm_score, media, mixing, near_dup, packing, pieces, queries, token_counts, token_files, toxicity, transducers
 from loomery.llm.range_coder import checksum, decode, encode
 
 SF = "/root/testdata/sf0.001"
@@ -302,6 +302,86 @@ def test_toxicity_on_held_out_rows(spark):
     assert seen[1, 1] / (seen[1, 0] + seen[1, 1]) > 0.88 and seen[0, 1] / (seen[0, 0] + seen[0, 1]) < 0.01
 
 
+def paths(machine, word):
+    """All (weight, written, end) of a machine over a string of symbols, by enumeration."""
+    found = [(0.0, (), machine.start)]
+    for symbol in word:
+        found = [(w + v, (*out, o), t) for w, out, s in found for o, v, t in machine.step(s, symbol)]
+    return found
+
+
+def test_composition_by_enumeration():
+    rng = np.random.default_rng(13)
+    signs = ["a", "b", "c", ""]
+    for _ in range(30):
+        machines = [transducers.Transducer(0, {(int(s), str(x)): [(str(rng.choice(signs)), float(rng.integers(-3, 4)), int(rng.integers(3))) for _ in range(rng.integers(1, 3))] for s in range(3) for x in rng.choice(signs, 2)}) for _ in range(2)]
+        both = transducers.compose(*machines, signs)
+        word = list(rng.choice(signs[:3], 4))
+        want = Counter((w + v, out, (s, t)) for w, mid, s in paths(machines[0], word) for v, out, t in paths(machines[1], mid))
+        assert Counter(paths(both, word)) == want
+        heaviest = {}
+        for w, _, end in want:
+            heaviest[end] = max(w, heaviest.get(end, -1e9))
+        assert both.best([[(x, 0.0)] for x in word]) == heaviest
+
+
+def test_classes_by_rules():
+    """The composed machine's class and weight of every clause of five symbols, against the rules in words."""
+    for word in itertools.product(["insult", "harm", "intention", "target", "negation", "report"], repeat=5):
+        ends = toxicity.MACHINE.best([[("insult", 2.0), ("", 0.0)] if x == "insult" else [(x, 0.0)] for x in word])
+        taken = [(w, toxicity.class_of(s)) for s, w in ends.items() if toxicity.class_of(s) is not None]
+        insults = [k for k, x in enumerate(word) if x == "insult"]
+        threats = [k for k, x in enumerate(word) if x == "harm" and "intention" in word[:k]]
+        marks = lambda k: ("negation" in word[:k]) | ("report" in word[:k]) << 1
+        want = {(2.0 * (i is not None) + 3.0 * (t is not None), (0 if i is None else marks(i)) | (0 if t is None else marks(t)) | ("target" in word) << 2 | (t is not None) << 3) for i in [None, *insults] for t in [None, *threats] if i is not None or t is not None}
+        assert max((w for w, _ in taken), default=0) == max((w for w, _ in want), default=0) and {x for x in taken if x[0] == max(taken)[0]} <= want
+
+
+@pytest.mark.parametrize("sought", [200_000, 0])
+def test_arcs_and_scores_by_hand(spark, monkeypatch, sought):
+    """Every score of the table again, from arcs counted with plain Python."""
+    monkeypatch.setattr(toxicity, "SOUGHT_ARCS", sought)
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    texts = documents(spark)
+    rows = [(texts[i], t) for i, t in labels.items() if i in texts and t is not None and zlib.crc32(str(i).encode()) % 5]
+    n, size, places, clean = Counter(), Counter(), defaultdict(set), Counter()
+    in_rows = Counter()
+    for text, t in rows:
+        words = toxicity_words(text)
+        n[t] += 1
+        size[t] += len(re.findall(r"[^\x20\x09-\x0D]+", text))
+        arcs = {a for w in words for a in toxicity.arcs_of(w)}
+        (in_rows if t else clean).update(arcs)
+        if t:
+            for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+                for a in toxicity.arcs_of(w):
+                    places[a].add(zlib.crc32(f"{before} {after}".encode()) & 63)
+    prior = n[1] / (n[0] + n[1])
+    seen = {a: min(c, round(64 * np.log(64 / (64 - len(places[a]))))) if len(places[a]) < 64 else c for a, c in in_rows.items() if c >= 3}
+    seen = {a: k for a, k in seen.items() if k >= 3}
+    ratio = {}
+    for a, k in seen.items():
+        c = clean[a]
+        s = 2 * sum(x * np.log(x / ((k + c) * p)) for x, p in ((k, prior), (c, 1 - prior)) if x)
+        rate = (c + 5) / size[0]
+        if s >= 2 * np.log(max(len(seen), 2)) and k * n[0] > c * n[1] and k > rate * size[1]:
+            ratio[a] = (k - rate * size[1]) / n[1] / rate
+    got = toxicity.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert got.arcs == pytest.approx(ratio)
+    for r in queries.op9_toxicity(spark, SF).collect():
+        text, matched, total = texts[r.doc_id].lower(), set(), 0.0
+        for clause in re.split(r"[.!?;:,\n]", text):
+            if (clause := clause.strip()) not in matched:
+                matched.add(clause)
+                m = got.match(toxicity_words(clause), len(toxicity_words(text)))
+                total += m[1] * got.factor(m[0]) if m else 0.0
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(got.shift + got.slope * total, -40, 40))))
+
+
+def toxicity_words(text):
+    return re.findall(r"[a-z\u00c0-\u1fff\u2080-\u2fff\u3040-\U0010ffff]+", text.lower())
+
+
 def test_grammar_reads_context():
     g = toxicity.Grammar({"idiot": 1e5, "lowe*": 1e5})
     plain, negated, quoted = (g.score(t) for t in ("you are an idiot", "you are not an idiot", "he said you are an idiot"))
