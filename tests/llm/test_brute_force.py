@@ -183,14 +183,80 @@ def test_lm_base_scores(spark, monkeypatch, tables):
     assert own > base  # the class model predicts held-out texts better
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    model, counts = lm_score.train_model(spark.read.parquet(f"{SF}/documents.parquet").select("text"), 1)
-    p = model.transitions()
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def lm_tokens(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOW))
+
+
+def lm_hash(words):
+    data = " ".join(words).encode()
+    (_, hashes, shapes), = kernels.shaped_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    return dict(zip(words, zip(hashes.tolist(), shapes.tolist(), strict=True), strict=True))
+
+
+@pytest.mark.parametrize("tables", [(1 << 20, 1 << 16), (1 << 12, 1 << 8)])
+def test_lm_scores_by_hand(spark, monkeypatch, tables):
+    """Every score again in plain Python, from the classes that were learned."""
+    for k, v in zip(("FREQUENT", "CLUSTERED"), tables, strict=True):
+        monkeypatch.setattr(lm_score, k, v)
+    docs = documents(spark)
+    train = {i for i in docs if zlib.crc32(str(i).encode()) % 5 != 1}
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model, tail, _ = lm_score.train_model(table.filter("pmod(crc32(cast(doc_id as string)), 5) <> 1").select("text"))
+    own = {w: (h, s) for w, (h, s) in lm_hash(list({w for t in docs.values() for w in lm_tokens(t)})).items()}
+    counts = Counter(w for i in train for w in lm_tokens(docs[i]))
+    core = dict(zip(model.core.hashes.tolist(), model.classes.tolist(), strict=True))
+    chosen = {r["hash"] & (1 << 64) - 1: r["class"] for r in tail.collect()}
+    assert all((own[w][0] in core) or ((chosen[own[w][0]] >= 0) == (c >= lm_score.LEAST)) for w, c in counts.items())  # every word seen often enough has a class
+    by = lambda w: core.get(own[w][0], chosen.get(own[w][0], -1)) if counts[w] else -1
+    emitted = {w: by(w) if by(w) >= 0 else lm_score.CLASSES + own[w][1] for w in own}
+    context = {w: core.get(own[w][0], lm_score.CLASSES + own[w][1]) for w in own}
+    moves = np.zeros((lm_score.ALL, lm_score.ALL))
+    for i in train:
+        words = lm_tokens(docs[i])
+        for v, w in zip([None, *words], [*words, None], strict=True):
+            moves[context[v] if v else lm_score.END, emitted[w] if w else lm_score.END] += 1
+    assert (model.moves == moves).all()
+    rates = moves.sum(axis=0) + 0.5
+    p = (moves + rates / rates.sum()) / (moves.sum(axis=1, keepdims=True) + 1)
     assert np.allclose(p.sum(axis=1), 1)
-    in_class = model.class_tokens()
-    emitted = np.bincount(model.classes[model.clustered()], model.counts[model.clustered()] / in_class[model.classes[model.clustered()]], minlength=lm_score.CLASSES)
-    assert np.allclose(emitted[in_class > 0], 1)
-    assert counts.count() + 1 == model.v
+    shape_words = Counter(emitted[w] for w in counts if emitted[w] >= lm_score.CLASSES)
+    total = sum(counts.values()) + len(train) + 0.5 * (len(counts) + 2)
+    gained = 0.0
+    for r in queries.op4_lm_score(spark, SF).collect():
+        want, words = 0.0, lm_tokens(docs[r.doc_id])
+        for v, w in zip([None, *words], [*words, None], strict=True):
+            k = emitted[w] if w else lm_score.END
+            c = counts[w] if w else len(train)
+            emit = 1.0 if not w else c / moves[:, k].sum() if k < lm_score.CLASSES else (c + 0.5) / (moves[:, k].sum() + 0.5 * (shape_words[k] + 1))
+            want += np.log10(0.9 * p[context[v] if v else lm_score.END, k] * emit + 0.1 * (c + 0.5) / total)
+        assert r.score == pytest.approx(want)
+        gained += (r.score - r.base_score) * r.held_out
+    assert gained > 0
+
+
+def test_exchange_raises_the_likelihood(spark):
+    """Words of two kinds that alternate end in classes that tell them apart, and the
+    class chosen for a word is the best of all by the likelihood itself."""
+    rng = np.random.default_rng(9)
+    moves = rng.integers(0, 50, (lm_score.ALL, lm_score.ALL)).astype(np.int64)
+    before, after = rng.integers(0, 5, lm_score.ALL), np.zeros(lm_score.ALL, np.int64)
+    after[:] = rng.permutation(before)
+    moves[:, 3] += before
+    moves[3] += after
+    best = lm_score.best_class(3, before.astype(float), after.astype(float), moves)
+
+    def moved(k):
+        m = moves.copy()
+        m[:, 3] -= before
+        m[3] -= after
+        m[:, k] += before
+        m[k] += after
+        return lm_score.likelihood(m)
+
+    assert best == max(range(lm_score.CLASSES), key=moved)
 
 
 def test_mix_meets_targets(spark):

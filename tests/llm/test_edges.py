@@ -25,7 +25,7 @@ def no_documents(spark):
 
 LABELS = "doc_id long, quality int, toxic int"
 OPERATORS = {
-    "near": near_dup.near_classes, "exact": exact_dedup.exact_dedup, "counts": token_counts.count_with_edits, "lm": lambda d: lm_score.score_documents(d, 1), "mix": mixing.mix_sources,
+    "near": near_dup.near_classes, "exact": exact_dedup.exact_dedup, "counts": token_counts.count_with_edits, "lm": lm_score.score_documents, "mix": mixing.mix_sources,
     "pack": packing.pack, "files": token_files.token_file_digests, "toxic": lambda d: toxicity.score_documents(d, d.sparkSession.createDataFrame([(4, 0, 1), (None, 1, 0), (6, 1, None)], LABELS)), "media": media.media_features,
 }
 
