@@ -19,7 +19,7 @@ one at most is kept; a null doc_id sorts first; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,19 +77,28 @@ def _print_columns(flat: np.ndarray) -> tuple[int, int, int]:
     return n, a << 31 | b, c << 31 | d
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
-        rows = [(*_print_columns(x), hashlib.sha256(x).hexdigest()) for x in _flat(batch.column("text"))]
-        n, f, g, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
-        keep = [batch.column(k) for k in ("doc_id", "row", "n_points")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "row", "n_points", "n_bytes", "print_a", "print_b", "text_sha256"])
+Print = Callable[[np.ndarray], tuple[int, int, int]]
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
-        keys = [_print_columns(x) for x in _flat(batch.column("text"))]
-        n, f, g = zip(*keys, strict=True) if keys else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), batch.column("text")], ["n_bytes", "print_a", "print_b", "text"])
+def _fingerprints(print_of: Print):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            rows = [(*print_of(x), hashlib.sha256(x).hexdigest()) for x in _flat(batch.column("text"))]
+            n, f, g, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
+            keep = [batch.column(k) for k in ("doc_id", "row", "n_points")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "row", "n_points", "n_bytes", "print_a", "print_b", "text_sha256"])
+
+    return run
+
+
+def _keyed(print_of: Print):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            keys = [print_of(x) for x in _flat(batch.column("text"))]
+            n, f, g = zip(*keys, strict=True) if keys else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), batch.column("text")], ["n_bytes", "print_a", "print_b", "text"])
+
+    return run
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,28 +125,33 @@ def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
 KEY = ["n_bytes", "print_a", "print_b"]
 
 
-def collisions(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def collisions(docs: DataFrame, groups: DataFrame, print_of: Print = _print_columns) -> DataFrame:
     """Keys of the groups of equal fingerprints whose texts aren't all equal."""
     shared = groups.filter("n_rows > 1").select(*KEY)
     if shared.count() <= BROADCAST_GROUPS:
         shared = F.broadcast(shared)
-    keyed = docs.select(text_of().alias("text")).mapInArrow(_keyed, "n_bytes long, print_a long, print_b long, text string")
+    keyed = docs.select(text_of().alias("text")).mapInArrow(_keyed(print_of), "n_bytes long, print_a long, print_b long, text string")
     chunks = keyed.join(shared, KEY, "left_semi").select(*KEY, "text").mapInArrow(_chunks, "n_bytes long, print_a long, print_b long, chunk_no long, chunk binary")
     ends = chunks.groupBy(*KEY, "chunk_no").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
     return ends.filter("least <> most").select(*KEY).distinct()
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, print_of: Print = _print_columns) -> DataFrame:
+    """doc_id, row (a number of its own), n_points, the KEY columns and text_sha256 of each row."""
+    numbered = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.char_length(text_of()).cast("long").alias("n_points"), text_of().alias("text"))
+    return numbered.mapInArrow(_fingerprints(print_of), "doc_id long, row long, n_points long, n_bytes long, print_a long, print_b long, text_sha256 string")
+
+
+def exact_dedup(docs: DataFrame, print_of: Print = _print_columns) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256,
     n_bytes (normalised), n_points (of the original text).
 
     Of equal texts the row with the most code points in the original text
     stays, then the one with the smallest doc_id. Needs columns doc_id and text.
     """
-    numbered = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.char_length(text_of()).cast("long").alias("n_points"), text_of().alias("text"))
-    prints = stage(numbered.mapInArrow(_fingerprints, "doc_id long, row long, n_points long, n_bytes long, print_a long, print_b long, text_sha256 string"), "prints")
+    prints = stage(fingerprints(docs, print_of), "prints")
     groups = prints.groupBy(*KEY).agg(F.count("*").alias("n_rows"))
-    bad = checked_broadcast(stage(collisions(docs, groups).withColumn("collides", F.lit(True)), "collisions"))
+    bad = checked_broadcast(stage(collisions(docs, groups, print_of).withColumn("collides", F.lit(True)), "collisions"))
     split = prints.join(bad, KEY, "left").withColumn("split", F.when(F.col("collides"), F.col("text_sha256")).otherwise(""))
     best = F.struct((-F.col("n_points")).alias("less"), "doc_id", "row")
     kept = split.groupBy(*KEY, "split").agg(F.count("*").alias("group_size"), F.min(best).alias("best"))
@@ -145,6 +159,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "n_bytes", "n_points")
 
 
+#: Columns that are added on the way; the names are the package's own.
+SHA, POINTS = "_loomery_exact_sha", "_loomery_exact_points"
+
+
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns.
 
@@ -153,14 +171,14 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """
     judged = stage(exact_dedup(docs), "judged")
     same = ["doc_id", "text_sha256", "n_points"]
-    kept = judged.filter("kept").select(*same).withColumn("stays", F.lit(True))
+    kept = judged.filter("kept").select(*same)
     gone = judged.filter("not kept").select(*same).distinct()
     twice = [judged[c].eqNullSafe(F.col(f"_{c}")) for c in same]
-    again = judged.filter("not kept").join(kept.toDF(*(f"_{c}" for c in kept.columns)), twice, "left_semi")
-    marked = docs.withColumn("_sha", F.sha2(F.translate(text_of(), BLANKS, ""), 256)).withColumn("_points", F.char_length(text_of()).cast("long"))
+    again = judged.filter("not kept").join(kept.toDF(*(f"_{c}" for c in same)), twice, "left_semi")
+    marked = docs.withColumns({SHA: F.sha2(F.translate(text_of(), BLANKS, ""), 256), POINTS: F.char_length(text_of()).cast("long")})
     if not again.isEmpty():
         gone = gone.join(kept, [gone[c].eqNullSafe(kept[c]) for c in same], "left_anti")
-        marked = marked.dropDuplicates(["doc_id", "_sha", "_points"])
-    gone = checked_broadcast(stage(gone.toDF("_gone", "_gone_sha", "_gone_points"), "dropped"))
-    on = marked["doc_id"].eqNullSafe(gone["_gone"]) & (marked["_sha"] == gone["_gone_sha"]) & (marked["_points"] == gone["_gone_points"])
-    return marked.join(gone, on, "left_anti").select(*(docs[c] for c in docs.columns))
+        marked = marked.dropDuplicates(["doc_id", SHA, POINTS])
+    gone = checked_broadcast(stage(gone.toDF("_gone_id", "_gone_sha", "_gone_points"), "dropped"))
+    on = marked["doc_id"].eqNullSafe(gone["_gone_id"]) & (marked[SHA] == gone["_gone_sha"]) & (marked[POINTS] == gone["_gone_points"])
+    return marked.join(gone, on, "left_anti").select(*(marked[c] for c in docs.columns))

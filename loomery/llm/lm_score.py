@@ -59,7 +59,7 @@ BUCKET_WORDS, BUCKET_TOKENS = 500_000, 2_000_000
 #: Buckets of a small corpus; a document has a row in each bucket that it has rare words of.
 BUCKETS = 16
 #: Bytes of text that a task counts together.
-PIECE = 8 << 20
+PIECE = 4 << 20
 
 END = CLASSES + SHAPES
 ALL = END + 1

@@ -44,13 +44,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def decided(rows: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
-    """``rows`` (doc_id, source) with _size (of the source), _target, _rate and _copies."""
-    t = checked_broadcast(targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target")))
-    out = rows.join(t, rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
-    out = out.withColumn("_rate", F.when(F.col("_size") > 0, F.col("_target") / F.col("_size")).otherwise(0.0))
+    """``rows`` (doc_id, source) with _mix_size (of the source), _mix_target, _mix_rate and _mix_copies."""
+    t = checked_broadcast(targets.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target")))
+    out = rows.join(t, rows["source"].eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
+    out = out.withColumn("_mix_rate", F.when(F.col("_mix_size") > 0, F.col("_mix_target") / F.col("_mix_size")).otherwise(0.0))
     chance = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(16**13)
-    whole = F.floor("_rate")
-    return out.withColumn("_copies", (whole + (chance < F.col("_rate") - whole).cast("long")).cast("long"))
+    whole = F.floor("_mix_rate")
+    return out.withColumn("_mix_copies", (whole + (chance < F.col("_mix_rate") - whole).cast("long")).cast("long"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
@@ -58,11 +58,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     sized = stage(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
     targets = stage(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
     out = decided(sized, targets, seed)
-    return out.select("doc_id", "source", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+    return out.select("doc_id", "source", "size", F.col("_mix_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_rate").alias("rate"), F.col("_mix_copies").alias("copies"))
 
 
 def taken_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as it is taken; texts aren't shuffled."""
     sizes = docs.groupBy("source").agg(F.sum(word_count()).alias("source_size"))
-    taken = decided(docs, stage(source_targets(sizes, weights, share, cap), "targets"), seed).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(docs[c] for c in docs.columns))
+    taken = decided(docs, stage(source_targets(sizes, weights, share, cap), "targets"), seed).filter("_mix_copies > 0")
+    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*(docs[c] for c in docs.columns))

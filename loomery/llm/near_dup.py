@@ -43,7 +43,7 @@ GRAM, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 BLOCK = 256
 #: Column of the row numbers.
-ROW = "_near_row"
+ROW = "_loomery_near_row"
 
 _ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _PLACE = mix(np.arange(1001, 1001 + GRAM, dtype=np.uint64)) | np.uint64(1)

@@ -89,13 +89,21 @@ def test_fingerprints_combine():
     assert whole != exact_dedup.fingerprint(data[::-1])
 
 
-def test_collisions_are_split(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "_print_columns", lambda flat: (len(flat), 0, 0))
-    docs = spark.createDataFrame([(1, "ab"), (2, "a b"), (3, "cd"), (4, "d c")], "doc_id long, text string")
-    prints = docs.selectExpr("doc_id", "2L n_bytes", "0L print_a", "0L print_b")
-    chunks = docs.selectExpr("2L n_bytes", "0L print_a", "0L print_b", "text").mapInArrow(exact_dedup._chunks, "n_bytes long, print_a long, print_b long, chunk_no long, chunk binary")
-    ends = chunks.groupBy("n_bytes", "chunk_no").agg({"chunk": "min"}).collect()
-    assert len(ends) == 1 and bytes(ends[0][2]) == b"ab" and prints.count() == 4
+def test_collisions_are_split(spark):
+    """Dedup by a fingerprint that is nothing but the length, also in the workers:
+    texts of one length collide and are told apart by the chunks."""
+    long_ = ["x" * 70_000 + e for e in "abab"]
+    texts = ["ab", "a b", "cd", "d c", "ef", None, " ", *long_]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_length = lambda flat: (len(flat), 0, 0)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, by_length).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        same = [k for k, u in enumerate(texts) if re.sub(r"\s", "", u or "") == re.sub(r"\s", "", t or "")]
+        keep = min(same, key=lambda k: (-len(texts[k] or ""), k))
+        want[i] = (keep, len(same), i == keep)
+    assert got == want
+    assert exact_dedup.collisions(docs.select("text"), exact_dedup.fingerprints(docs, by_length).groupBy(*exact_dedup.KEY).agg({"*": "count"}).withColumnRenamed("count(1)", "n_rows"), by_length).count() == 2
 
 
 def test_words_across_slices(monkeypatch):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomery.llm import exact_dedup, lm_score, media, mixing, near_dup, packing, queries, token_counts, token_files, toxicity, url_filter
+from loomery.llm import exact_dedup, lm_score, media, mixing, near_dup, packing, pieces, queries, token_counts, token_files, toxicity, url_filter
 from tests.compare import assert_same
 
 SF = "/root/testdata/sf0.001"
@@ -37,6 +37,47 @@ def test_odd_rows_one_result_each(spark, name):
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in docs.select("doc_id").collect())
 
 
+def values(spark, name, *columns):
+    """(doc_id, columns) of all rows of the odd documents, as text, sorted."""
+    return sorted(tuple(str(r[c]) for c in ("doc_id", *columns)) for r in OPERATORS[name](odd_documents(spark)).collect())
+
+
+def test_values_of_odd_rows(spark):
+    """What the docstrings say of nulls, blanks, repeats and ties, as values."""
+    texts = [(r.doc_id, r.text or "") for r in odd_documents(spark).collect()]
+    flat = [(i, t, "".join(c for c in t if c not in " \t\n\x0b\x0c\r")) for i, t in texts]
+    best = {f: min(((-len(t), i is not None, i or 0, i) for i, t, g in flat if g == f))[3] for _, _, f in flat}
+    exact = values(spark, "exact", "keep_id", "group_size")
+    assert exact == sorted((str(i), str(best[f]), str(sum(g == f for *_, g in flat))) for i, _, f in flat)
+    assert sum(r.kept for r in exact_dedup.exact_dedup(odd_documents(spark)).collect()) == len({f for *_, f in flat})
+    near = dict.fromkeys(values(spark, "near", "class_id", "n_links"))
+    assert {("1", "1", "0"), ("2", "2", "0"), ("3", "3", "0"), ("4", "4", "3"), ("5", "4", "3"), ("None", "4", "3"), ("6", "6", "1"), ("7", "6", "1"), ("9", "9", "0")} <= set(near)
+    want = [len(e) for e in pieces.tokenizer(token_counts.TOKENIZER).encode_batch_fast([t for _, t in texts], add_special_tokens=False)]
+    counted = sorted((str(i), str(n)) for (i, _), n in zip(texts, want, strict=True))
+    assert values(spark, "counts", "n_tokens") == values(spark, "pack", "n_tokens") == counted
+    assert sorted((i, str(int(n) - 1)) for i, n in values(spark, "files", "n_tokens")) == counted
+    starts = sorted((int(r.start), int(r.n_tokens)) for r in OPERATORS["files"](odd_documents(spark)).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+    words = {i: len(t.split()) for i, t in texts}
+    assert values(spark, "mix", "size") == sorted((str(i), str(len([w for w in t.split(" ") if w.strip()]) if i != 9 else words[9])) for i, t in texts)
+    assert {n for i, n in values(spark, "lm", "n_tokens") if i in "123"} == {"1"}
+    toxic = {r.doc_id: r.score for r in OPERATORS["toxic"](odd_documents(spark)).collect()}
+    assert toxic[1] == toxic[2] == toxic[3] == pytest.approx(0.1)
+    media_rows = {r.doc_id: r for r in OPERATORS["media"](odd_documents(spark)).collect()}
+    assert media_rows[1].media_sha256 == media_rows[2].media_sha256 and media_rows[1].payload_bytes == 192 and media_rows[1].n_bytes == 0
+
+
+def test_repeated_ids_with_other_texts_in_all_stages(spark):
+    """One doc_id with three texts, a null one among them: stages tell the rows apart."""
+    docs = spark.createDataFrame([(1, NEAR, "en", "a", 1), (1, FAR, "en", "a", 1), (1, None, "en", None, 1), (None, NEAR + " x", "en", "a", 1), (None, FAR + "  ", "en", "b", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = lambda k, d: sorted(str(r.text) for r in corpus_pipeline.STAGES[k][1](spark, d, SF).collect())
+    assert texts(0, docs) == sorted(map(str, [NEAR, FAR, None, NEAR + " x", FAR + "  "]))
+    assert texts(1, docs) == sorted(map(str, [NEAR, None, NEAR + " x", FAR + "  "]))
+    assert texts(2, docs) == sorted(map(str, [NEAR, FAR, None]))
+    assert set(texts(3, docs)) <= {NEAR, FAR, NEAR + " x", FAR + "  "}
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()) == ["1", "1", "1", "None", "None"]
+
+
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_empty_table(spark, name):
     assert OPERATORS[name](no_documents(spark)).count() == 0
