@@ -1,4 +1,13 @@
-"""The training-data pipeline over ``documents``, one operator a stage."""
+"""The training-data pipeline over ``documents``, one operator a stage.
+
+Every stage takes all rows its predecessor kept and is written as Parquet in
+the shared folder. Defined cases, in each stage: a null text is the empty one;
+a null or repeated doc_id is a row like any other, told from others by its
+text or a row number; of rows that are the same in all of doc_id, text and code
+points one stays in exact dedup; extra columns go through untouched (names that
+begin with ``_loomery_`` or ``_mix_`` are the package's own); an empty table
+gives no rows.
+"""
 
 from __future__ import annotations
 
