@@ -11,6 +11,10 @@ reference semantics ask for; ``cap`` marks blocks with too many for review.
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,7 @@ from loomery.functions.similarity import fold_accents, jaro_winkler
 from loomery.operators.graph import components
 
 NAME_THRESHOLD, TOKEN_THRESHOLD, CAP = 0.85, 0.6, 50
+BLOCK = 512
 DEPARTMENTS = ["name2", "name3", "name4", "name5"]
 
 
@@ -39,16 +44,22 @@ def cluster_hash(row_ids: Column) -> Column:
     return F.concat(F.lit("c_"), F.substring(F.sha2(F.array_join(F.array_sort(row_ids), ";"), 256), 1, 12))
 
 
-def signatures(rows: DataFrame, key=normalize_key) -> DataFrame:
-    """One row per (block_id, folded name 1, folded departments): signature_id (s1, s2, ... in order of first rows),
-    names of its first row, first non-blank ror_id and lei_id, row_ids, n_rows. Needs ``_seq``."""
+def with_keys(rows: DataFrame, key=normalize_key) -> DataFrame:
+    """Rows with norm_name1, norm_name2 (folded) and the departments in ``_dept``."""
     departments = tx.department_text([F.col(c) for c in DEPARTMENTS if c in rows.columns])
-    keyed = rows.withColumns({"norm_name1": key(F.col("name1")), "_dept": departments}).withColumn("norm_name2", key(F.col("_dept")))
+    return rows.withColumns({"norm_name1": key(F.col("name1")), "_dept": departments}).withColumn("norm_name2", key(F.col("_dept")))
+
+
+def signatures(rows: DataFrame, key=normalize_key, ids: bool = True) -> DataFrame:
+    """One row per (block_id, folded name 1, folded departments): signature_id (s1, s2, ... in order of first rows),
+    names of its first row, first non-blank ror_id and lei_id, n_rows, and (``ids``) row_ids, an array
+    that grows with the group. Needs ``_seq``."""
+    keyed = with_keys(rows, key)
     first = lambda c: F.min(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("_seq", c)))[c]
+    listed = [F.transform(F.array_sort(F.collect_list(F.struct("_seq", "row_id"))), lambda x: x["row_id"]).alias("row_ids")] if ids else []
     s = keyed.groupBy("block_id", "norm_name1", "norm_name2").agg(
         F.min("_seq").alias("_first"), F.min(F.struct("_seq", F.trim(F.coalesce("name1", F.lit(""))).alias("v")))["v"].alias("name1"), F.min(F.struct("_seq", "_dept"))["_dept"].alias("name2"),
-        first("ror_id").alias("ror_id"), first("lei_id").alias("lei_id"),
-        F.transform(F.array_sort(F.collect_list(F.struct("_seq", "row_id"))), lambda x: x["row_id"]).alias("row_ids"), F.count("*").alias("n_rows"),
+        first("ror_id").alias("ror_id"), first("lei_id").alias("lei_id"), *listed, F.count("*").alias("n_rows"),
     )
     place = F.row_number().over(Window.partitionBy("block_id").orderBy("_first"))
     return s.withColumn("signature_id", F.concat(F.lit("s"), place.cast("string"))).withColumn("has_name2", F.col("norm_name2") != "")
@@ -69,19 +80,42 @@ def split_conflicting_ids(members: DataFrame) -> DataFrame:
     return out.withColumns({"entity_id": F.when(F.col("_conflict"), F.concat_ws("/", "entity_id", "signature_id")).otherwise(F.col("entity_id")), "uncertain": F.col("uncertain") | F.col("_conflict"), "reasoning": F.when(F.col("_conflict"), "Split: different registry ids indicate different entities").otherwise(F.col("reasoning"))}).drop("_conflict")
 
 
+def letter_bag(c: Column) -> Column:
+    """The letters of a text as numbers, each with its number among its equals."""
+    letters = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.transform(letters, lambda x, k: F.ascii(x) * 4096 + F.size(F.filter(F.slice(letters, 1, k + 1), lambda y: y == x)))
+
+
+def jaro_winkler_bound(a: Column, b: Column, common: Column) -> Column:
+    """What Jaro-Winkler is at most for two texts with so many letters in common: no
+    more matches than those, and none out of place."""
+    jaro = F.when(common > 0, (common / F.length(a) + common / F.length(b) + 1) / 3).otherwise(0.0)
+    prefix = sum(((F.substring(a, 1, k) == F.substring(b, 1, k)) & (F.length(a) >= k)).cast("int") for k in range(1, 5))
+    return jaro + 0.1 * prefix * (1 - jaro) + 1e-9
+
+
 def candidate_pairs(units: DataFrame, name_threshold: float = NAME_THRESHOLD, token_threshold: float = TOKEN_THRESHOLD) -> DataFrame:
     """(block_id, a, b, rule, score, place) of pairs to compare: equal ids, else similar names, else shared words.
 
     units: block_id, idx, name, ror_id, lei_id, has_name2, adjudicated. Pairs
-    that a partition verdict has compared already aren't eligible.
+    that a partition verdict has compared already aren't eligible. A block is
+    dealt into shards of about ``BLOCK`` units, and each two shards meet in a cell
+    of their own, so a block of any size is spread; letters in common bound the
+    similarity, and only pairs that can reach it go through the kernel.
     """
-    u = units.withColumn("core", tx.strip_legal_suffix(F.col("name"))).withColumn("words", F.filter(F.split("core", " "), lambda w: w != ""))
+    u = units.withColumn("core", tx.strip_legal_suffix(F.col("name"))).withColumn("words", F.filter(F.split("core", " "), lambda w: w != "")).withColumn("letters", letter_bag(F.col("core")))
+    sizes = u.groupBy("block_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_shards"))
+    u = u.join(sizes, "block_id").withColumn("_shard", F.pmod(F.xxhash64("idx"), F.col("_shards")).cast("int"))
+    u = u.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1))).withColumns({"_low": F.least("_shard", "_other"), "_high": F.greatest("_shard", "_other")})
     a, b = u.alias("x"), u.alias("y")
-    pairs = a.join(b, (F.col("x.block_id") == F.col("y.block_id")) & (F.col("x.idx") < F.col("y.idx")))
+    cell = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("block_id", "_low", "_high")]
+    pairs = a.join(b, [*cell, F.col("x.idx") < F.col("y.idx"), (F.col("x._low") == F.col("x._high")) | (F.col("x._shard") != F.col("y._shard"))])
     pairs = pairs.filter(~((F.col("x.has_name2") == F.col("y.has_name2")) & F.col("x.adjudicated") & F.col("y.adjudicated")))
     same = lambda c: F.coalesce((F.col(f"x.{c}") == F.col(f"y.{c}")) & (F.col(f"x.{c}") != ""), F.lit(False))
-    pairs = pairs.select(F.col("x.block_id").alias("block_id"), F.col("x.idx").alias("a"), F.col("y.idx").alias("b"), (same("ror_id") | same("lei_id")).alias("ids"), F.col("x.core").alias("ca"), F.col("y.core").alias("cb"), tx.jaccard(F.col("x.words"), F.col("y.words")).alias("jaccard"))
-    pairs = pairs.withColumn("jw", F.when((F.col("ca") != "") & (F.col("cb") != ""), jaro_winkler("ca", "cb")).otherwise(0.0))
+    pairs = pairs.select(F.col("x.block_id").alias("block_id"), F.col("x.idx").alias("a"), F.col("y.idx").alias("b"), (same("ror_id") | same("lei_id")).alias("ids"), F.col("x.core").alias("ca"), F.col("y.core").alias("cb"), tx.jaccard(F.col("x.words"), F.col("y.words")).alias("jaccard"), F.size(F.array_intersect("x.letters", "y.letters")).alias("common"))
+    may = jaro_winkler_bound(F.col("ca"), F.col("cb"), F.col("common")) >= name_threshold
+    pairs = pairs.filter(F.col("ids") | (F.col("jaccard") >= token_threshold) | may)
+    pairs = pairs.withColumn("jw", F.when((F.col("ca") != "") & (F.col("cb") != "") & may, jaro_winkler("ca", "cb")).otherwise(0.0))
     rank = F.when(F.col("ids"), 0).when(F.col("jw") >= name_threshold, 1).when(F.col("jaccard") >= token_threshold, 2)
     score = F.when(F.col("ids"), 1.0).when(F.col("jw") >= name_threshold, F.col("jw")).otherwise(F.col("jaccard"))
     pairs = pairs.withColumns({"_rank": rank, "score": score}).filter("_rank is not null")
@@ -94,23 +128,64 @@ def capped_blocks(pairs: DataFrame, cap: int = CAP) -> DataFrame:
     return pairs.groupBy("block_id").agg(F.count("*").alias("candidates")).filter(F.col("candidates") > cap)
 
 
-def cluster_rows(rows: DataFrame, partitions: DataFrame | None = None, verdicts: DataFrame | None = None, cap: int = CAP, key=normalize_key) -> DataFrame:
-    """row_id, block_id, cluster_id, routing, signature_id, entity_id of every row.
+#: Text that says of a merged entity that it shouldn't be one.
+NONMERGE_MARKERS = ("should not be merged", "should not merge", "must not be merged", "not be merged", "do not merge", "should be split", "must be split")
+
+
+def _ids_hash(batches):
+    """Rows sorted by cluster and row id: the digest of each cluster's ids, one id at a time."""
+    cluster, digest, n = None, None, 0
+    for batch in batches:
+        done = []
+        for c, i in zip(batch.column("cluster").to_pylist(), batch.column("row_id").to_pylist(), strict=True):
+            if c != cluster:
+                if cluster is not None:
+                    done.append((cluster, digest.hexdigest(), n))
+                cluster, digest, n = c, hashlib.sha256(), 0
+            digest.update((";" if n else "").encode() + i.encode())
+            n += 1
+        yield _hash_batch(done)
+    yield _hash_batch([(cluster, digest.hexdigest(), n)] if cluster is not None else [])
+
+
+def _hash_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["cluster", "digest", "n"])
+
+
+def cluster_hashes(rows: DataFrame) -> DataFrame:
+    """cluster, hash ('c_' and twelve digits of SHA-256 over the sorted ids, joined by ';'), n
+    of (cluster, row_id) rows. The ids of a cluster stream by in order, so a cluster of
+    any size takes the memory of one id."""
+    r = rows.filter("cluster is not null and row_id is not null").select(F.col("cluster").cast("string"), F.col("row_id").cast("string"))
+    found = r.repartition("cluster").sortWithinPartitions("cluster", "row_id").mapInArrow(_ids_hash, "cluster string, digest string, n long")
+    return found.select("cluster", F.concat(F.lit("c_"), F.substring("digest", 1, 12)).alias("hash"), "n")
+
+
+def cluster_rows(rows: DataFrame, partitions: DataFrame | None = None, verdicts: DataFrame | None = None, cap: int = CAP, key=normalize_key, candidates: DataFrame | None = None) -> DataFrame:
+    """row_id, block_id, cluster_id, routing, signature_id, entity_id, reasoning of every row.
 
     partitions: (block_id, signature_id, entity_id, uncertain, reasoning), what
-    a reviewer grouped; verdicts: (block_id, a, b, decision) on candidate pairs
-    of entities named by their first signature. Without evidence only equal
-    names cluster.
+    a reviewer grouped. In a block that has some, signatures that are left out
+    are uncertain, and so is the whole block if the reasoning of an entity of
+    two signatures or more disowns it. verdicts: (block_id, a, b, decision) on
+    candidate pairs of entities named by their first signature; candidates
+    (block_id, ...): all pairs that were nominated (the verdicts' pairs where
+    they aren't given). A block with more of them than ``cap`` goes to review as
+    it is, without merging. Without evidence only equal names cluster.
     """
-    s = signatures(rows, key)
+    s = signatures(rows, key, ids=False)
     s = s.withColumns({"uncertain": F.lit(False), "entity_id": F.col("signature_id"), "adjudicated": F.lit(False), "reasoning": F.lit(None).cast("string")})
     if partitions is not None:
         p = partitions.select("block_id", "signature_id", F.col("entity_id").alias("_e"), F.col("uncertain").alias("_u"), F.col("reasoning").alias("_r"))
-        s = s.join(p, ["block_id", "signature_id"], "left")
-        s = s.withColumns({"entity_id": F.coalesce("_e", "entity_id"), "uncertain": F.coalesce("_u", "uncertain"), "reasoning": F.col("_r"), "adjudicated": F.col("_e").isNotNull()}).drop("_e", "_u", "_r")
+        grouped = partitions.select("block_id").distinct().withColumn("_grouped", F.lit(True))
+        s = s.join(p, ["block_id", "signature_id"], "left").join(grouped, "block_id", "left")
+        missing = F.col("_grouped").isNotNull() & F.col("_e").isNull()
+        s = s.withColumns({"entity_id": F.coalesce("_e", "entity_id"), "uncertain": F.coalesce("_u", "uncertain") | missing, "reasoning": F.col("_r"), "adjudicated": F.col("_grouped").isNotNull()}).drop("_e", "_u", "_r", "_grouped")
     s = split_mixed_departments(s)
     if verdicts is not None:
         w = Window.partitionBy("block_id", "entity_id").orderBy("_first").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        over = capped_blocks(candidates if candidates is not None else verdicts, cap).select("block_id", F.col("candidates").alias("_over"))
+        verdicts = verdicts.join(over, "block_id", "left_anti")
         s = s.withColumn("unit", F.first("signature_id").over(w))
         node = lambda c: F.concat_ws("|", "block_id", c)
         merged = verdicts.filter(F.lower("decision") == "match").select(node("a").alias("a"), node("b").alias("b"))
@@ -118,16 +193,19 @@ def cluster_rows(rows: DataFrame, partitions: DataFrame | None = None, verdicts:
         roots = components(s.select(node("unit").alias("node")).distinct(), merged)
         s = s.withColumn("node", node("unit")).join(roots, "node").join(doubted, ["block_id", "unit"], "left")
         s = s.withColumns({"entity_id": F.col("root"), "uncertain": F.col("uncertain") | F.coalesce("_doubt", F.lit(False))}).drop("node", "root", "unit", "_doubt")
-        over = capped_blocks(verdicts, cap).select("block_id", F.lit(True).alias("_over"))
-        s = s.join(over, "block_id", "left").withColumn("uncertain", F.col("uncertain") | F.coalesce("_over", F.lit(False))).drop("_over")
+        marker = F.format_string(f"candidate_cap_exceeded: %d candidate pairs exceed the per-block cap of {cap}; block routed to manual review", "_over")
+        s = s.join(over, "block_id", "left").withColumns({"uncertain": F.col("uncertain") | F.col("_over").isNotNull(), "reasoning": F.coalesce("reasoning", F.when(F.col("_over").isNotNull(), marker))}).drop("_over")
     s = split_conflicting_ids(s)
-    disowned = F.max(F.coalesce(F.lower("reasoning").rlike("not (?:be )?merged?\\b|should be split|must be split"), F.lit(False)).cast("int")).over(Window.partitionBy("block_id")) == 1
-    s = s.withColumn("uncertain", F.col("uncertain") | disowned)
     w = Window.partitionBy("block_id", "entity_id")
-    s = s.withColumns({"entity_rows": F.sum("n_rows").over(w), "_all": F.flatten(F.collect_list("row_ids").over(w))})
-    s = s.withColumn("cluster_id", F.when(F.col("entity_rows") >= 2, cluster_hash(F.col("_all"))))
+    s = s.withColumn("_several", F.count("*").over(w) >= 2)
+    says = reduce(lambda a, b: a | b, [F.contains(F.lower("reasoning"), F.lit(m)) for m in NONMERGE_MARKERS])
+    s = s.withColumn("uncertain", F.col("uncertain") | (F.max((F.col("_several") & F.coalesce(says, F.lit(False))).cast("int")).over(Window.partitionBy("block_id")) == 1))
+    s = s.withColumn("_entity", F.concat_ws("|", "block_id", "entity_id")).select("block_id", "norm_name1", "norm_name2", "signature_id", "entity_id", "uncertain", "reasoning", "_entity")
+    out = with_keys(rows, key).select("row_id", "block_id", "norm_name1", "norm_name2").join(s, ["block_id", "norm_name1", "norm_name2"])
+    hashes = cluster_hashes(out.select(F.col("_entity").alias("cluster"), "row_id")).filter("n >= 2").select(F.col("cluster").alias("_cluster"), F.col("hash").alias("cluster_id"))
+    out = out.join(hashes, F.col("_entity") == F.col("_cluster"), "left")
     routing = F.when(F.col("uncertain"), "manual_review").when(F.col("cluster_id").isNotNull(), "cluster").otherwise("unique")
-    return s.select(F.explode("row_ids").alias("row_id"), "block_id", "cluster_id", routing.alias("routing"), "signature_id", "entity_id", "reasoning")
+    return out.select("row_id", "block_id", "cluster_id", routing.alias("routing"), "signature_id", "entity_id", "reasoning")
 
 
 def confidence(value: Column) -> Column:
@@ -136,5 +214,12 @@ def confidence(value: Column) -> Column:
 
 
 def parse_json_object(raw: Column, schema: str) -> Column:
-    """The JSON object in a reply: bare, fenced or among prose."""
-    return F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), schema)
+    """The JSON object in a reply: what a code fence holds or the whole, else from the
+    first brace to the last; null where that isn't one object."""
+    fence = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    text = F.trim(F.when(fence != "", fence).otherwise(raw))
+    span = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    alone = lambda x: F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))  # a second object behind it is an error there
+    sound = lambda x: alone(x).isNotNull() & F.try_variant_get(alone(x), "$[1]", "variant").isNull()
+    found = F.when(sound(text), text).when(sound(span), span)
+    return F.when(found.startswith("{"), F.from_json(found, schema))

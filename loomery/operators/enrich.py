@@ -38,19 +38,43 @@ def insert_head(df: DataFrame, columns: list[str], value: Column, overflow: str)
 
 
 def put_first_empty(df: DataFrame, columns: list[str], value: Column) -> DataFrame:
-    """``value`` into the first empty slot; nothing where all are full."""
+    """``value`` into the first empty slot; nothing where all are full (see ``has_room``)."""
     free = F.array_position(F.array(*[tx.blank(F.col(c)) for c in columns]), True)
     return df.withColumns({"_free": free, "_value": value}).withColumns({c: F.when((F.col("_free") == k + 1) & F.col("_value").isNotNull(), F.col("_value")).otherwise(F.col(c)) for k, c in enumerate(columns)}).drop("_free", "_value")
 
 
+def has_room(columns: list[str]) -> Column:
+    return F.greatest(*[tx.blank(F.col(c)) for c in columns])
+
+
+def put_all(df: DataFrame, columns: list[str], values: Column, left: str) -> DataFrame:
+    """An array of values into the empty slots, in order; those without a slot are in the column ``left``."""
+    empty = [tx.blank(F.col(c)).cast("int") for c in columns]
+    before = [sum(empty[:k], F.lit(0)) for k in range(len(columns))]
+    df = df.withColumn("_values", F.coalesce(values, F.array().cast("array<string>")))
+    put = {c: F.when(empty[k] == 1, F.get("_values", before[k])).otherwise(F.col(c)) for k, c in enumerate(columns)}
+    room = sum(empty, F.lit(0))
+    return df.withColumns({left: F.slice("_values", room + 1, F.greatest(F.size("_values"), F.lit(1)))} | put).drop("_values")
+
+
+def raise_flag(df: DataFrame, flag: str, when: Column) -> DataFrame:
+    """``flag`` into the array preprocess_flags."""
+    have = F.col("preprocess_flags") if "preprocess_flags" in df.columns else F.array().cast("array<string>")
+    return df.withColumn("preprocess_flags", F.when(when, F.array_union(have, F.array(F.lit(flag)))).otherwise(have))
+
+
 def route_first(df: DataFrame, sources: list[str], f, target: str) -> DataFrame:
-    """The first extraction ``f`` (struct(value, rest)) over the slots goes to ``target`` if that is empty; every hit loses its piece."""
+    """The first extraction ``f`` (struct(value, rest)) over the slots goes to ``target``
+    if that is empty. A slot loses its piece only where ``target`` now says the same;
+    another piece stays where it is, and the flag '<target>-conflict' is raised."""
     got = df.withColumn("_x", F.transform(F.array(*[F.col(c) for c in sources]), lambda x: f(x)))
     value = F.get(F.filter(F.transform("_x", lambda x: x["value"]), lambda v: v.isNotNull()), F.lit(0))
-    got = got.withColumn("_rest", F.transform("_x", lambda x: F.when(x["value"].isNotNull(), tx.nullify(x["rest"]))))
     got = got.withColumn(target, F.coalesce(tx.nullify(F.col(target)), value))
-    hit = lambda k: F.get(F.col("_x"), F.lit(k))["value"].isNotNull()
-    return got.withColumns({c: F.when(hit(k), F.get(F.col("_rest"), F.lit(k))).otherwise(F.col(c)) for k, c in enumerate(sources)}).drop("_x", "_rest")
+    same = lambda x: F.coalesce(tx.clean_whitespace(F.lower(x["value"])) == tx.clean_whitespace(F.lower(F.col(target))), F.lit(False))
+    got = got.withColumn("_rest", F.transform("_x", lambda x: F.struct(same(x).alias("placed"), tx.nullify(x["rest"]).alias("text"))))
+    got = raise_flag(got, f"{target.replace('_', '-')}-conflict", F.exists("_x", lambda x: x["value"].isNotNull() & ~same(x)))
+    rest = lambda k: F.get(F.col("_rest"), F.lit(k))
+    return got.withColumns({c: F.when(rest(k)["placed"], rest(k)["text"]).otherwise(F.col(c)) for k, c in enumerate(sources)}).drop("_x", "_rest")
 
 
 def take(f):
@@ -71,32 +95,36 @@ def split_parents(df: DataFrame) -> DataFrame:
 
 
 def split_brackets(df: DataFrame) -> DataFrame:
-    """'(Org) rest' in Name 1: the organisation stays, the rest goes to the first empty slot of its kind."""
+    """'(Org) rest' in Name 1: the organisation stays, the rest goes to the first empty
+    slot of its kind; where there is none, Name 1 stays as it is."""
     pattern = r"^\s*\(([^()]{3,})\)\s*(\S.*)$"
-    org, rest = ex.found(F.col("name_1"), pattern, 1), ex.found(F.col("name_1"), pattern, 2)
-    df = df.withColumns({"_org": org, "_rest": rest})
-    street = ex.looks_like_street(F.col("_rest"))
-    df = put_first_empty(df, STREETS, F.when(street, F.col("_rest")))
-    df = put_first_empty(df, DEPARTMENTS, F.when(~street, F.col("_rest")))
-    return df.withColumn("name_1", F.coalesce("_org", "name_1")).drop("_org", "_rest")
+    rest = ex.found(F.col("name_1"), pattern, 2)
+    df = df.withColumns({"_rest": rest, "_street": ex.looks_like_street(rest)})
+    room = F.when(F.col("_street"), has_room(STREETS)).otherwise(has_room(DEPARTMENTS))
+    df = df.withColumns({"_rest": F.when(room, F.col("_rest")), "_org": F.when(room, ex.found(F.col("name_1"), pattern, 1))})
+    df = put_first_empty(df, STREETS, F.when(F.col("_street"), F.col("_rest")))
+    df = put_first_empty(df, DEPARTMENTS, F.when(~F.col("_street"), F.col("_rest")))
+    return df.withColumn("name_1", F.coalesce("_org", "name_1")).drop("_org", "_rest", "_street")
 
 
 def split_streets(df: DataFrame, separator: str = r"[|;]") -> DataFrame:
-    """Streets of several segments: addresses stay, organisations and departments
-    go to the first empty names, what else there is to the first empty streets (two of each)."""
-    for c in STREETS:
-        parts = F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
-        several = F.size(parts) > 1
-        kind = lambda x: F.when(ex.looks_like_street(x) | ex.has(x, ex.PO_BOX), 0).when(ex.looks_like_department(x) | tx.looks_like_research(x) | tx.is_unit_construction(x), 1).otherwise(2)
-        df = df.withColumn("_parts", F.when(several, F.transform(parts, lambda x: F.struct(kind(x).alias("k"), x.alias("v")))))
-        of = lambda k: F.transform(F.filter(F.col("_parts"), lambda p: p["k"] == k), lambda p: p["v"])
-        df = df.withColumns({"_own": of(0), "_names": of(1), "_rest": of(2)})
-        df = df.withColumn(c, F.when(F.col("_parts").isNotNull(), F.nullif(F.array_join("_own", ", "), F.lit(""))).otherwise(F.col(c)))
-        for k in range(2):
-            df = put_first_empty(df, NAMES, F.get(F.col("_names"), F.lit(k)))
-            df = put_first_empty(df, STREETS, F.get(F.col("_rest"), F.lit(k)))
-        df = df.drop("_parts", "_own", "_names", "_rest")
-    return df
+    """Streets of several segments: addresses stay, organisations and departments go to
+    the empty names, what else there is to the empty streets. Segments without a slot
+    stay in their street, behind the addresses, and raise the flag 'street-slots-full'."""
+    kind = lambda x: F.when(ex.looks_like_street(x) | ex.has(x, ex.PO_BOX), 0).when(ex.looks_like_department(x) | tx.looks_like_research(x) | tx.is_unit_construction(x), 1).otherwise(2)
+    parts_of = lambda x: F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), separator), lambda y: F.trim(y)), lambda y: y != "")
+    df = df.withColumn("_cells", F.transform(F.array(*[F.col(c) for c in STREETS]), lambda x: tx.let(parts_of(x), lambda p: F.when(F.size(p) > 1, F.transform(p, lambda y: F.struct(kind(y).alias("k"), y.alias("v")))))))
+    for n, c in enumerate(STREETS):
+        parts = F.get("_cells", F.lit(n))
+        of = lambda k: F.transform(F.filter(parts, lambda p: p["k"] == k), lambda p: p["v"])  # noqa: B023, E731
+        df = df.withColumns({"_several": parts.isNotNull(), "_names": of(1), "_rest": of(2), c: F.when(parts.isNotNull(), F.nullif(F.array_join(of(0), ", "), F.lit(""))).otherwise(F.col(c))})
+        df = put_all(df, NAMES, F.col("_names"), "_names_left")
+        df = put_all(df, STREETS, F.col("_rest"), "_rest_left")
+        left = F.concat("_names_left", "_rest_left")
+        df = raise_flag(df, "street-slots-full", F.col("_several") & (F.size(left) > 0))
+        df = df.withColumn(c, F.when(F.col("_several"), F.nullif(F.array_join(F.filter(F.concat(F.array(F.col(c)), left), lambda x: x.isNotNull()), "; "), F.lit(""))).otherwise(F.col(c)))
+        df = df.drop("_several", "_names", "_rest", "_names_left", "_rest_left")
+    return df.drop("_cells")
 
 
 def split_embedded_department(df: DataFrame) -> DataFrame:
@@ -123,10 +151,10 @@ def preprocess(df: DataFrame) -> DataFrame:
     df = split_streets(df)
     for c in STREETS:  # departments and organisations that stand in streets go to names
         dept = ex.looks_like_department(F.col(c)) & ~ex.looks_like_street(F.col(c))
-        org = ex.organisation_in_street(F.col(c))
-        df = put_first_empty(df, NAMES, F.when(dept | org, F.col(c))).withColumn(c, F.when(dept | org, F.lit(None)).otherwise(F.col(c)))
-    desk = ex.split_accounts_payable(F.col("name_1"))
-    df = put_first_empty(df, DEPARTMENTS, F.when(desk.isNotNull(), "Accounts Payable")).withColumn("name_1", F.coalesce(desk, "name_1"))
+        df = df.withColumn("_moves", has_room(NAMES) & (dept | ex.organisation_in_street(F.col(c))))  # without room it stays in the street
+        df = put_first_empty(df, NAMES, F.when(F.col("_moves"), F.col(c))).withColumn(c, F.when(~F.col("_moves"), F.col(c)))
+    df = df.drop("_moves").withColumn("_desk", F.when(has_room(DEPARTMENTS), ex.split_accounts_payable(F.col("name_1"))))
+    df = put_first_empty(df, DEPARTMENTS, F.when(F.col("_desk").isNotNull(), "Accounts Payable")).withColumn("name_1", F.coalesce("_desk", "name_1")).drop("_desk")
     df = df.withColumns({c: F.when(ex.is_accounts_payable(F.col(c)), "Accounts Payable").otherwise(F.col(c)) for c in DEPARTMENTS})
     df = route_first(df, NAMES + STREETS, take(ex.email), "email")
     # an address in a name goes to the first empty street, unless a street says the same
@@ -134,8 +162,10 @@ def preprocess(df: DataFrame) -> DataFrame:
     df = df.withColumn("_known", F.transform(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in STREETS]), lambda x: ex.street_key(x)))
     df = df.withColumn("_new", F.transform("_pieces", lambda x: F.when(~F.array_contains(F.col("_known"), ex.street_key(x)), x)))
     for k, c in enumerate(NAMES):
-        piece = F.get(F.col("_pieces"), F.lit(k))
-        df = put_first_empty(df, STREETS, F.get(F.col("_new"), F.lit(k))).withColumn(c, tx.nullify(ex.cut_first(F.col(c), piece)))
+        piece, new = F.get(F.col("_pieces"), F.lit(k)), F.get(F.col("_new"), F.lit(k))
+        df = df.withColumn("_out", (piece.isNotNull() & new.isNull()) | (new.isNotNull() & has_room(STREETS)))  # without room it stays in the name
+        df = put_first_empty(df, STREETS, F.when(F.col("_out"), new)).withColumn(c, F.when(F.col("_out"), tx.nullify(ex.cut_first(F.col(c), piece))).otherwise(F.col(c)))
+    df = df.drop("_out")
     df = df.drop("_pieces", "_known", "_new")
     df = split_brackets(df)
     df = _all(df, NAMES, lambda c: tx.collapse_legal_suffix(ex.normalise_dba(tx.strip_parentheticals(c))))
@@ -171,8 +201,11 @@ def process_address(df: DataFrame) -> DataFrame:
     df = route_first(df, STREETS[1:], ex.mail_code, "mail_code")
     df = df.withColumns({f"_s_{c}": ex.sublocations(F.col(c)) for c in STREETS})
     df = df.withColumns({k: F.coalesce(tx.nullify(F.col(k)), *[F.col(f"_s_{c}.{k}") for c in STREETS]) for k in ex.KINDS})
-    df = df.withColumns({c: F.when(F.col(c).isNotNull(), tx.nullify(F.col(f"_s_{c}.rest"))) for c in STREETS}).drop(*[f"_s_{c}" for c in STREETS])
-    df = df.withColumn("_q", ex.location_qualifier(F.col("street_1"))).withColumn("street_1", F.coalesce("_q.street", "street_1"))
+    # a street loses its pieces only where each of them is what the record now has
+    kept = lambda c: reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_s_{c}.{k}") == F.col(k), F.col(f"_s_{c}.{k}").isNull()) for k in ex.KINDS])
+    df = raise_flag(df, "sub-location-conflict", reduce(lambda a, b: a | b, [~kept(c) for c in STREETS]))
+    df = df.withColumns({c: F.when(F.col(c).isNotNull() & kept(c), tx.nullify(F.col(f"_s_{c}.rest"))).otherwise(F.col(c)) for c in STREETS}).drop(*[f"_s_{c}" for c in STREETS])
+    df = df.withColumn("_q", F.when(has_room(STREETS[1:]), ex.location_qualifier(F.col("street_1")))).withColumn("street_1", F.coalesce("_q.street", "street_1"))
     df = put_first_empty(df, STREETS[1:], F.col("_q.qualifier")).drop("_q")
     df = _all(df, STREETS, ex.normalise_street)
     lines = F.array_distinct(F.filter(F.array(*[F.col(c) for c in STREETS]), lambda x: x.isNotNull()))
@@ -216,7 +249,7 @@ def summarise(results: DataFrame) -> DataFrame:
 
 
 def search_terms(df: DataFrame) -> DataFrame:
-    """search_term_1 (acronym, domain label, first words of Name 1) and search_term_2 (unit words of Name 2), upper case, 20 wide."""
+    """search_term_1 (acronym, domain label, first words of Name 1) and search_term_2 (unit words of Name 2), upper case, 32 wide."""
     t1 = F.coalesce(tx.derive_acronym(F.col("name_1")), F.regexp_extract(F.col("domain"), r"^([^.]+)", 1) if "domain" in df.columns else F.lit(None), tx.first_significant_words(tx.strip_legal_suffix(F.col("name_1"))))
     unit = F.regexp_replace(tx.canonicalise_unit(F.col("name_2")), r"(?i)^(?:Department|Division|School|Faculty|College|Institute|Center|Centre|Laboratory)\s+(?:of|for)\s+", "")
-    return df.withColumns({"search_term_1": tx.fill_to_width(F.upper(t1), 20), "search_term_2": tx.fill_to_width(F.upper(tx.first_significant_words(unit)), 20)})
+    return df.withColumns({"search_term_1": tx.fill_to_width(F.upper(t1)), "search_term_2": tx.fill_to_width(F.upper(tx.first_significant_words(unit)))})

@@ -16,6 +16,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.operators.dedup import cluster_hashes
+
 #: Default points by criterion and band.
 WEIGHTS = {
     "sales_order_last_used": {"2026": 20, "2025": 15, "2024": 10, "2023": 5},
@@ -208,10 +210,11 @@ def elect_golden(rows: DataFrame, weights: dict = WEIGHTS, threshold: float = CO
     status = F.when(several, F.when(review, "manual_review").otherwise("proposed")).otherwise(F.when(routed, "manual_review").otherwise("unique"))
     out = s.withColumn("election_status", status)
     settled = F.col("election_status") == "unique"
-    present = F.concat(F.lit("c_"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("row_id").over(w)), ";"), 256), 1, 12))
-    partial = F.coalesce(F.col("cluster_id").startswith("c_") & (present != F.col("cluster_id")), F.lit(False))
+    hashes = cluster_hashes(out.filter(F.col("cluster_id").startswith("c_")).select(F.col("cluster_id").alias("cluster"), "row_id"))
+    out = out.join(hashes.select(F.col("cluster").alias("_cluster"), F.col("hash").alias("_present")), F.col("cluster_id") == F.col("_cluster"), "left")
+    partial = F.coalesce(F.col("_present") != F.col("cluster_id"), F.lit(False))
     out = out.withColumn("warnings", F.when(partial, F.concat("warnings", F.array(F.concat(F.lit("partial_cluster: submitted rows are a subset of "), "cluster_id")))).otherwise(F.col("warnings")))
-    return out.withColumns({
+    return out.drop("_cluster", "_present").withColumns({
         "is_golden_record": F.when(several, F.col("row_id") == F.col("_winner")).otherwise(F.lit(True)),
         "golden_record_id": F.when(several, F.col("_winner")).otherwise(F.col("row_id")),
         "proposed_golden_id": F.when(~settled, F.when(several, F.col("_winner")).otherwise(F.col("row_id"))),

@@ -56,7 +56,7 @@ def store_keys(spark, sf_dir):
 def folded_names(spark, sf_dir):
     """Words of texts folded and compared as sets with the next document's."""
     d = _read(spark, sf_dir, "documents", "doc_id", "text")
-    words = lambda c: F.filter(F.split(tx.fold_key(F.substring(c, 1, 200)), " "), lambda w: w.rlike("^[a-z]+$"))
+    words = lambda c: F.filter(F.split(tx.fold_key(F.col(c)), " "), lambda w: w.rlike("^[a-z]+$"))
     n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
     return d.join(n, "doc_id").select("doc_id", F.round(tx.jaccard(words("text"), words("other")), 6).alias("jaccard"))
 

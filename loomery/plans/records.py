@@ -153,8 +153,8 @@ def name_forms(spark, sf_dir):
 
 def wrapped_names(spark, sf_dir):
     d = _read(spark, sf_dir, "documents", "doc_id", "text")
-    r = tx.repack_names([F.substring("text", 1, 120), F.lit(None).cast("string"), F.substring("text", 121, 60), F.lit("x"), F.lit(None).cast("string")])
-    return d.select("doc_id", r.alias("r"), sim.smart_title_case(F.upper(F.substring("text", 1, 60))).alias("titled")).select("doc_id", F.array_join("r.names", "|").alias("names"), F.size("r.overflow").alias("overflow"), "titled")
+    r = tx.repack_names([F.col("text"), F.lit(None).cast("string"), F.lit("x"), F.lit(None).cast("string"), F.lit(None).cast("string")])
+    return d.select("doc_id", r.alias("r"), sim.smart_title_case(F.upper("text")).alias("titled")).select("doc_id", F.array_join("r.names", "|").alias("names"), F.size("r.overflow").alias("overflow"), "titled")
 
 
 def provenance_writes(spark, sf_dir):
@@ -267,7 +267,7 @@ SELECT c_custkey, CASE WHEN pm THEN 'consistent' WHEN sk = 'de' OR sr = 'califor
 SELECT doc_id, email, regexp_extract(lower(regexp_extract(email, '@(.*)$', 1)), '([^.]+\.[^.]+)$', 1) email_domain, nullif(regexp_extract(text, '(?:\+\d{1,3}[\s.\-]?)?(?:\(\d{2,4}\)|\b\d{3})[\s.\-]\d{3}[\s.\-]\d{4}\b'), '') phone, len(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}'))::INT n_emails FROM d""",
     "name_forms": r"""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') a, upper(p_type[1]) || lower(substr(p_type, 2)) t FROM part), c AS (SELECT p_partkey, list_transform(a, lambda x: upper(x[1]) || lower(substr(x, 2))) a, t FROM w),
 n AS (SELECT p_partkey, a, t, array_to_string(a, ' ') || ' of ' || t n FROM c)
-SELECT p_partkey, array_to_string(list_transform(list_append(a, t), lambda x: x[1]), '') initials, array_to_string(list_transform(list_append(a, t), lambda x: x[1]), '') acronym, a[1] || ' ' || list_append(a, t)[2] handle, CASE WHEN length(n) > 10 THEN substr(n, 1, 10) || '...' ELSE n END short, 'Department of ' || t unit, n plain FROM n""",
+SELECT p_partkey, array_to_string(list_transform(list_append(a, t), lambda x: x[1]), '') initials, array_to_string(list_transform(list_append(a, t), lambda x: x[1]), '') acronym, a[1] || ' ' || list_append(a, t)[2] handle, CASE WHEN length(n) > 10 THEN substr(n, 1, 9) || '…' ELSE n END short, 'Department of ' || t unit, n plain FROM n""",
     "provenance_writes": "SELECT user_id, event_type, max(event_id) event_id, arg_max(value, event_id) value, min(event_id) first_id FROM events GROUP BY 1, 2",
     "rejections": "SELECT user_id, event_type, event_id, place::INT place, greatest(n - 3, 0) omitted FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) place, count(*) OVER (PARTITION BY user_id, event_type) n FROM events WHERE event_type IN ('error', 'view')) WHERE place <= 3",
     "confidence_flags": """WITH e AS (SELECT event_id k, CASE WHEN event_id % 5 = 0 THEN 'wikidata' WHEN event_id % 7 = 0 THEN 'llm' END w FROM events),

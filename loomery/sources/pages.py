@@ -8,7 +8,6 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-MOST_CHARS = 20_000
 _SILENT = {"script", "style", "noscript", "template"}
 _VOID = {"br", "hr", "img", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 
@@ -42,17 +41,21 @@ class _Slices(HTMLParser):
             self.parts["body"].append(text)
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
-            p = _Slices()
-            p.feed(html or "")
-            x = p.parts
-            rows.append((page_id, " ".join(x["title"]), " ".join(x["h1"]), " › ".join(x["breadcrumb"]), " ".join(x["footer"]), " ".join(x["body"])[:MOST_CHARS]))
-        yield pd.DataFrame(rows, columns=["page_id", "title", "h1", "breadcrumb", "footer", "body"])
+def _parse(most_chars: int | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
+                p = _Slices()
+                p.feed(html or "")
+                x = p.parts
+                rows.append((page_id, " ".join(x["title"]), " ".join(x["h1"]), " › ".join(x["breadcrumb"]), " ".join(x["footer"]), " ".join(x["body"])[:most_chars]))
+            yield pd.DataFrame(rows, columns=["page_id", "title", "h1", "breadcrumb", "footer", "body"])
 
+    return run
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """page_id, title, h1, breadcrumb, footer, body of (page_id, html) rows."""
-    return pages.select("page_id", "html").mapInPandas(_parse, "page_id long, title string, h1 string, breadcrumb string, footer string, body string")
+
+def parse_pages(pages: DataFrame, most_chars: int | None = None) -> DataFrame:
+    """page_id, title, h1, breadcrumb, footer, body of (page_id, html) rows; the body
+    is whole unless ``most_chars`` limits it (as for a prompt)."""
+    return pages.select("page_id", "html").mapInPandas(_parse(most_chars), "page_id long, title string, h1 string, breadcrumb string, footer string, body string")

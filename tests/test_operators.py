@@ -1,11 +1,17 @@
+import hashlib
+import random
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomery.functions import extract as ex
+from loomery.functions import similarity
 from loomery.functions import text as tx
 from loomery.operators import dedup, enrich, evaluation, graph, issues, matching, merge, provenance, scoring
 from loomery.plans import golden, records
+from loomery.plans import records as records_plan
 from loomery.sources import evidence
 from loomery.sources import records as sources
 from loomery.streaming import audit
@@ -225,3 +231,120 @@ def test_people_pages(spark):
 def test_parts_keep_their_digits(spark):
     r = spark.range(1).select(scoring.parts_of(F.lit("0012; 1010 ;;20")).alias("p"), tx.department_text([F.lit("0 Lab 0"), F.lit(" "), F.lit("1 b")]).alias("d")).first()
     assert r.p == ["0012", "1010", "20"] and r.d == "0 Lab 0 / 1 b"
+
+
+def slots(**given):
+    return {c: given.get(c) for c in [*enrich.NAMES, *enrich.STREETS]}
+
+
+def words_of(row):
+    return {w for v in row.values() if isinstance(v, str) for w in re.findall(r"[^\W_]+", v.lower())}
+
+
+def processed(spark, rows, *steps):
+    df = spark.createDataFrame([{"record_id": k, **r} for k, r in enumerate(rows)], "record_id long, " + ", ".join(f"{c} string" for c in [*enrich.NAMES, *enrich.STREETS]))
+    for step in steps:
+        df = step(df)
+    return [r.asDict() for r in df.orderBy("record_id").collect()]
+
+
+def test_full_slots_lose_nothing(spark):
+    """Pieces that find no slot stay where they were, and a flag tells of it."""
+    full = dict(name_1="Acme", name_2="Alpha Team", name_3="Beta Team", name_4="Gamma Team", name_5="Delta Team")
+    rows = [
+        slots(name_1="Acme", street_1="12 Main St | Gate A | Gate B | Gate C | Gate D"), slots(name_1="Acme", name_2="a@x.com", name_3="b@y.com"), slots(**full, street_1="Department of Physics"),
+        slots(**{**full, "name_1": "(Acme Labs) Beta Unit"}), slots(name_1="Acme", street_1="1 Elm St | Gate A | Gate B | Gate C | Gate D | Gate E", street_2="Dock 9"),
+    ]
+    got = processed(spark, rows, enrich.preprocess)
+    for before, after in zip(rows, got, strict=True):
+        assert words_of(before) <= words_of(after)
+    assert got[1]["email"] == "a@x.com" and "b@y.com" in [got[1][c] for c in enrich.NAMES] and "email-conflict" in got[1]["preprocess_flags"]
+    assert got[2]["street_1"] == "Department of Physics" and got[4]["preprocess_flags"] == ["street-slots-full"] and got[0]["preprocess_flags"] == []
+
+
+def test_second_pieces_of_streets_stay(spark):
+    rows = [slots(street_1="PO Box 17", street_2="PO Box 18"), slots(street_1="1 Elm St Suite 4", street_2="2 Oak Ave Suite 5"), slots(street_1="1 Elm St Suite 4", street_2="Suite 4")]
+    got = processed(spark, rows, enrich.process_address)
+    assert got[0]["po_box"] == "PO Box 17" and got[0]["street_1"] == "PO Box 18" and "po-box-conflict" in got[0]["preprocess_flags"]
+    assert got[1]["suite"] == "4" and "Suite 5" in got[1]["street_2"] and "sub-location-conflict" in got[1]["preprocess_flags"]
+    assert got[2]["suite"] == "4" and got[2]["street_2"] is None and got[2]["preprocess_flags"] == []
+
+
+def test_every_word_of_the_records_is_kept(spark):
+    """Over the dirty records of the table: what goes in comes out in some field, but
+    for repeats, codes, junk and spellings that the stages are there to take away."""
+    df = records_plan.dirty_records(spark, "/root/testdata/sf0.001")
+    before = {r["record_id"]: r.asDict() for r in df.collect()}
+    out = enrich.process_address(enrich.preprocess(df))
+    spelled = {"gesellschaft", "d", "b", "a", "avenue", "street", "drive", "suite", "room", "floor", "box", "po", "c", "o", "loading", "dock", "blvd", "12345678"}
+    for r in out.collect():
+        row = {k: v for k, v in r.asDict().items() if not k.endswith("_original")}
+        lost = words_of({k: v for k, v in before[r["record_id"]].items() if k in enrich.NAMES + enrich.STREETS}) - words_of(row) - spelled
+        assert not lost or all(w in words_of({c: r[f"{c}_original"] for c in enrich.NAMES}) for w in lost), (lost, row)
+
+
+def test_hot_block_of_candidates(spark):
+    """One block of 1,500 entities: the pairs are those of a plain comparison, without
+    sending most of them through the kernel."""
+    n = 1500
+    units = spark.range(n).selectExpr("'b' block_id", "cast(id as int) idx", "concat(sha1(cast(id div 3 as string)), ' works') name", "case when id % 500 = 0 then 'r' end ror_id", "cast(null as string) lei_id", "false has_name2", "false adjudicated")
+    got = {(r.a, r.b, r.rule) for r in dedup.candidate_pairs(units).collect()}
+    want = {(a, b, "name") for g in range(0, n, 3) for a in range(g, g + 3) for b in range(a + 1, g + 3)} | {(0, 500, "id"), (0, 1000, "id"), (500, 1000, "id")}
+    assert want <= got and all(r == "token" or r == "name" for a, b, r in got - want)
+
+
+def test_bound_is_never_below_the_similarity(spark):
+    rng = random.Random(4)
+    pairs = [("".join(rng.choice("abcde ") for _ in range(rng.randint(1, 12))), "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 12)))) for _ in range(500)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    r = df.select(similarity.jaro_winkler("a", "b").alias("jw"), dedup.jaro_winkler_bound(F.col("a"), F.col("b"), F.size(F.array_intersect(dedup.letter_bag(F.col("a")), dedup.letter_bag(F.col("b"))))).alias("most"))
+    assert r.filter("jw > most").count() == 0
+
+
+def test_cluster_hash_by_streaming(spark):
+    rows = [(c, f"{k * 7919 % 1000}") for c, n in (("x", 1000), ("y", 1), ("z", 3)) for k in range(n)]
+    got = {r["cluster"]: (r["hash"], r["n"]) for r in dedup.cluster_hashes(spark.createDataFrame([*rows, (None, "1")], "cluster string, row_id string")).collect()}
+    want = {c: ("c_" + hashlib.sha256(";".join(sorted(i for d, i in rows if d == c)).encode()).hexdigest()[:12], sum(d == c for d, _ in rows)) for c in "xyz"}
+    assert got == want
+
+
+def test_review_rules_of_clusters(spark):
+    """The cap counts candidates, left-out signatures are uncertain, and only a merged entity disowns."""
+    rows = spark.createDataFrame([(k, str(k), "b" if k < 4 else "d", n, None, None) for k, n in enumerate(["A", "B", "C", "D", "E", "F"])], "_seq long, row_id string, block_id string, name1 string, ror_id string, lei_id string")
+    route = lambda **k: {r.row_id: (r.routing, r.reasoning) for r in dedup.cluster_rows(rows, **k).collect()}
+    parts = spark.createDataFrame([("b", "s1", "e1", False, "one firm"), ("b", "s2", "e1", False, "one firm"), ("b", "s3", "e2", False, "should not be merged with A")], "block_id string, signature_id string, entity_id string, uncertain boolean, reasoning string")
+    got = route(partitions=parts)
+    assert [got[k][0] for k in "012345"] == ["cluster", "cluster", "unique", "manual_review", "unique", "unique"]
+    bad = spark.createDataFrame([("b", "s1", "e1", False, "these should be split"), ("b", "s2", "e1", False, None)], parts.schema)
+    assert {got[0] for k, got in route(partitions=bad).items() if k in "0123"} == {"manual_review"}
+    nominated = spark.createDataFrame([("d", "s1", "s2")] * 3, "block_id string, a string, b string")
+    none = spark.createDataFrame([("d", "s1", "s2", "match")], "block_id string, a string, b string, decision string")
+    got = route(verdicts=none, candidates=nominated, cap=2)
+    assert got["4"][0] == got["5"][0] == "manual_review" and got["4"][1].startswith("candidate_cap_exceeded: 3 candidate pairs exceed the per-block cap of 2")
+    assert route(verdicts=none, candidates=nominated, cap=3)["4"][0] == "cluster"
+
+
+def test_json_object_of_a_reply(spark):
+    texts = ['{"a": 1}', 'Sure: {"a": 2} there', '```json\n{"a": 3}\n```', '{"a": 4} {"a": 5}', "[1]", "none", None, '{"a": ']
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r.a for r in df.orderBy("k").select(dedup.parse_json_object(F.col("t"), "a int")["a"].alias("a")).collect()]
+    assert got == [1, 2, 3, None, None, None, None, None]
+
+
+def test_text_limits_and_signals(spark):
+    r = spark.range(1).select(tx.truncate_text(F.lit("abcdefghij"), 6).alias("t"), tx.truncate_text(F.lit("abc"), 6).alias("u"), tx.people_signals(F.lit("http://x.edu/people/bio"), F.lit("Professor, PhD; people")).alias("n"), ex.sublocations(F.lit("12 Elm St Suite")).alias("s"), ex.sublocations(F.lit("Research Bldg")).alias("b")).first()
+    assert (r.t, r.u, r.n) == ("abcde…", "abc", 4)
+    assert r.s.rest == "12 Elm St" and r.s.bare and r.b.rest == "Research Bldg" and r.b.bare
+
+
+def test_whole_texts_wrap(spark):
+    text = " ".join(f"word{k}" for k in range(20_000))
+    r = spark.createDataFrame([(text,)], "t string").select(tx.repack_names([F.col("t"), F.lit(None).cast("string")]).alias("r")).first().r
+    lines, line = [], ""
+    for w in text.split():
+        if line and len(line) + 1 + len(w) > 32:
+            lines.append(line)
+            line = w
+        else:
+            line = f"{line} {w}".strip()
+    assert [*r.names, *r.overflow] == [*lines, line]
