@@ -121,7 +121,7 @@ class Found:
         row = row[(row > 0) & (row < b - a)]
         row = row[inside[row - 1] & inside[row]]
         if len(row):  # a text ends and the next begins without a blank
-            starts, ends = np.union1d(starts, row), np.union1d(ends, row)
+            starts, ends = np.sort(np.concatenate((starts, row))), np.sort(np.concatenate((ends, row)))
         self.starts, self.ends = starts + a, ends + a
         self.rows = np.searchsorted(self.offsets, self.starts, "right") - 1
         self.n = np.bincount(self.rows, minlength=len(texts))
@@ -152,16 +152,12 @@ class Found:
         own = self.heads()
         return np.flatnonzero(heads[np.minimum(np.searchsorted(heads, own), len(heads) - 1)] == own)
 
-    def clauses(self, words: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
-        """(row, first word, last word + 1, bytes) of the clauses that the words are in."""
+    def clauses(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and end of the clause that each of the words is in."""
         ends = np.flatnonzero(_CLAUSE_END[self.data[self.base : int(self.offsets[-1])]]) + self.base
-        at = self.starts[words]
-        after = np.searchsorted(ends, at)
+        after = np.searchsorted(ends, self.starts[words])
         padded = np.concatenate(([-1], ends, [int(self.offsets[-1])]))
-        low, high = np.maximum(padded[after] + 1, self.offsets[self.rows[words]]), np.minimum(padded[after + 1], self.offsets[self.rows[words] + 1])
-        for a, b in dict.fromkeys(zip(low.tolist(), high.tolist(), strict=True)):
-            first, last = np.searchsorted(self.starts, (a, b)).tolist()
-            yield int(self.rows[first]), first, last, self.data[a:b].tobytes().strip()
+        return np.maximum(padded[after] + 1, self.offsets[self.rows[words]]), np.minimum(padded[after + 1], self.offsets[self.rows[words] + 1])
 
 
 def head_number(label: str) -> int:
@@ -181,7 +177,8 @@ class Grammar:
         self.arcs, self.bias, self.reliability = arcs, math.log(prior / (1 - prior)), reliability or {}
         self.slope, self.shift = 1.0, self.bias
         self.kept: dict[str, float] = {}
-        self.heads = np.unique(np.array([*map(head_number, [a.rstrip("*") for a in arcs]), *map(head_number, HARMS)], np.uint32))
+        self.alone: dict[tuple[str, ...], int] = {}
+        self.heads = np.unique(np.array([*map(head_number, [a.rstrip("*") for a in arcs]), *(head_number(w) for cues in CUES.values() for w in cues)], np.uint32))
 
     def ratio(self, word: str) -> float:
         """Of the word's strongest insult arc."""
@@ -194,32 +191,67 @@ class Grammar:
     def read(self, word: str, words: int) -> list[tuple[str, float]]:
         """What the lexicon may write for a word of a text with so many words; an
         insult can be passed over."""
-        out = [(symbol, 0.0) for symbol, cues in CUES.items() if word in cues]
-        if ratio := self.ratio(word):
-            out += [("insult", math.log1p(ratio / words)), ("", 0.0)]
-        return out
+        ratio = self.ratio(word)
+        return self._cue(word) + ([("insult", math.log1p(ratio / words)), ("", 0.0)] if ratio else [])
 
     def match(self, clause: list[str], words: int) -> tuple[int, float] | None:
         """(class, weight) of the heaviest path over a clause's words that takes something."""
-        ends = MACHINE.best(choice for w in clause if (choice := self.read(w, words)))
-        taken = [(-weight, kind) for state, weight in ends.items() if (kind := class_of(state)) is not None]
-        return (min(taken)[1], -min(taken)[0]) if taken else None
+        return self._heaviest([choice for w in clause if (choice := self.read(w, words))])
 
     def matches_of(self, texts: pa.Array) -> list[list[tuple[int, float]]]:
-        """Matched clauses of each text; a repeated clause counts once."""
+        """Matched clauses of each text; a repeated clause counts once. Of the insults
+        between two cues only the strongest can be on the heaviest path, so the machine
+        reads that one alone."""
         found = Found(texts)
+        out: list[list[tuple[int, float]]] = [[] for _ in range(len(texts))]
         likely = found.begun_by(self.heads)
         first, which = found.kinds(likely)
-        likely = likely[np.array([(w := found.word(k)) in HARMS or self.ratio(w) > 0 for k in first.tolist()], bool)[which]]
-        out: list[list[tuple[int, float]]] = [[] for _ in range(len(texts))]
-        seen: set[tuple[int, bytes]] = set()
-        for row, first, last, clause in found.clauses(likely):
-            if (row, clause) not in seen:
-                seen.add((row, clause))
-                if m := self.match([found.word(k) for k in range(first, last)], int(found.n[row])):
+        words = [found.word(k) for k in first.tolist()]
+        ratio = np.array([self.ratio(w) for w in words])[which] if words else np.zeros(0)
+        cue = np.array([any(w in cues for cues in CUES.values()) for w in words], bool)[which]
+        kept = np.flatnonzero((ratio > 0) | cue)
+        likely, which, ratio, cue = likely[kept], which[kept], ratio[kept], cue[kept]
+        if not len(likely):
+            return out
+        low, high = found.clauses(likely)
+        begins = np.concatenate(([True], low[1:] != low[:-1]))
+        parts = np.flatnonzero(begins | cue | np.concatenate(([True], cue[:-1])))
+        strongest = np.maximum.reduceat(ratio, parts)
+        clause = np.flatnonzero(begins[parts])
+        cues = [words[k] if c else "" for k, c in zip(which[parts].tolist(), cue[parts].tolist(), strict=True)]
+        best, seen = strongest.tolist(), set()
+        at = parts[clause]
+        for a, b, row, x, y in zip(clause.tolist(), [*clause[1:].tolist(), len(parts)], found.rows[likely[at]].tolist(), low[at].tolist(), high[at].tolist(), strict=True):
+            text = (row, found.data[x:y].tobytes().strip())
+            if text not in seen:
+                seen.add(text)
+                if m := self._path(cues[a:b], best[a:b], int(found.n[row])):
                     out[row].append(m)
         return out
 
+    def _path(self, cues: list[str], ratios: list[float], words: int) -> tuple[int, float] | None:
+        """``match`` for parts of a clause: a cue word, or (an empty text) the strongest of some insults."""
+        insults = [r for r in ratios if r]
+        if len(insults) == 1 and not HARMS.intersection(cues):  # the class doesn't depend on the weight
+            key = tuple(f"{c}+insult" if r else c for c, r in zip(cues, ratios, strict=True))
+            if key not in self.alone:
+                if len(self.alone) >= KEPT_WORDS:
+                    self.alone.clear()
+                self.alone[key] = self._heaviest([[*self._cue(c), *([("insult", 1.0), ("", 0.0)] if r else [])] for c, r in zip(cues, ratios, strict=True)])[0]
+            return self.alone[key], math.log1p(insults[0] / words)
+        if not insults and not HARMS.intersection(cues):
+            return None
+        return self._heaviest([[*self._cue(c), *([("insult", math.log1p(r / words)), ("", 0.0)] if r else [])] for c, r in zip(cues, ratios, strict=True)])
+
+    @staticmethod
+    def _cue(word: str) -> list[tuple[str, float]]:
+        return [(symbol, 0.0) for symbol, cues in CUES.items() if word in cues]
+
+    @staticmethod
+    def _heaviest(choices: list[list[tuple[str, float]]]) -> tuple[int, float] | None:
+        taken = [(-weight, kind) for state, weight in MACHINE.best(choices).items() if (kind := class_of(state)) is not None]
+        return (min(taken)[1], -min(taken)[0]) if taken else None
+
     def matches(self, text: str) -> list[tuple[int, float]]:
         return self.matches_of(pa.array([text]))[0]
 
