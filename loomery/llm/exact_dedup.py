@@ -91,16 +91,6 @@ def _fingerprints(print_of: Print):
     return run
 
 
-def _keyed(print_of: Print):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            keys = [print_of(x) for x in _flat(batch.column("text"))]
-            n, f, g = zip(*keys, strict=True) if keys else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), batch.column("text")], ["n_bytes", "print_a", "print_b", "text"])
-
-    return run
-
-
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         rows: list[tuple] = []
@@ -125,13 +115,14 @@ def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
 KEY = ["n_bytes", "print_a", "print_b"]
 
 
-def collisions(docs: DataFrame, groups: DataFrame, print_of: Print = _print_columns) -> DataFrame:
-    """Keys of the groups of equal fingerprints whose texts aren't all equal."""
-    shared = groups.filter("n_rows > 1").select(*KEY)
-    if shared.count() <= BROADCAST_GROUPS:
-        shared = F.broadcast(shared)
-    keyed = docs.select(text_of().alias("text")).mapInArrow(_keyed(print_of), "n_bytes long, print_a long, print_b long, text string")
-    chunks = keyed.join(shared, KEY, "left_semi").select(*KEY, "text").mapInArrow(_chunks, "n_bytes long, print_a long, print_b long, chunk_no long, chunk binary")
+def collisions(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Keys of the groups of equal fingerprints whose texts aren't all equal, by comparing
+    chunks. ``prints``: the staged fingerprints; rows of ``docs`` find theirs by SHA-256."""
+    shared = prints.groupBy(*KEY).agg(F.count("*").alias("n_rows")).filter("n_rows > 1").select(*KEY)
+    known = stage(prints.join(shared, KEY, "left_semi").select(F.col("text_sha256").alias("_sha"), *KEY).distinct(), "shared")
+    known = checked_broadcast(known, BROADCAST_GROUPS)
+    texts = docs.select(text_of().alias("text")).withColumn("_sha", F.sha2(F.translate("text", BLANKS, ""), 256))
+    chunks = texts.join(known, "_sha").select(*KEY, "text").mapInArrow(_chunks, "n_bytes long, print_a long, print_b long, chunk_no long, chunk binary")
     ends = chunks.groupBy(*KEY, "chunk_no").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
     return ends.filter("least <> most").select(*KEY).distinct()
 
@@ -150,8 +141,7 @@ def exact_dedup(docs: DataFrame, print_of: Print = _print_columns) -> DataFrame:
     stays, then the one with the smallest doc_id. Needs columns doc_id and text.
     """
     prints = stage(fingerprints(docs, print_of), "prints")
-    groups = prints.groupBy(*KEY).agg(F.count("*").alias("n_rows"))
-    bad = checked_broadcast(stage(collisions(docs, groups, print_of).withColumn("collides", F.lit(True)), "collisions"))
+    bad = checked_broadcast(stage(collisions(docs, prints).withColumn("collides", F.lit(True)), "collisions"))
     split = prints.join(bad, KEY, "left").withColumn("split", F.when(F.col("collides"), F.col("text_sha256")).otherwise(""))
     best = F.struct((-F.col("n_points")).alias("less"), "doc_id", "row")
     kept = split.groupBy(*KEY, "split").agg(F.count("*").alias("group_size"), F.min(best).alias("best"))
