@@ -46,6 +46,31 @@ def confidence(contradicted: Column, ambiguous: Column, registry: Column, crossw
     )
 
 
+# Lowest value of each band, by scale.
+BANDS = {"ror_local": [(0.999, "exact"), (0.9, "high"), (0.75, "medium")], "fuzzy_ratio": [(99.5, "exact"), (90, "high"), (75, "medium")], "llm_self_reported": [(0.85, "self_high"), (0.6, "self_medium")]}
+LOWEST = {"ror_local": ("low", "unscored"), "fuzzy_ratio": ("low", "unscored"), "llm_self_reported": ("self_low", "self_unstated")}
+SCALE_BANDS = {"registry_exact": "exact", "deterministic": "rule", "inherited": "inherited", "input_corroborated": "verified", "input_self_consistent": "confirmed"}
+
+
+def confidence_band(scale: Column, value: Column) -> Column:
+    """The band of a value on its own scale; some scales have one band, an unknown one has none."""
+    out = F.lit("none")
+    for name, steps in BANDS.items():
+        low, missing = LOWEST[name]
+        on_scale = F.when(value.isNull(), missing)
+        for least, band in steps:
+            on_scale = on_scale.when(value >= least, band)
+        out = F.when(scale == name, on_scale.otherwise(low)).otherwise(out)
+    for name, band in SCALE_BANDS.items():
+        out = F.when(scale == name, band).otherwise(out)
+    return out
+
+
+def status_after(state: Column, current: Column) -> Column:
+    """The enrichment status that a settled unchanged state implies; ``enriched`` is never taken back."""
+    return F.when(state == "unresolved", F.coalesce(F.when(current != "", current), F.lit("unresolved"))).when(current == "enriched", current).otherwise("verified")
+
+
 def scalar(source: Column, c: Column) -> Column:
     """``source:confidence[+witness]``"""
     return F.concat(source, F.lit(":"), c["confidence"], F.coalesce(F.concat(F.lit("+"), c["witness"]), F.lit("")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomery.functions import text as tx
-from loomery.operators import verdicts, verification
+from loomery.operators import provenance, registry_names, verdicts, verification
 from loomery.plans.records import dirty_records
 from loomery.sources import evidence
 
@@ -61,7 +61,50 @@ def folded_names(spark, sf_dir):
     return d.join(n, "doc_id").select("doc_id", F.round(tx.jaccard(words("text"), words("other")), 6).alias("jaccard"))
 
 
-QUERIES = {f.__name__: f for f in (source_gate, name_agreement, overflow_merge, grammar_census, page_outcomes, store_keys, folded_names)}
+def registry_entries(spark, sf_dir):
+    """Parts as records, four registry entries each: one with more words, one with a word that isn't theirs, one known by an alias, one by an acronym alone."""
+    name = F.concat(F.initcap("p_name"), F.lit(" Polymer Institute of Technology"))
+    named = lambda value, kind: F.struct(value.alias("value"), F.array(F.lit(kind)).alias("types"))
+    entry = lambda k, status, *names: F.struct(F.lit(k).alias("entry"), F.lit(status).alias("status"), F.array(*names).alias("names"))
+    more, other = F.concat(name, F.lit(" Foundation")), F.concat(F.initcap("p_name"), F.lit(" Zzyxw Institute of Technology"))
+    entries = F.array(
+        entry("a", "inactive", named(more, "ror_display")), entry("b", "active", named(other, "label")), entry("c", "active", named(F.lit("Qqv Wwx"), "ror_display"), named(F.upper(name), "alias")), entry("d", "active", named(F.lit("SRPI"), "acronym")),
+    )
+    p = _read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand").select("p_partkey", name.alias("name"), F.col("p_brand").alias("city"), F.explode(entries).alias("e"))
+    return p.select("p_partkey", "name", "city", "e.*")
+
+
+def registry_score(spark, sf_dir):
+    scored = registry_names.score_entries(registry_entries(spark, sf_dir), "name", "names", ["city"])
+    return scored.select("p_partkey", "entry", "score", F.array_join("guards", ";").alias("guards"))
+
+
+def registry_best(spark, sf_dir):
+    """The better of two open entries, or with the closed one among them."""
+    e = registry_entries(spark, sf_dir).filter((F.col("p_partkey") % 3 > 0) | (F.col("entry") != "a")).filter((F.col("p_partkey") % 5 > 0) | ~F.col("entry").isin("a", "c"))
+    return registry_names.best_entry(registry_names.score_entries(e, "name", "names", ["city"]), "p_partkey", "entry", "status")
+
+
+def registry_queries(spark, sf_dir):
+    """Customers' names in the forms that a registry is asked for."""
+    k = F.col("c_custkey")
+    tail = F.concat(F.lit(" "), F.lower("c_mktsegment"))
+    name = F.when(k % 4 == 0, F.concat(F.lit("Fla. State Univ"), tail)).when(k % 4 == 1, F.concat(F.lit("GA Tech"), tail)).when(k % 4 == 2, F.concat(F.lit("tx State University"), tail, F.lit(" (Germany)"))).otherwise(F.concat(F.lit("HI Tech"), tail, F.lit(", Rahway, NJ, USA")))
+    c = _read(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").select("c_custkey", name.alias("n"))
+    return c.select("c_custkey", registry_names.expand_states(F.col("n")).alias("states"), registry_names.expand_institutions(F.col("n")).alias("institutions"), registry_names.strip_country(F.col("n")).alias("bare"), F.array_join(registry_names.required_acronyms(F.col("n")), " ").alias("acronyms"))
+
+
+def confidence_bands(spark, sf_dir):
+    """Orders as scored fields on changing scales, with the status that follows."""
+    k = F.col("o_orderkey")
+    scale = F.element_at(F.array(*[F.lit(s) for s in ("ror_local", "fuzzy_ratio", "llm_self_reported", "registry_exact", "deterministic", "other")]), (k % 6 + 1).cast("int"))
+    value = F.when(k % 11 > 0, (k % 101) / F.when(k % 6 == 1, 1).otherwise(100))
+    state = F.when(k % 2 == 0, "unresolved").otherwise("unchanged-verified")
+    current = F.when(k % 7 == 0, "enriched").when(k % 7 == 1, "failed")
+    return _read(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", provenance.confidence_band(scale, value).alias("band"), provenance.status_after(state, current).alias("status"))
+
+
+QUERIES = {f.__name__: f for f in (source_gate, name_agreement, overflow_merge, grammar_census, page_outcomes, store_keys, folded_names, registry_score, registry_best, registry_queries, confidence_bands)}
 ORACLE_SQL = {
     "source_gate": """SELECT p_partkey record_id, CASE WHEN p_partkey % 3 > 0 THEN p_name WHEN p_partkey % 5 > 0 THEN NULL ELSE ror END ror_name, CASE WHEN p_partkey % 5 > 0 THEN p_name WHEN p_partkey % 3 > 0 THEN NULL ELSE lei END lei_name,
         CASE WHEN p_partkey % 3 > 0 OR (p_partkey % 5 = 0 AND ror IS NOT NULL) THEN p_partkey::VARCHAR END ror_id, CASE WHEN p_partkey % 5 > 0 OR (p_partkey % 3 = 0 AND lei IS NOT NULL) THEN p_partkey::VARCHAR END lei_id,
@@ -73,6 +116,17 @@ ORACLE_SQL = {
       l AS (SELECT k, n1, CASE WHEN n2 = '' THEN NULL ELSE n2 END n2, n3, n4, m12, m34, list_filter([CASE WHEN m12 THEN n1 || ' of Ohio' ELSE n1 END, CASE WHEN m12 THEN NULL ELSE nullif(trim(n2), '') END, CASE WHEN m34 THEN n3 || ' ' || n4 ELSE n3 END, CASE WHEN m34 THEN NULL ELSE n4 END], lambda x: x IS NOT NULL) p FROM f)
       SELECT k::VARCHAR record_id, CASE WHEN m12 OR m34 THEN p[1] ELSE n1 END name_1, CASE WHEN m12 OR m34 THEN p[2] ELSE n2 END name_2, CASE WHEN m12 OR m34 THEN p[3] ELSE n3 END name_3, CASE WHEN m12 OR m34 THEN p[4] ELSE n4 END name_4 FROM l""",
     "name_agreement": "SELECT p_partkey, p_partkey % 2 = 0 verbatim, true phrase, true keeps FROM part",
+    "registry_score": """SELECT p_partkey, e.entry, e.score, e.guards FROM part, (VALUES ('a', 1.0::DOUBLE, ''), ('b', 0.7, 'distinctive_token'), ('c', 1.0, ''), ('d', 0.0, '')) e(entry, score, guards)""",
+    "registry_best": """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 'c' ELSE 'a' END entry, CASE WHEN p_partkey % 5 = 0 THEN 0.7 ELSE 1.0 END::DOUBLE score, p_partkey % 5 > 0 AND p_partkey % 3 > 0 dead FROM part""",
+    "registry_queries": """WITH c AS (SELECT c_custkey, c_custkey % 4 k, ' ' || lower(c_mktsegment) t FROM customer)
+      SELECT c_custkey, CASE k WHEN 0 THEN 'Florida State Univ' || t WHEN 1 THEN 'GA Tech' || t WHEN 2 THEN 'Texas State University' || t || ' (Germany)' ELSE 'HI Tech' || t || ', Rahway, NJ, USA' END states,
+        CASE k WHEN 0 THEN 'Fla. State Univ' || t WHEN 1 THEN 'Georgia Institute of Technology' || t WHEN 2 THEN 'tx State University' || t || ' (Germany)' ELSE 'HI Tech' || t || ', Rahway, NJ, USA' END institutions,
+        CASE k WHEN 0 THEN 'Fla. State Univ' || t WHEN 1 THEN 'GA Tech' || t WHEN 2 THEN 'tx State University' || t ELSE 'HI Tech' || t END bare, CASE k WHEN 1 THEN 'ga' WHEN 3 THEN 'hi nj usa' ELSE '' END acronyms FROM c""",
+    "confidence_bands": """WITH o AS (SELECT o_orderkey, o_orderkey % 6 s, CASE WHEN o_orderkey % 11 > 0 THEN (o_orderkey % 101) / CASE WHEN o_orderkey % 6 = 1 THEN 1.0 ELSE 100.0 END END v, o_orderkey % 7 c, o_orderkey % 2 u FROM orders)
+      SELECT o_orderkey, CASE s WHEN 0 THEN CASE WHEN v IS NULL THEN 'unscored' WHEN v >= 0.999 THEN 'exact' WHEN v >= 0.9 THEN 'high' WHEN v >= 0.75 THEN 'medium' ELSE 'low' END
+        WHEN 1 THEN CASE WHEN v IS NULL THEN 'unscored' WHEN v >= 99.5 THEN 'exact' WHEN v >= 90 THEN 'high' WHEN v >= 75 THEN 'medium' ELSE 'low' END
+        WHEN 2 THEN CASE WHEN v IS NULL THEN 'self_unstated' WHEN v >= 0.85 THEN 'self_high' WHEN v >= 0.6 THEN 'self_medium' ELSE 'self_low' END WHEN 3 THEN 'exact' WHEN 4 THEN 'rule' ELSE 'none' END band,
+        CASE WHEN u = 0 THEN CASE c WHEN 0 THEN 'enriched' WHEN 1 THEN 'failed' ELSE 'unresolved' END WHEN c = 0 THEN 'enriched' ELSE 'verified' END status FROM o""",
     "grammar_census": "SELECT 'mixed' kind",
     "store_keys": "SELECT p_partkey, lower(p_name) || '|DE' registry, lower(p_name) || '|q|US' search, 'http://x?a=1&q=' || p_brand http, sha256(p_name || chr(9247) || p_brand) request FROM part",
 }

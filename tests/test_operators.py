@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomery.functions import extract as ex
 from loomery.functions import similarity
 from loomery.functions import text as tx
-from loomery.operators import dedup, enrich, evaluation, graph, issues, matching, merge, provenance, scoring
+from loomery.operators import dedup, enrich, evaluation, graph, issues, matching, merge, provenance, registry_names, scoring
 from loomery.plans import golden, records
 from loomery.plans import records as records_plan
 from loomery.sources import evidence
@@ -348,3 +348,63 @@ def test_whole_texts_wrap(spark):
         else:
             line = f"{line} {w}".strip()
     assert [*r.names, *r.overflow] == [*lines, line]
+
+
+@pytest.mark.parametrize(
+    ("name", "entry", "city", "least", "most", "guards"),
+    [
+        ("BRIGHAM & WOMENS HOSP", "Brigham and Women's Hospital", None, 0.8, 0.9, []),
+        ("Acme Biotech", "AUM BioTech", None, 0.7, 0.7, ["distinctive_token"]),
+        ("Coastal Analytical Services", "Analytical Services", None, 0.7, 0.7, ["distinctive_token"]),
+        ("EMSL Analytical", "ASL Analytical", None, 0.7, 0.7, ["distinctive_token", "identifier_token"]),
+        ("HFT Stuttgart", "Marienhospital Stuttgart", "Stuttgart", 0.0, 0.7, ["identifier_token"]),
+        ("Uni Stuttgart", "Marienhospital Stuttgart", "Stuttgart", 0.0, 0.7, []),
+        ("JAH VA Hospital", "James A. Haley Veterans' Hospital", None, 1.0, 1.0, ["identifier_token"]),
+        ("Hochschule fuer Technik Stuttgart", "Hochschule für Technik Stuttgart", "Stuttgart", 0.95, 0.96, []),
+        ("LAKELAND REGIONAL HEALTH", "Regional Health", None, 0.7, 0.7, ["distinctive_token"]),
+        ("University of Wisconsin-Madison", "University of Wisconsin–Madison", "Madison", 1.0, 1.0, []),
+        ("Acme, Inc.", "Acme Incorporated", None, 1.0, 1.0, []), ("", "Acme", None, 0.0, 0.0, []), (None, "Acme", None, 0.0, 0.0, []), ("Acme", None, None, 0.0, 0.0, []),
+    ],
+)
+def test_registry_score_examples(spark, name, entry, city, least, most, guards):
+    names = None if entry is None else [(entry, ["ror_display"])]
+    df = spark.createDataFrame([(name, names, city)], "name string, names array<struct<value: string, types: array<string>>>, city string")
+    got = registry_names.score_entries(df, "name", "names", ["city"]).first()
+    assert least <= got.score <= most
+    assert got.guards == guards
+
+
+def test_alias_counts_only_when_equal(spark):
+    names = [("Other Press", ["ror_display"]), ("Yale University Press", ["alias"])]
+    df = spark.createDataFrame([("Yale University", names), ("yale university press", names)], "name string, names array<struct<value: string, types: array<string>>>")
+    assert [r.score == 1 for r in registry_names.score_entries(df, "name", "names", []).collect()] == [False, True]
+
+
+def test_registry_score_equals_plain_python(spark):
+    """Scores of random names against one canonical name, with the rules written over sets of words."""
+    rng = random.Random(5)
+    words = "acme acmee duke coastal analytical services health regional university of the stuttgart lab labs institute insitute".split()
+    pick = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))
+    rows = [(pick(), [(pick(), ["label"])], "Stuttgart") for _ in range(400)]
+    df = spark.createDataFrame(rows, "name string, names array<struct<value: string, types: array<string>>>, city string")
+
+    def covered(a, b):
+        s, t = sorted((a, b), key=len)
+        return a == b or (len(s) >= 4 and (t.startswith(s) or similarity.ratio_of(a, b) >= 85))
+
+    def expected(q, v):
+        big = {w for w in q.split() if len(w) >= 4}
+        own = big - {"stuttgart"}
+        if q == v:
+            return 1.0
+        if len(v) < 5:
+            return 0.0
+        near = min(len(q), len(v)) / max(len(q), len(v)) >= 0.9 and (q in v or v in q)
+        if (own or not big) and ((big and big <= set(v.split())) or near):
+            return 1.0
+        r = similarity.token_sort_of(q, v) / 100
+        telling = own - set(registry_names.TYPE_WORDS) - set(registry_names.CONNECTORS)
+        return r if all(any(covered(a, b) for b in v.split()) for a in telling) else min(r, 0.7)
+
+    got = registry_names.score_entries(df, "name", "names", ["city"]).collect()
+    assert [round(r.score, 9) for r in got] == [round(expected(r.name, r.names[0].value), 9) for r in got]
