@@ -228,7 +228,7 @@ def row_classes(numbered: DataFrame, threshold: float) -> DataFrame:
     cells = banded.join(first, ["band", "hash"]).groupBy("rep").agg(F.collect_list(F.struct("band", "hash", "m")).alias("cells"))
     wanted = stage(cells.join(reps.select("rep", "size", "bands"), "rep"), "wanted")
 
-    shipped = texts.join(checked_broadcast(wanted, 200_000), texts[ROW] == wanted["rep"]).select("cells", "rep", "size", "bands", "text")
+    shipped = texts.join(checked_broadcast(wanted, of=F.size("cells") * 48 + F.size("bands") * 8 + 64), texts[ROW] == wanted["rep"]).select("cells", "rep", "size", "bands", "text")
     shipped = shipped.mapInArrow(_ship, "cells array<struct<band:int,hash:long,m:long>>, rep long, size long, bands array<long>, grams binary")
     blocks = F.ceil(F.col("c.m") / BLOCK).cast("int")
     spread = shipped.select(F.explode("cells").alias("c"), "rep", "size", "bands", "grams").withColumn("block", F.pmod(F.xxhash64("rep", "c.band"), blocks).cast("int"))
