@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import exact_dedup, lm_score, media, mixing, near_dup, packing, token_counts, token_files, toxicity, url_filter
+from loomery.llm import conversation_trie, exact_dedup, lm_score, media, mixing, near_dup, packing, token_counts, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,13 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per distinct prefix of the rebuilt conversations."""
+    return conversation_trie.rebuilt_trie(_table(spark, sf_dir, "conversations")).drop("digest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dup, op2_exact_dedup, op3_token_counts, op4_lm_score, op5_mixing, op6_url_filter, op7_packing, op8_token_files, op9_toxicity, op10_media)
+    f.__name__: f for f in (op1_near_dup, op2_exact_dedup, op3_token_counts, op4_lm_score, op5_mixing, op6_url_filter, op7_packing, op8_token_files, op9_toxicity, op10_media, op13_conversation_trie)
 }
 
 OP2_SQL = r"""
@@ -116,4 +121,34 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN canonical IN (SELECT can
 FROM canon LEFT JOIN (SELECT page_id, rule, v FROM fitting WHERE n = 1) USING (page_id)
 """
 
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_url_filter": OP6_SQL}
+#: Unsigned crc32 of a decimal number, bit by bit: DuckDB has no function for it.
+_CRC32 = """xor(list_reduce(list_transform(string_split({0}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+  lambda a, b: list_reduce([0::BIGINT, 1, 2, 3, 4, 5, 6, 7], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)), 4294967295), 4294967295)"""
+OP13_SQL = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos FROM keyed),
+convs AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, {_CRC32.format("conv_id")} % 4 AS h FROM placed),
+rebuilt AS (
+  SELECT c.conv_id, p.pos, p.k, p.words FROM convs c JOIN placed p ON p.conv_id = c.base AND p.pos <= c.h
+  UNION ALL SELECT c.conv_id, p.pos, p.k, p.words FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.pos > c.h),
+prefixed AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(k, '') OVER w AS node, words FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+ended AS (SELECT conv_id, arg_max(node, depth) AS node FROM prefixed GROUP BY 1),
+nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, CASE WHEN depth > 0 THEN left(node, 64 * (depth - 1)::INT) END AS parent
+  FROM prefixed GROUP BY node, depth),
+children AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY 1),
+valued AS (SELECT nodes.*, coalesce(n, 0) AS n_children, (n_convs - 1) * words AS saved FROM nodes LEFT JOIN children USING (node)),
+sums AS (
+  SELECT left(node, 64 * d::INT) AS node, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM valued) GROUP BY 1),
+listed AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM ended GROUP BY 1)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM valued v JOIN sums USING (node) LEFT JOIN listed USING (node) LEFT JOIN nodes p ON v.parent = p.node
+"""
+
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_url_filter": OP6_SQL, "op13_conversation_trie": OP13_SQL}
