@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import conversation_trie, exact_dedup, lm_score, media, mixing, near_dup, packing, token_counts, token_files, toxicity, url_filter
+from loomery.llm import conversation_trie, exact_dedup, lm_score, media, mixing, near_dup, packing, token_counts, token_files, toxicity, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,13 +58,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product-quantisation codes of all vectors, with six rounds of Lloyd."""
+    return vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per distinct prefix of the rebuilt conversations."""
     return conversation_trie.rebuilt_trie(_table(spark, sf_dir, "conversations")).drop("digest")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dup, op2_exact_dedup, op3_token_counts, op4_lm_score, op5_mixing, op6_url_filter, op7_packing, op8_token_files, op9_toxicity, op10_media, op13_conversation_trie)
+    f.__name__: f for f in (op1_near_dup, op2_exact_dedup, op3_token_counts, op4_lm_score, op5_mixing, op6_url_filter, op7_packing, op8_token_files, op9_toxicity, op10_media, op12_vector_codes, op13_conversation_trie)
 }
 
 OP2_SQL = r"""
@@ -121,13 +126,41 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN canonical IN (SELECT can
 FROM canon LEFT JOIN (SELECT page_id, rule, v FROM fitting WHERE n = 1) USING (page_id)
 """
 
+
+
+def _lloyd_round(r: int) -> str:
+    """Assignment with codebook r and the codebook after it."""
+    return f"""
+a{r} AS MATERIALIZED (
+  SELECT r, p, x, arg_min(e, {{'d': d, 'e': e}}) AS e, min(d) AS d
+  FROM (SELECT r, p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM cut JOIN b{r} USING (p)) GROUP BY r, p, x),
+m{r} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY k) AS c
+  FROM (SELECT p, e, k, sum(x[k])::BIGINT AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, width + 1)) AS k FROM size) GROUP BY p, e, k) GROUP BY p, e),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m USING (p, e)),"""
+
+
+OP12_SQL = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+size AS (SELECT len(v) // 8 AS width FROM kept WHERE r = 1),
+cut AS MATERIALIZED (SELECT r, p, v[p * width + 1 : p * width + width] AS x FROM kept, size, range(8) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM cut WHERE r <= 16),{"".join(map(_lloyd_round, range(7)))}
+coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b6) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
 #: Unsigned crc32 of a decimal number, bit by bit: DuckDB has no function for it.
 _CRC32 = """xor(list_reduce(list_transform(string_split({0}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
   lambda a, b: list_reduce([0::BIGINT, 1, 2, 3, 4, 5, 6, 7], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)), 4294967295), 4294967295)"""
 OP13_SQL = rf"""
 WITH RECURSIVE keyed AS (
   SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words
   FROM conversations WHERE conv_id IS NOT NULL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos FROM keyed),
 convs AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, {_CRC32.format("conv_id")} % 4 AS h FROM placed),
@@ -151,4 +184,4 @@ SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children,
 FROM valued v JOIN sums USING (node) LEFT JOIN listed USING (node) LEFT JOIN nodes p ON v.parent = p.node
 """
 
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_url_filter": OP6_SQL, "op13_conversation_trie": OP13_SQL}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_url_filter": OP6_SQL, "op12_vector_codes": OP12_SQL, "op13_conversation_trie": OP13_SQL}
