@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import conversation_trie, exact_dedup, lm_score, media, mixing, near_dup, packing, token_counts, token_files, toxicity, url_filter, vector_codes
+from loomery.llm import conversation_trie, exact_dedup, lm_score, media, mixing, near_dup, packing, pii, token_counts, token_files, toxicity, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of personal data in each document, and all spans."""
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product-quantisation codes of all vectors, with six rounds of Lloyd."""
     return vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings"))
@@ -69,7 +74,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dup, op2_exact_dedup, op3_token_counts, op4_lm_score, op5_mixing, op6_url_filter, op7_packing, op8_token_files, op9_toxicity, op10_media, op12_vector_codes, op13_conversation_trie)
+    f.__name__: f for f in (op1_near_dup, op2_exact_dedup, op3_token_counts, op4_lm_score, op5_mixing, op6_url_filter, op7_packing, op8_token_files, op9_toxicity, op10_media, op11_pii, op12_vector_codes, op13_conversation_trie)
 }
 
 OP2_SQL = r"""
