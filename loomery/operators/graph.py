@@ -2,26 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the cluster's shared folder and read back; in
-    local mode, where none may be set, in a folder of our own."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="loomery-shared-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/loomery/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from loomery.sources.scratch import staged
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -31,13 +15,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     jump to the label's label, so the number of rounds grows with the logarithm
     of the longest path.
     """
-    both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = _cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
+    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         jump = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("was"), F.least("root", "near").alias("low"))
-        new = _cut(step.join(jump, F.col("low") == F.col("_n"), "left").select("node", F.least("low", "_r").alias("root"), "was"))
+        new = staged(step.join(jump, F.col("low") == F.col("_n"), "left").select("node", F.least("low", "_r").alias("root"), "was"))
         labels = new.select("node", "root")
         if new.filter("root <> was").isEmpty():
             break
