@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomery.functions import extract as ex
 from loomery.functions import text as tx
 from loomery.operators.issues import NAMES, STREETS
+from loomery.operators.streets import route_care_of, route_segments
 
 DEPARTMENTS = NAMES[1:]
 
@@ -137,7 +138,7 @@ def split_embedded_department(df: DataFrame) -> DataFrame:
 
 
 def preprocess(df: DataFrame) -> DataFrame:
-    """Names and contacts, in order: codes, repeats, parents, care-of, street segments, departments in streets,
+    """Names and contacts, in order: codes, repeats, parents, care-of (departments to names), street segments, departments in streets,
     accounts payable, e-mail, addresses in names, brackets, DBA, legal forms, opaque codes, persons, embedded
     departments, junk, packing, duplicates."""
     for c in ("contact", "email", "care_of", "building"):
@@ -147,7 +148,7 @@ def preprocess(df: DataFrame) -> DataFrame:
     df = _all(df, NAMES, lambda c: ex.collapse_repeat(ex.strip_leading_code(c)))
     df = _all(df, STREETS, ex.collapse_repeat)
     df = split_parents(df)
-    df = route_first(df, DEPARTMENTS, ex.care_of, "care_of")
+    df = route_care_of(df, DEPARTMENTS)
     df = split_streets(df)
     for c in STREETS:  # departments and organisations that stand in streets go to names
         dept = ex.looks_like_department(F.col(c)) & ~ex.looks_like_street(F.col(c))
@@ -172,7 +173,7 @@ def preprocess(df: DataFrame) -> DataFrame:
     df = df.withColumns({c: F.when(~ex.is_opaque_code(F.col(c)), F.col(c)) for c in DEPARTMENTS})
     df = route_first(df, DEPARTMENTS, take(ex.titled_person), "contact")
     df = split_embedded_department(df)
-    df = _all(df, DEPARTMENTS + STREETS, ex.strip_junk)
+    df = _all(_all(df, DEPARTMENTS, ex.strip_junk), STREETS, ex.strip_street_junk)
     return drop_equal_slots(left_pack(df, DEPARTMENTS), NAMES)
 
 
@@ -186,16 +187,19 @@ def drop_equal_slots(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def process_address(df: DataFrame) -> DataFrame:
-    """Streets, in order: full address, PO box, care-of, unloading point, mail code, sub-locations,
+    """Streets, in order: full address, typed segments of a mixed street, PO box, care-of, unloading point, mail code, sub-locations,
     trailing qualifier, abbreviations, equal lines, packing."""
-    for c in ("po_box", "care_of", "unloading_point", "mail_code", "city", "state", "postal_code", *ex.KINDS):
+    for c in ("po_box", "care_of", "unloading_point", "mail_code", "city", "state", "postal_code", *NAMES, *ex.KINDS):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
+    if "preprocess_flags" not in df.columns:
+        df = df.withColumn("preprocess_flags", F.array().cast("array<string>"))
     df = df.withColumn("_full", ex.full_address(F.col("street_1")))
     whole = F.col("_full.street").isNotNull()
     df = df.withColumns({"street_1": F.when(whole, F.col("_full.street")).otherwise(F.col("street_1")), "city": F.coalesce(tx.nullify(F.col("city")), "_full.city"), "state": F.coalesce(tx.nullify(F.col("state")), "_full.state"), "postal_code": F.coalesce(tx.nullify(F.col("postal_code")), "_full.postal_code")}).drop("_full")
+    df = route_segments(df)
     df = route_first(df, STREETS, ex.po_box, "po_box")
-    df = route_first(df, STREETS, ex.care_of, "care_of")
+    df = route_care_of(df, STREETS)
     df = route_first(df, STREETS, ex.logistics, "unloading_point")
     df = route_first(df, STREETS[:1], lambda c: ex.mail_code(c, bare=False), "mail_code")
     df = route_first(df, STREETS[1:], ex.mail_code, "mail_code")
