@@ -12,15 +12,18 @@ reference semantics ask for; ``cap`` marks blocks with too many for review.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions import text as tx
-from loomery.functions.similarity import fold_accents, jaro_winkler
+from loomery.functions.similarity import fold_accents, jaro_winkler_of
 from loomery.operators.graph import components
+from loomery.sources.scratch import staged
 
 NAME_THRESHOLD, TOKEN_THRESHOLD, CAP = 0.85, 0.6, 50
 BLOCK = 512
@@ -80,18 +83,85 @@ def split_conflicting_ids(members: DataFrame) -> DataFrame:
     return out.withColumns({"entity_id": F.when(F.col("_conflict"), F.concat_ws("/", "entity_id", "signature_id")).otherwise(F.col("entity_id")), "uncertain": F.col("uncertain") | F.col("_conflict"), "reasoning": F.when(F.col("_conflict"), "Split: different registry ids indicate different entities").otherwise(F.col("reasoning"))}).drop("_conflict")
 
 
-def letter_bag(c: Column) -> Column:
-    """The letters of a text as numbers, each with its number among its equals."""
-    letters = F.filter(F.split(c, ""), lambda x: x != "")
-    return F.transform(letters, lambda x, k: F.ascii(x) * 4096 + F.size(F.filter(F.slice(letters, 1, k + 1), lambda y: y == x)))
+def _codes(values: list) -> np.ndarray:
+    """Equal values as equal numbers; -1 for what is empty."""
+    at: dict = {}
+    return np.array([at.setdefault(v, len(at)) if v else -1 for v in values])
 
 
-def jaro_winkler_bound(a: Column, b: Column, common: Column) -> Column:
-    """What Jaro-Winkler is at most for two texts with so many letters in common: no
-    more matches than those, and none out of place."""
-    jaro = F.when(common > 0, (common / F.length(a) + common / F.length(b) + 1) / 3).otherwise(0.0)
-    prefix = sum(((F.substring(a, 1, k) == F.substring(b, 1, k)) & (F.length(a) >= k)).cast("int") for k in range(1, 5))
-    return jaro + 0.1 * prefix * (1 - jaro) + 1e-9
+def _cell_pairs(rows: list[tuple], name_threshold: float, token_threshold: float) -> Iterator[tuple]:
+    """(block_id, a, b, rank, score) of the pairs of one cell that some rule nominates.
+
+    What Jaro-Winkler is at most follows from the letters that two names have in common (no
+    more matches than those, none out of place) and their first four; only pairs that may
+    reach the threshold go through the kernel.
+    """
+    rows.sort(key=lambda r: r[1])
+    block, idx, cores, has_name2, adjudicated, shard = ([r[k] for r in rows] for k in (0, 1, 2, 5, 6, 7))
+    ids = [_codes([r[k] for r in rows]) for k in (3, 4)]
+    words, n = [set(c.split()) for c in cores], len(rows)
+    letter = {x: k for k, x in enumerate(sorted(set("".join(cores))))}
+    counts, first, having = np.zeros((n, max(1, len(letter))), np.int32), np.full((n, 4), -1), {}
+    for k, core in enumerate(cores):
+        for ch in core:
+            counts[k, letter[ch]] += 1
+        first[k, : len(core[:4])] = [letter[ch] for ch in core[:4]]
+        for w in words[k]:
+            having.setdefault(w, []).append(k)
+    length, n_words = np.maximum(counts.sum(1), 1), np.array([len(w) for w in words])
+    kind, done, shard, one = np.array(has_name2), np.array(adjudicated), np.array(shard), rows[0][8] == rows[0][9]
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        j = j[~((kind[j] == kind[i]) & done[j] & done[i]) & (one | (shard[j] != shard[i]))]
+        if not len(j):
+            continue
+        common = np.minimum(counts[i], counts[j]).sum(1)
+        jaro = np.where(common > 0, (common / length[i] + common / length[j] + 1) / 3, 0.0)
+        prefix = np.cumprod((first[j] == first[i]) & (first[j] >= 0), axis=1).sum(1)
+        may = (jaro + 0.1 * prefix * (1 - jaro) + 1e-9 >= name_threshold) & (common > 0)
+        shared = np.zeros(n)
+        for w in words[i]:
+            shared[having[w]] += 1
+        both = n_words[i] + n_words[j] - shared[j]
+        jaccard = np.where(both > 0, shared[j] / np.maximum(both, 1), 0.0)
+        same = np.logical_or(*((x[j] == x[i]) & (x[i] >= 0) for x in ids))
+        for k in np.flatnonzero(same | may | (jaccard >= token_threshold)):
+            jw = jaro_winkler_of(cores[i], cores[j[k]]) if may[k] and not same[k] else 0.0
+            if same[k]:
+                yield block[i], idx[i], idx[j[k]], 0, 1.0
+            elif jw >= name_threshold:
+                yield block[i], idx[i], idx[j[k]], 1, jw
+            elif jaccard[k] >= token_threshold:
+                yield block[i], idx[i], idx[j[k]], 2, float(jaccard[k])
+
+
+CELL = ("block_id", "idx", "core", "ror_id", "lei_id", "has_name2", "adjudicated", "_shard", "_low", "_high")
+
+
+def _all_cells(name_threshold: float, token_threshold: float):
+    """Pairs of a stream of units that is ordered by cell; a cell has ``2 * BLOCK`` units or so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows, out = None, [], []
+
+        def made() -> pa.RecordBatch:
+            types = (None, pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t or pa.string()) for k, t in enumerate(types)], ["block_id", "a", "b", "_rank", "score"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in CELL)):
+                if (row[0], row[8], row[9]) != cell:
+                    if len(rows) > 1:
+                        out += _cell_pairs(rows, name_threshold, token_threshold)
+                    cell, rows = (row[0], row[8], row[9]), []
+                rows.append(row)
+            yield made()
+            out.clear()
+        if len(rows) > 1:
+            out += _cell_pairs(rows, name_threshold, token_threshold)
+        yield made()
+
+    return run
 
 
 def candidate_pairs(units: DataFrame, name_threshold: float = NAME_THRESHOLD, token_threshold: float = TOKEN_THRESHOLD) -> DataFrame:
@@ -100,25 +170,15 @@ def candidate_pairs(units: DataFrame, name_threshold: float = NAME_THRESHOLD, to
     units: block_id, idx, name, ror_id, lei_id, has_name2, adjudicated. Pairs
     that a partition verdict has compared already aren't eligible. A block is
     dealt into shards of about ``BLOCK`` units, and each two shards meet in a cell
-    of their own, so a block of any size is spread; letters in common bound the
-    similarity, and only pairs that can reach it go through the kernel.
+    of their own, so a block of any size is spread; a cell is worked in numpy, and
+    only the pairs that a rule nominates leave it.
     """
-    u = units.withColumn("core", tx.strip_legal_suffix(F.col("name"))).withColumn("words", F.filter(F.split("core", " "), lambda w: w != "")).withColumn("letters", letter_bag(F.col("core")))
-    sizes = u.groupBy("block_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_shards"))
+    u = units.select("block_id", F.col("idx").cast("int").alias("idx"), tx.strip_legal_suffix(F.col("name")).alias("core"), "ror_id", "lei_id", "has_name2", "adjudicated")
+    sizes = staged(u.groupBy("block_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("block_id", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_shards")), "sizes")  # written out, so that a hot block's partition may be split
     u = u.join(sizes, "block_id").withColumn("_shard", F.pmod(F.xxhash64("idx"), F.col("_shards")).cast("int"))
     u = u.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1))).withColumns({"_low": F.least("_shard", "_other"), "_high": F.greatest("_shard", "_other")})
-    a, b = u.alias("x"), u.alias("y")
-    cell = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("block_id", "_low", "_high")]
-    pairs = a.join(b, [*cell, F.col("x.idx") < F.col("y.idx"), (F.col("x._low") == F.col("x._high")) | (F.col("x._shard") != F.col("y._shard"))])
-    pairs = pairs.filter(~((F.col("x.has_name2") == F.col("y.has_name2")) & F.col("x.adjudicated") & F.col("y.adjudicated")))
-    same = lambda c: F.coalesce((F.col(f"x.{c}") == F.col(f"y.{c}")) & (F.col(f"x.{c}") != ""), F.lit(False))
-    pairs = pairs.select(F.col("x.block_id").alias("block_id"), F.col("x.idx").alias("a"), F.col("y.idx").alias("b"), (same("ror_id") | same("lei_id")).alias("ids"), F.col("x.core").alias("ca"), F.col("y.core").alias("cb"), tx.jaccard(F.col("x.words"), F.col("y.words")).alias("jaccard"), F.size(F.array_intersect("x.letters", "y.letters")).alias("common"))
-    may = jaro_winkler_bound(F.col("ca"), F.col("cb"), F.col("common")) >= name_threshold
-    pairs = pairs.filter(F.col("ids") | (F.col("jaccard") >= token_threshold) | may)
-    pairs = pairs.withColumn("jw", F.when((F.col("ca") != "") & (F.col("cb") != "") & may, jaro_winkler("ca", "cb")).otherwise(0.0))
-    rank = F.when(F.col("ids"), 0).when(F.col("jw") >= name_threshold, 1).when(F.col("jaccard") >= token_threshold, 2)
-    score = F.when(F.col("ids"), 1.0).when(F.col("jw") >= name_threshold, F.col("jw")).otherwise(F.col("jaccard"))
-    pairs = pairs.withColumns({"_rank": rank, "score": score}).filter("_rank is not null")
+    cells = u.select(*CELL).repartition("block_id", "_low", "_high").sortWithinPartitions("block_id", "_low", "_high")
+    pairs = cells.mapInArrow(_all_cells(name_threshold, token_threshold), "block_id string, a int, b int, _rank int, score double")
     place = F.row_number().over(Window.partitionBy("block_id").orderBy("_rank", F.desc("score"), "a", "b"))
     return pairs.select("block_id", "a", "b", F.when(F.col("_rank") == 0, "id").when(F.col("_rank") == 1, "name").otherwise("token").alias("rule"), "score", place.alias("place"))
 
@@ -183,7 +243,9 @@ def cluster_rows(rows: DataFrame, partitions: DataFrame | None = None, verdicts:
         s = s.withColumns({"entity_id": F.coalesce("_e", "entity_id"), "uncertain": F.coalesce("_u", "uncertain") | missing, "reasoning": F.col("_r"), "adjudicated": F.col("_grouped").isNotNull()}).drop("_e", "_u", "_r", "_grouped")
     s = split_mixed_departments(s)
     if verdicts is not None:
+        s = staged(s, "signatures")
         w = Window.partitionBy("block_id", "entity_id").orderBy("_first").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        verdicts = staged(verdicts, "verdicts")  # evaluated once, read four times
         over = capped_blocks(candidates if candidates is not None else verdicts, cap).select("block_id", F.col("candidates").alias("_over"))
         verdicts = verdicts.join(over, "block_id", "left_anti")
         s = s.withColumn("unit", F.first("signature_id").over(w))

@@ -16,7 +16,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.operators.dedup import cluster_hashes
+from loomery.operators.dedup import NONMERGE_MARKERS, cluster_hashes
 
 #: Default points by criterion and band.
 WEIGHTS = {
@@ -34,7 +34,7 @@ WEIGHTS = {
 }
 CRITERIA = list(WEIGHTS)
 CONFIDENCE = 0.95
-CONTRADICTIONS = ["should not be merged", "should not merge", "must not be merged", "not be merged", "do not merge", "should be split", "must be split"]
+CONTRADICTIONS = list(NONMERGE_MARKERS)
 SF_IDS = [f"sf{k}" for k in range(1, 9)]
 
 

@@ -293,12 +293,27 @@ def test_hot_block_of_candidates(spark):
     assert want <= got and all(r == "token" or r == "name" for a, b, r in got - want)
 
 
-def test_bound_is_never_below_the_similarity(spark):
+def test_cells_nominate_the_pairs_of_a_full_comparison():
+    """Every pair of random names by the rules themselves, in one cell and in a cell of two shards."""
     rng = random.Random(4)
-    pairs = [("".join(rng.choice("abcde ") for _ in range(rng.randint(1, 12))), "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 12)))) for _ in range(500)]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    r = df.select(similarity.jaro_winkler("a", "b").alias("jw"), dedup.jaro_winkler_bound(F.col("a"), F.col("b"), F.size(F.array_intersect(dedup.letter_bag(F.col("a")), dedup.letter_bag(F.col("b"))))).alias("most"))
-    assert r.filter("jw > most").count() == 0
+    for n in range(30):
+        names = [" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 3))) for _ in range(40)]
+        rows = [("b", k, c, rng.choice([None, "", "r1", "r2"]), rng.choice([None, "l1", "l2"]) if n % 2 else None, rng.random() < 0.5, rng.random() < 0.3, k % 2, 0, n % 3 % 2) for k, c in enumerate(names)]
+        want = []
+        for x in rows:
+            for y in rows:
+                if x[1] >= y[1] or (x[5] == y[5] and x[6] and y[6]) or (x[8] != x[9] and x[7] == y[7]):
+                    continue
+                one, two = set(x[2].split()), set(y[2].split())
+                jaccard = len(one & two) / len(one | two) if one | two else 0.0
+                jw = similarity.jaro_winkler_of(x[2], y[2]) if x[2] and y[2] else 0.0
+                if (x[3] and x[3] == y[3]) or (x[4] and x[4] == y[4]):
+                    want.append(("b", x[1], y[1], 0, 1.0))
+                elif jw >= 0.85:
+                    want.append(("b", x[1], y[1], 1, jw))
+                elif jaccard >= 0.6:
+                    want.append(("b", x[1], y[1], 2, jaccard))
+        assert sorted(dedup._cell_pairs(rng.sample(rows, len(rows)), 0.85, 0.6)) == sorted(want)
 
 
 def test_cluster_hash_by_streaming(spark):
