@@ -104,3 +104,40 @@ def resolve_domain(candidate: Column, registry_sites: Column, email: Column, cou
         .when((F.size(words) > 0) & F.forall(words, lambda w: F.contains(hay, w)), out(d, "title", None))
         .otherwise(out(none, None, "no_evidence"))
     )
+
+
+#: The five parts of a reference (RFC 3986, appendix B), as groups 2, 4, 5, 7 and 9.
+REFERENCE = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?$"
+
+
+def _parts(c: Column) -> dict[str, Column]:
+    """Scheme, authority, path and query of a reference; null where one isn't there."""
+    c = F.trim(c)
+    part = lambda have, k: F.when(F.regexp_extract(c, REFERENCE, have) != "", F.regexp_extract(c, REFERENCE, k))
+    return {"scheme": F.lower(part(1, 2)), "authority": part(3, 4), "path": F.regexp_extract(c, REFERENCE, 5), "query": part(6, 7)}
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its '.' and '..' segments resolved; '..' never climbs above the root."""
+    segments = F.split(path, "/")
+    step = lambda have, s: F.when(s == "..", F.slice(have, 1, F.greatest(F.size(have) - 1, F.lit(1)))).when(s == ".", have).otherwise(F.array_append(have, s))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    ends = F.element_at(segments, -1).isin(".", "..")
+    joined = F.array_join(F.when(ends, F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+    return F.when(path.startswith("/") & ~joined.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(joined)
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """The address that a reference names on a page at ``base`` (an absolute http address), without its fragment;
+    null for null, and for references of other schemes (mailto, javascript, data, tel)."""
+    b, r = _parts(base), _parts(reference)
+    folder = F.regexp_extract(b["path"], r"^(.*/)", 1)
+    merged = F.when(r["path"].startswith("/"), r["path"]).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), r["path"]))
+    own = r["scheme"].isNotNull() | r["authority"].isNotNull()
+    same = ~own & (r["path"] == "")
+    path = F.when(same, b["path"]).otherwise(without_dots(F.when(own, r["path"]).otherwise(merged)))
+    query = F.when(same & r["query"].isNull(), b["query"]).otherwise(r["query"])
+    scheme = F.coalesce(r["scheme"], b["scheme"])
+    authority = F.when(own, r["authority"]).otherwise(b["authority"])
+    made = F.concat(scheme, F.lit("://"), F.coalesce(authority, F.lit("")), path, F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
+    return F.when(reference.isNotNull() & scheme.isin("http", "https"), made)
