@@ -29,11 +29,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomery/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a row group of the tables we write: a task holds one in memory, with whole texts in it.
+ROW_GROUP_BYTES = 16 << 20
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends
     there, so a lost executor costs only the tasks that ran on it."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
