@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomery.functions import coverage as cov
 from loomery.functions import extract as ex
 from loomery.functions import text as tx
 from loomery.operators.issues import NAMES, STREETS
@@ -138,7 +139,7 @@ def split_embedded_department(df: DataFrame) -> DataFrame:
 
 
 def preprocess(df: DataFrame) -> DataFrame:
-    """Names and contacts, in order: codes, repeats, parents, care-of (departments to names), street segments, departments in streets,
+    """Names and contacts, in order: codes, repeats, parents, acronyms beside what they stand for, care-of (departments to names), street segments, departments in streets,
     accounts payable, e-mail, addresses in names, brackets, DBA, legal forms, opaque codes, persons, embedded
     departments, junk, packing, duplicates."""
     for c in ("contact", "email", "care_of", "building"):
@@ -148,6 +149,7 @@ def preprocess(df: DataFrame) -> DataFrame:
     df = _all(df, NAMES, lambda c: ex.collapse_repeat(ex.strip_leading_code(c)))
     df = _all(df, STREETS, ex.collapse_repeat)
     df = split_parents(df)
+    df = df.withColumn("name_1", cov.without_acronym(F.col("name_1")))
     df = route_care_of(df, DEPARTMENTS)
     df = split_streets(df)
     for c in STREETS:  # departments and organisations that stand in streets go to names

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomery.functions import urls
+from loomery.functions import coverage, urls
 from loomery.operators import assignment, fuzzy, graph, invariance
 
 
@@ -58,7 +58,23 @@ def page_links(spark, sf_dir):
     return found.select("page_id", "place", urls.resolve(F.col("url"), F.col("href")).alias("link")).filter("link is not null")
 
 
-QUERIES = {f.__name__: f for f in (redirect_chains, run_invariance, mode_b_clusters, registry_fuzzy, page_links)}
+def host_coverage(spark, sf_dir):
+    """How part names, called services, cover host labels that were made of their words in seven ways."""
+    k, w = F.col("p_partkey"), F.split("p_name", " ")
+    first, second = F.get(w, F.lit(0)), F.coalesce(F.get(w, F.lit(1)), F.lit("x"))
+    label = F.element_at(F.array(F.concat(first, second), F.concat(F.substring(first, 1, 3), second), F.concat(first, F.lit("llc")), F.concat(second, first), F.concat(first, F.lit("xq")), F.array_join(F.transform(w, lambda x: F.substring(x, 1, 1)), ""), F.concat(first, F.lit("svc"))), (k % 7 + 1).cast("int"))
+    return _read(spark, sf_dir, "part").select("p_partkey", coverage.host_coverage(F.concat(label, F.lit(".example.org")), F.concat("p_name", F.lit(" Services"))).alias("covered"))
+
+
+def acronym_slots(spark, sf_dir):
+    """Initials and other letters aligned with part names."""
+    k, w = F.col("p_partkey"), F.split("p_name", " ")
+    short = F.when(k % 3 < 2, F.upper(F.array_join(F.transform(w, lambda x: F.substring(x, 1, 1)), "."))).otherwise("ZQ")
+    a = coverage.acronym_slots(short, F.when(k % 3 == 1, F.concat(F.lit("The "), "p_name")).otherwise(F.col("p_name")))
+    return _read(spark, sf_dir, "part").select("p_partkey", a["kind"].alias("kind"), F.array_join(F.transform(a["slots"], lambda x: x.cast("string")), ",").alias("slots"))
+
+
+QUERIES = {f.__name__: f for f in (redirect_chains, run_invariance, mode_b_clusters, registry_fuzzy, page_links, host_coverage, acronym_slots)}
 ORACLE_SQL = {
     "redirect_chains": """
 WITH k AS (SELECT o_orderkey node, o_orderkey // 1000 * 1000 base FROM orders),
@@ -78,4 +94,21 @@ f AS (
     CASE WHEN first IS NOT NULL AND (first * 7 + idx * 3) % 5 = 0 THEN held ELSE list_append(held, {'i': idx, 'h': h}) END
   FROM (SELECT s.block_id, s.idx, s.h, f.held, list_filter(f.held, lambda x: s.idx - x.i <= 5 AND x.h = s.h AND (x.i * 7 + s.idx * 3) % 5 IN (0, 3))[1].i AS first FROM f JOIN s ON s.block_id = f.block_id AND s.idx = f.idx + 1))
 SELECT block_id, idx, entity, uncertain FROM f""",
+    "acronym_slots": """
+WITH p AS (SELECT *, len(string_split(p_name, ' ')) n FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 AND n > 1 THEN 'initials' END kind, CASE WHEN p_partkey % 3 < 2 AND n > 1 THEN array_to_string(list_transform(range(n), lambda x: x + p_partkey % 3), ',') END slots FROM p""",
+    "host_coverage": f"""
+WITH RECURSIVE p AS (SELECT p_partkey k, string_split(p_name, ' ') w, p_partkey % 7 c FROM part),
+l AS (SELECT k, list_append(w, 'services') w, CASE c WHEN 0 THEN w[1] || coalesce(w[2], 'x') WHEN 1 THEN left(w[1], 3) || coalesce(w[2], 'x') WHEN 2 THEN w[1] || 'llc' WHEN 3 THEN coalesce(w[2], 'x') || w[1] WHEN 4 THEN w[1] || 'xq' WHEN 5 THEN array_to_string(list_transform(w, lambda x: x[1]), '') ELSE w[1] || 'svc' END label FROM p),
+t AS (SELECT k, unnest(w) word, generate_subscripts(w, 1) i FROM l),
+f AS (SELECT k, i, word f, false short FROM t UNION SELECT k, i, '', false FROM t UNION SELECT k, i, left(word, n::INT), false FROM t, range(3, 30) r(n) WHERE length(word) >= 5 AND n < length(word)
+  UNION SELECT k, i, unnest(['svcs', 'svc', 'serv']), false FROM t WHERE word = 'services' UNION SELECT k, i, word[1], true FROM t),
+r AS (
+  SELECT l.k, m.short, 0::BIGINT i, 0::BIGINT pos FROM l, (VALUES (false), (true)) m(short)
+  UNION SELECT r.k, r.short, r.i + 1, r.pos + length(f.f) FROM r JOIN l ON l.k = r.k JOIN f ON f.k = r.k AND f.i = r.i + 1 AND (r.short OR NOT f.short) AND starts_with(substr(label, r.pos + 1), f.f)),
+z AS (
+  SELECT r.k, r.short, r.pos FROM r JOIN l ON l.k = r.k WHERE r.i = len(l.w) AND r.pos > 0
+  UNION SELECT z.k, z.short, z.pos + length(e) FROM z JOIN l ON l.k = z.k, (SELECT unnest({coverage.LEGAL_ENDS}) e) WHERE starts_with(substr(label, z.pos + 1), e)),
+d AS (SELECT z.k, bool_or(NOT short) plain FROM z JOIN l ON l.k = z.k WHERE pos = length(label) GROUP BY 1)
+SELECT l.k p_partkey, CASE WHEN plain THEN 'words' WHEN plain IS NOT NULL THEN 'initials' END covered FROM l LEFT JOIN d ON d.k = l.k""",
 }
