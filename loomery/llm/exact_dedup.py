@@ -144,7 +144,7 @@ def exact_dedup(docs: DataFrame, print_of: Print = _print_columns) -> DataFrame:
     bad = checked_broadcast(stage(collisions(docs, prints).withColumn("collides", F.lit(True)), "collisions"))
     split = prints.join(bad, KEY, "left").withColumn("split", F.when(F.col("collides"), F.col("text_sha256")).otherwise(""))
     best = F.struct((-F.col("n_points")).alias("less"), "doc_id", "row")
-    kept = split.groupBy(*KEY, "split").agg(F.count("*").alias("group_size"), F.min(best).alias("best"))
+    kept = stage(split.groupBy(*KEY, "split").agg(F.count("*").alias("group_size"), F.min(best).alias("best")), "kept")  # written out, so that a hot text's partition may be split
     out = split.join(kept, [*KEY, "split"])
     return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "n_bytes", "n_points")
 
@@ -169,6 +169,6 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     if not again.isEmpty():
         gone = gone.join(kept, [gone[c].eqNullSafe(kept[c]) for c in same], "left_anti")
         marked = marked.dropDuplicates(["doc_id", SHA, POINTS])
-    gone = checked_broadcast(stage(gone.toDF("_gone_id", "_gone_sha", "_gone_points"), "dropped"))
+    gone = checked_broadcast(stage(gone.toDF("_gone_id", "_gone_sha", "_gone_points"), "dropped"), of=F.lit(120))
     on = marked["doc_id"].eqNullSafe(gone["_gone_id"]) & (marked[SHA] == gone["_gone_sha"]) & (marked[POINTS] == gone["_gone_points"])
     return marked.join(gone, on, "left_anti").select(*(marked[c] for c in docs.columns))
