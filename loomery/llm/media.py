@@ -145,7 +145,7 @@ def store_media(docs: DataFrame, media_path: str, chunk_path: str) -> None:
     index = texts.select("text_key", "text").mapInArrow(_index, "text_key long, digests array<binary>")
     index = stage(index.groupBy("text_key").agg(F.count("*").alias("media"), F.first("digests").alias("digests")), "digests")
     held = index.select("text_key", "media", F.explode("digests").alias("digest"))
-    repeated = held.groupBy("digest").agg(F.sum("media").alias("n")).filter("n > 1").select("digest")
+    repeated = stage(held.groupBy("digest").agg(F.sum("media").alias("n")).filter("n > 1").select("digest"), "repeated")  # written out, so that a hot chunk's partition may be split
     by_text = held.join(repeated, "digest").groupBy(F.col("text_key").alias("_holder")).agg(F.collect_set("digest").alias("shared"))
     sharers = checked_broadcast(stage(by_text, "sharers"), of=F.size("shared") * 48 + 32)
     on = texts["text_key"] == F.col("_holder")
