@@ -240,7 +240,7 @@ def row_classes(numbered: DataFrame, threshold: float) -> DataFrame:
     roots = components(found.filter("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     firsts = stage(roots.join(reps.select("rep", "least"), F.col("node") == F.col("rep")).groupBy("root").agg(F.min("least").alias("first")), "firsts")
-    members = roots.join(checked_broadcast(firsts), "root").select("node", "first")
+    members = roots.join(checked_broadcast(firsts, of=F.lit(64)), "root").select("node", "first")
     known = reps.join(links, "rep", "left").join(members, F.col("rep") == F.col("node"), "left").withColumn("first", F.coalesce("first", "least"))
     known = known.select("set_a", "set_b", F.col("least.doc_id").alias("rep_id"), F.col("first.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("first.rep").alias("stays"))
     out = signed.filter("n_grams > 0").join(known, ["set_a", "set_b"]).select("doc_id", "rep_id", "class_id", "n_links", "n_grams", ROW, "stays")

@@ -64,5 +64,5 @@ def checked_broadcast(small: DataFrame, most: int = BROADCAST_ROWS, of: Column |
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose key isn't in ``dropped``, in a plan that shuffles
     the texts only when there are too many dropped keys to broadcast."""
-    gone = checked_broadcast(stage(dropped.select(F.col(key).alias("_gone")).distinct(), "dropped"))
+    gone = checked_broadcast(stage(dropped.select(F.col(key).alias("_gone")).distinct(), "dropped"), of=F.lit(48))
     return docs.join(gone, docs[key].eqNullSafe(gone["_gone"]), "left_anti")
