@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomery.llm.shared import checked_broadcast, stage
+
 BITS, WORDS = 16, 4
 BROADCAST_BLOCKS = 1 << 17  # 5 MB
 
@@ -75,7 +77,7 @@ def filter_urls(pages: DataFrame, listed_urls: DataFrame, rules: list[tuple[str,
     canonical URL is listed, else allow.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    listed = listed_urls.select(canonical(host, path).alias("canonical")).filter("canonical <> ''").distinct()
+    listed = stage(listed_urls.select(canonical(host, path).alias("canonical")).filter("canonical <> ''").distinct(), "listed")
     blocks = max(1, -(-listed.count() * BITS // (64 * WORDS)))
     bloom = build_bloom(listed, blocks)
     if blocks <= BROADCAST_BLOCKS:
@@ -88,10 +90,10 @@ def filter_urls(pages: DataFrame, listed_urls: DataFrame, rules: list[tuple[str,
     for i in range(WORDS):
         hit = hit & (F.col(f"word{i}").bitwiseAND(F.col(f"mask{i}")) == F.col(f"mask{i}"))
     probed = probed.select(keep, "host", "path", "rule", "ruled", "canonical", F.coalesce(hit, F.lit(False)).alias("possible"))
-    exact = listed.select(F.col("canonical").alias("_listed"))
-    some = probed.filter("possible").join(exact, F.col("canonical") == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull()).drop("_listed")
-    none = probed.filter("not possible").withColumn("listed", F.lit(False))
-    return some.unionByName(none).select(keep, "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "possible", "listed")
+    # only possible hits bring their URL to the exact join; the others go by a hash of the row, so that they don't meet in one place
+    key = F.when(F.col("possible"), F.col("canonical")).otherwise(F.concat(F.lit("\u0001"), F.xxhash64(keep, "canonical").cast("string")))
+    met = probed.withColumn("_key", key).join(checked_broadcast(listed.select(F.col("canonical").alias("_listed")), of=F.octet_length("_listed") + 16), F.col("possible") & (F.col("_key") == F.col("_listed")), "left")
+    return met.withColumn("listed", F.col("_listed").isNotNull()).select(keep, "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "possible", "listed")
 
 
 def listed_pages(pages: DataFrame, labels: list[str] = LISTED_LABELS) -> DataFrame:
