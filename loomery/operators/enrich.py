@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from loomery.functions import coverage as cov
 from loomery.functions import extract as ex
+from loomery.functions import search_terms as st
 from loomery.functions import text as tx
 from loomery.operators.issues import NAMES, STREETS
+from loomery.operators.registry_names import STATES
+from loomery.operators.review import is_admin_desk
 from loomery.operators.streets import route_care_of, route_segments
 
 DEPARTMENTS = NAMES[1:]
@@ -255,7 +258,12 @@ def summarise(results: DataFrame) -> DataFrame:
 
 
 def search_terms(df: DataFrame) -> DataFrame:
-    """search_term_1 (acronym, domain label, first words of Name 1) and search_term_2 (unit words of Name 2), upper case, 32 wide."""
-    t1 = F.coalesce(tx.derive_acronym(F.col("name_1")), F.regexp_extract(F.col("domain"), r"^([^.]+)", 1) if "domain" in df.columns else F.lit(None), tx.first_significant_words(tx.strip_legal_suffix(F.col("name_1"))))
-    unit = F.regexp_replace(tx.canonicalise_unit(F.col("name_2")), r"(?i)^(?:Department|Division|School|Faculty|College|Institute|Center|Centre|Laboratory)\s+(?:of|for)\s+", "")
-    return df.withColumns({"search_term_1": tx.fill_to_width(F.upper(t1)), "search_term_2": tx.fill_to_width(F.upper(tx.first_significant_words(unit)))})
+    """search_term_1 (institution) and search_term_2 (unit) of name_1 and name_2, with domain, department_domain, ror_acronym,
+    city, region and country where ``df`` has them: at most two words each, upper case, 32 wide."""
+    have = lambda *names: next((F.col(c).cast("string") for c in names if c in df.columns), F.lit(None).cast("string"))
+    regions = {k: v.lower() for k, v in STATES.items() if len(k) == 2}
+    states = F.array(*(F.lit(v) for v in sorted(set(regions.values())) if " " not in v))
+    df = df.withColumn("_geo", F.array_union(st.geo_words(have("city"), have("region", "state"), have("country"), regions), states))
+    one = st.search_term_1(F.col("name_1"), have("domain"), have("ror_acronym"), F.col("_geo"))
+    two = st.search_term_2(F.col("name_2"), have("domain"), have("department_domain"), F.col("_geo"), is_admin_desk(F.col("name_2")))
+    return df.withColumns({"search_term_1": one, "search_term_2": two}).drop("_geo")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomery.functions import coverage, urls
-from loomery.operators import assignment, fuzzy, graph, invariance
+from loomery.operators import assignment, enrich, fuzzy, graph, invariance
 
 
 def _read(spark, sf_dir, table):
@@ -74,7 +74,23 @@ def acronym_slots(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", a["kind"].alias("kind"), F.array_join(F.transform(a["slots"], lambda x: x.cast("string")), ",").alias("slots"))
 
 
-QUERIES = {f.__name__: f for f in (redirect_chains, run_invariance, mode_b_clusters, registry_fuzzy, page_links, host_coverage, acronym_slots)}
+def search_terms(spark, sf_dir):
+    """Terms of parts as institutions with units, in eight shapes of either."""
+    k, w = F.col("p_partkey"), F.split("p_name", " ")
+    first, second = F.get(w, F.lit(0)), F.coalesce(F.get(w, F.lit(1)), F.lit("quartz"))
+    c = k % 8
+    of = lambda *x: F.element_at(F.array(*(v if hasattr(v, "alias") else F.lit(v).cast("string") for v in x)), (c + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    name = F.concat(F.initcap(first), F.lit(" "), F.initcap(second))
+    df = _read(spark, sf_dir, "part").select(
+        "p_partkey", F.when(c == 4, F.concat(F.initcap(first), F.lit(" & "), F.initcap(second), F.lit(" Texas Group Ltd."))).when(c == 0, F.concat(F.lit("The "), name, F.lit(" GmbH"))).otherwise(name).alias("name_1"),
+        of(none, F.concat(first, F.lit(".ac.uk")), "x.org", F.concat(second, F.lit(".example.com")), none, "x.org", "x.org", "x.org").alias("domain"), of(none, none, F.upper(F.concat(F.substring(first, 1, 1), F.substring(second, 1, 1))), "ZQZ", none, none, none, none).alias("ror_acronym"),
+        of(F.concat(F.lit("Department of "), F.initcap(first)), "Accounts Payable", F.concat(name, F.lit(" Team (ABC)")), "Main Campus Austin", F.concat(F.lit("University of "), F.initcap(first)), "Chemistry Dept", "Applied Blue Chemistry", none).alias("name_2"),
+        of(none, none, none, none, none, "chem.x.org", "www.abc.x.org", "https://web.law.x.org/en").alias("department_domain"), F.lit("Austin").alias("city"), F.lit("TX").alias("region"), F.lit("US").alias("country"))
+    return enrich.search_terms(df).select("p_partkey", "search_term_1", "search_term_2")
+
+
+QUERIES = {f.__name__: f for f in (redirect_chains, run_invariance, mode_b_clusters, registry_fuzzy, page_links, host_coverage, acronym_slots, search_terms)}
 ORACLE_SQL = {
     "redirect_chains": """
 WITH k AS (SELECT o_orderkey node, o_orderkey // 1000 * 1000 base FROM orders),
@@ -111,4 +127,8 @@ z AS (
   UNION SELECT z.k, z.short, z.pos + length(e) FROM z JOIN l ON l.k = z.k, (SELECT unnest({coverage.LEGAL_ENDS}) e) WHERE starts_with(substr(label, z.pos + 1), e)),
 d AS (SELECT z.k, bool_or(NOT short) plain FROM z JOIN l ON l.k = z.k WHERE pos = length(label) GROUP BY 1)
 SELECT l.k p_partkey, CASE WHEN plain THEN 'words' WHEN plain IS NOT NULL THEN 'initials' END covered FROM l LEFT JOIN d ON d.k = l.k""",
+    "search_terms": """
+WITH p AS (SELECT p_partkey, p_partkey % 8 c, string_split(p_name, ' ')[1] a, coalesce(string_split(p_name, ' ')[2], 'quartz') b FROM part)
+SELECT p_partkey, upper(CASE c WHEN 1 THEN a WHEN 2 THEN left(a, 1) || left(b, 1) WHEN 3 THEN b || '.example' WHEN 4 THEN a || ' & ' || b WHEN 0 THEN a || ' ' || b ELSE 'x' END) search_term_1,
+  upper(CASE c WHEN 0 THEN a WHEN 1 THEN 'admin' WHEN 2 THEN 'abc' WHEN 5 THEN 'chemistry' WHEN 6 THEN 'abc' WHEN 7 THEN 'law' END) search_term_2 FROM p""",
 }
