@@ -21,7 +21,7 @@ import pyarrow as pa
 from loomery.llm.kernels import joins, pieces, utf8
 
 #: Pieces that a worker keeps, bytes of text it works on at a time, pieces that are encoded as one text.
-KEPT, SLICE_BYTES, JOINED = 1 << 19, 2 << 20, 1024
+KEPT, SLICE_BYTES, JOINED = 1 << 18, 1 << 20, 1024
 
 _loaded: dict = {}
 
