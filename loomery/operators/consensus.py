@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions import text as tx
+from loomery.functions.similarity import token_sort_ratio
 from loomery.operators.dedup import block_id, normalize_key
+from loomery.sources.scratch import staged
 
 PROPAGATED = ["name1_enriched", "ror_id", "lei_id", "domain", "website_url", "record_type"]
 LEGAL_SPELLINGS = [(r"\bincorporated\b", "inc"), (r"\bcorporation\b", "corp"), (r"\bcompany\b", "co"), (r"\blimited\b", "ltd")]
@@ -46,13 +48,27 @@ def sole(c: str, w) -> Column:
     return F.when(F.min(v).over(w) == F.max(v).over(w), F.min(v).over(w))
 
 
+def input_affinity(g: DataFrame) -> DataFrame:
+    """(_group, _form, _affinity) of the most frequent spellings where a group has several: how close each is to all names
+    that the group was supplied with (name1_original), as a sum of token-sort ratios."""
+    forms = g.filter(~tx.blank(F.col("name1_enriched"))).groupBy("_g", "name1_enriched").agg(F.count("*").alias("n"))
+    top = forms.withColumn("_most", F.max("n").over(Window.partitionBy("_g"))).filter("n = _most")
+    tied = top.withColumn("_tied", F.count("*").over(Window.partitionBy("_g"))).filter("_tied > 1").select(F.col("_g").alias("_group"), F.col("name1_enriched").alias("_form"))
+    supplied = staged(g.filter(~tx.blank(F.col("name1_original"))).groupBy("_g", "name1_original").agg(F.count("*").alias("_times")), "supplied")
+    pairs = tied.join(supplied, F.col("_group") == F.col("_g"))
+    scored = pairs.withColumn("_score", token_sort_ratio(F.lower("_form"), F.lower("name1_original")) * F.col("_times"))
+    return scored.groupBy("_group", "_form").agg(F.rint(F.sum("_score")).alias("_affinity"))
+
+
 def apply_consensus(df: DataFrame, key=normalize_key) -> DataFrame:
     """The rows of ``df`` with agreed fields, and consensus: registry, name_form, conflict or null.
 
     Needs _seq, tier_used and the propagated columns. A group of two or more
     with one registry identity takes the donor's fields (most ids, lowest tier,
     first); without any, the modal spelling of the name and what all members
-    that say something agree on; with several identities nothing is written.
+    that say something agree on; with several identities nothing is written. Of
+    spellings that are equally frequent the one closest to the supplied names (column
+    name1_original, if there is one) is taken, then that of the lowest tier, then the first.
     """
     g = consensus_groups(df, key)
     lone = F.concat(F.lit("row|"), F.col("_seq").cast("string"))
@@ -63,9 +79,12 @@ def apply_consensus(df: DataFrame, key=normalize_key) -> DataFrame:
     g = g.withColumns({"_members": F.count("*").over(w), "_conflict": several("ror_id") | several("lei_id"), "_ids": ids})
     rank = F.struct((-F.col("_ids")).alias("a"), F.coalesce("tier_used", F.lit(3)).alias("b"), F.col("_seq").alias("c"))
     donor = lambda c: F.min(F.when(F.col("_ids") > 0, F.struct(rank.alias("r"), F.col(c).alias("v")))).over(w)["v"]
-    form_count = F.count("*").over(Window.partitionBy("_g", "name1_enriched"))
-    g = g.withColumn("_forms", F.when(F.col("name1_enriched").isNotNull(), form_count))
-    modal = F.min(F.when(F.col("_forms").isNotNull(), F.struct((-F.col("_forms")).alias("a"), F.coalesce("tier_used", F.lit(3)).alias("b"), F.col("_seq").alias("c"), F.col("name1_enriched").alias("v")))).over(w)["v"]
+    form = Window.partitionBy("_g", "name1_enriched")
+    g = g.withColumns({"_forms": F.when(~tx.blank(F.col("name1_enriched")), F.count("*").over(form)), "_tier": F.min(F.coalesce("tier_used", F.lit(3))).over(form), "_first": F.min("_seq").over(form), "_affinity": F.lit(0.0)})
+    if "name1_original" in df.columns:
+        close = staged(input_affinity(g), "affinity")
+        g = g.drop("_affinity").join(close, (F.col("_g") == F.col("_group")) & (F.col("name1_enriched") == F.col("_form")), "left").fillna(0.0, ["_affinity"]).drop("_group", "_form")
+    modal = F.min(F.when(F.col("_forms").isNotNull(), F.struct((-F.col("_forms")).alias("a"), (-F.col("_affinity")).alias("b"), F.col("_tier").alias("c"), F.col("_first").alias("d"), F.col("name1_enriched").alias("v")))).over(w)["v"]
     registry = F.max("_ids").over(w) > 0
     known_type = F.when(F.col("record_type") != "unknown", F.col("record_type"))
     g = g.withColumn("_type", known_type)

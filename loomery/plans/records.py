@@ -238,7 +238,7 @@ r AS (SELECT *, CASE WHEN m < 5 THEN 1 WHEN m BETWEEN 5 AND 9 AND NOT res THEN 1
 SELECT count(*) total, count(*) FILTER (tier IS NOT NULL) enriched, 0 verified, count(*) FILTER (tier IS NULL) unresolved, count(*) FILTER (tier = 1) tier1, count(*) FILTER (tier = 2) tier2 FROM r""",
     "consensus_groups": _CONS + "SELECT record_id, group_id FROM g",
     "consensus_values": _CONS + """, m AS (SELECT *, coalesce(group_id, 'row|' || k) gg, (ror_id IS NOT NULL)::INT ids, nullif(record_type, 'unknown') ty FROM g),
-fc AS (SELECT gg, name1_enriched n, count(*) c, min({'t': tier, 'k': k}) f FROM m GROUP BY 1, 2), mo AS (SELECT gg, arg_min(n, {'c': -c, 'f': f}) modal FROM fc GROUP BY 1),
+fc AS (SELECT gg, name1_enriched n, count(*) c, {'t': min(tier), 'k': min(k)} f FROM m GROUP BY 1, 2), mo AS (SELECT gg, arg_min(n, {'c': -c, 'f': f}) modal FROM fc GROUP BY 1),
 ag AS (SELECT gg, count(*) mem, count(DISTINCT ror_id) > 1 conf, max(ids) > 0 reg, arg_min({'n': name1_enriched, 'd': "domain", 'w': website_url, 't': ty}, {'t': tier, 'k': k}) FILTER (ids > 0) dn,
   max(ror_id) ror, CASE WHEN count(DISTINCT "domain") = 1 THEN max("domain") END sd, CASE WHEN count(DISTINCT ty) = 1 THEN max(ty) END st, arg_min(website_url, k) FILTER ("domain" IS NOT NULL) sw FROM m GROUP BY 1),
 j AS (SELECT m.*, ag.*, modal, mem >= 2 AND NOT conf wr FROM m JOIN ag ON m.gg = ag.gg JOIN mo ON m.gg = mo.gg)
