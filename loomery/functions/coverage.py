@@ -7,6 +7,8 @@ no choice is final before the last word, and nothing is tried twice.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def words_of(name: Column) -> Column:
 
 def forms_of(word: Column, initials: bool) -> Column:
     """What may stand for a word: itself, its contractions, its longer beginnings and, if ``initials``, its first letter."""
-    table = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    table = F.from_json(F.lit(json.dumps(ABBREVIATIONS)), "map<string,array<string>>")  # one literal in the plan
     none = F.array().cast("array<string>")
     cut = F.when(F.length(word) >= LEAST_WORD, F.transform(F.sequence(F.lit(LEAST_PREFIX), F.greatest(F.length(word) - 1, F.lit(LEAST_PREFIX))), lambda n: F.substring(word, F.lit(1), n))).otherwise(none)
     short = F.array(F.substring(word, 1, 1)) if initials else none
@@ -50,7 +52,7 @@ def label_covered(label: Column, name: Column, initials: bool = False) -> Column
     spelt = F.aggregate(words_of(name), start, lambda at, w: _reach(label, at, forms_of(w, initials)))
     begun = F.filter(spelt, lambda p: p > 0)
     rounds = F.sequence(F.lit(1), F.greatest(F.floor(F.length(label) / 2).cast("int"), F.lit(1)))  # the shortest legal form has two letters
-    closed = F.aggregate(rounds, begun, lambda at, _: _reach(label, at, F.array(*map(F.lit, LEGAL_ENDS))))
+    closed = F.aggregate(rounds, begun, lambda at, _: _reach(label, at, F.split(F.lit(" ".join(LEGAL_ENDS)), " ")))
     return F.coalesce((label != "") & F.array_contains(closed, F.length(label)), F.lit(False))
 
 

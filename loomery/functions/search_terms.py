@@ -12,6 +12,8 @@ identifies is null.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,11 +32,15 @@ PREFIXES = ["department of", "dept of", "dept.", "division of", "div of", "div."
 SUFFIXES = ["department", "division", "school", "institute", "centre", "center", "laboratory", "lab", "group"]
 TWO_PART_ENDINGS = "co.uk ac.uk org.uk ac.jp co.jp com.au edu.au org.au ac.in co.in com.br org.br edu.br ac.nz co.nz ac.za co.za".split()
 BRACKETED = r"\(([A-Z][A-Z0-9&\-]{1,9})\)\s*$"
-CONNECTORS = ["&", "of", "for"]
 
 WIDTH = 32
 
 
+def among(c: Column, words: list[str]) -> Column:
+    """One of the words; the list is one literal in the plan."""
+    return F.array_contains(F.split(F.lit("\n".join(words)), "\n"), c)
+
+
 def key_of(token: Column) -> Column:
     return F.lower(F.regexp_replace(token, r"^[ .,;:()\[\]{}\"']+|[ .,;:()\[\]{}\"']+$", ""))
 
@@ -44,15 +50,15 @@ def geo_words(city: Column, region: Column, country: Column, regions: dict[str,
     low = lambda c: F.trim(F.lower(F.coalesce(c, F.lit(""))))
     whole = [low(c) for c in (city, region, country)]
     if regions:
-        table = F.create_map(*[F.lit(x) for kv in regions.items() for x in kv])
+        table = F.from_json(F.lit(json.dumps(regions)), "map<string,string>")  # one literal in the plan
         whole += [F.coalesce(table[F.regexp_replace(c, r"^[. ]+|[. ]+$", "")], F.lit("")) for c in whole]
     return F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(c, F.lit("([a-z]{2,})"), F.lit(1)) for c in whole))))
 
 
 def identifies(token: Column, before: Column, geo: Column) -> Column:
     """A word that narrows a search; behind 'of' or 'for' any word of two letters does."""
-    known = F.array(*map(F.lit, sorted({*LEGAL, *UNITS, *FACILITY, *CORPORATE, *PLACES, *STOP, *FUNCTION})))
-    return tx.let(key_of(token), lambda k: k.rlike(r"\p{L}") & (F.length(k) > 1) & (F.coalesce(key_of(before).isin("of", "for"), F.lit(False)) | ~(F.array_contains(known, k) | F.array_contains(geo, k))))
+    known = sorted({*LEGAL, *UNITS, *FACILITY, *CORPORATE, *PLACES, *STOP, *FUNCTION})
+    return tx.let(key_of(token), lambda k: k.rlike(r"\p{L}") & (F.length(k) > 1) & (F.coalesce(key_of(before).isin("of", "for"), F.lit(False)) | ~(among(k, known) | F.array_contains(geo, k))))
 
 
 def _tokens(text: Column) -> Column:
@@ -67,9 +73,9 @@ def two_terms(text: Column, geo: Column) -> Column:
     """The head of a text and the next word that identifies something, with the connector right between them."""
     def cut(ts: Column) -> Column:
         numbers = F.transform(ts, lambda _, k: k)
-        head = F.get(F.filter(numbers, lambda k: tx.let(key_of(F.get(ts, k)), lambda x: x.rlike(r"\p{L}") & ~x.isin([*STOP, *LEGAL]))), F.lit(0))
+        head = F.get(F.filter(numbers, lambda k: tx.let(key_of(F.get(ts, k)), lambda x: x.rlike(r"\p{L}") & ~among(x, [*STOP, *LEGAL]))), F.lit(0))
         second = lambda h: F.get(F.filter(numbers, lambda k: (k > h) & identifies(F.get(ts, k), F.get(ts, k - 1), geo)), F.lit(0))
-        joined = lambda h, s: F.concat_ws(" ", F.get(ts, h), F.when((s == h + 2) & key_of(F.get(ts, h + 1)).isin(CONNECTORS), F.get(ts, h + 1)), F.get(ts, s))
+        joined = lambda h, s: F.concat_ws(" ", F.get(ts, h), F.when((s == h + 2) & key_of(F.get(ts, h + 1)).isin("&", "of", "for"), F.get(ts, h + 1)), F.get(ts, s))
         return tx.let(head, lambda h: tx.let(second(h), lambda s: F.when(s.isNull(), F.get(ts, h)).otherwise(joined(h, s))))
 
     return tx.let(_tokens(text), cut)
@@ -84,22 +90,22 @@ def normalised(term: Column, geo: Column) -> Column:
 def without_ending(host: Column) -> Column:
     """A host without its last label, or the last two where they are one ending; a single label stays."""
     parts = F.split(F.lower(F.trim(host)), r"\.")
-    n = F.when((F.size(parts) >= 3) & F.concat_ws(".", F.get(parts, F.size(parts) - 2), F.get(parts, F.size(parts) - 1)).isin(TWO_PART_ENDINGS), 2).when(F.size(parts) >= 2, 1).otherwise(0)
+    n = F.when((F.size(parts) >= 3) & among(F.concat_ws(".", F.get(parts, F.size(parts) - 2), F.get(parts, F.size(parts) - 1)), TWO_PART_ENDINGS), 2).when(F.size(parts) >= 2, 1).otherwise(0)
     return F.nullif(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - n), "."), F.lit(""))
 
 
 def name_handle(name: Column) -> Column:
     """A name's words without legal forms; an '&' stays between two of them."""
     bare = F.transform(_tokens(name), lambda t: F.regexp_replace(t, r"^[ ,.;:()\[\]{}\"']+|[ ,.;:()\[\]{}\"']+$", ""))
-    kept = F.filter(bare, lambda t: (t == "&") | (t.rlike(r"[\p{L}\p{N}]") & ~F.lower(t).isin(LEGAL)))
+    kept = F.filter(bare, lambda t: (t == "&") | (t.rlike(r"[\p{L}\p{N}]") & ~among(F.lower(t), LEGAL)))
     return F.nullif(F.regexp_replace(F.array_join(kept, " "), r"^(?:& ?)+|(?: ?&)+$", ""), F.lit(""))
 
 
 def unit_phrase(name: Column) -> Column:
     """A unit's name without the words that only say it is one at its beginning and end; null if nothing is left."""
     t = F.trim(name)
-    cut = F.when(F.lower(t).isin(PREFIXES), "").otherwise(F.regexp_replace(t, rf"(?i)^(?:{'|'.join(p.replace('.', '[.]') for p in PREFIXES)})\s+", ""))
-    cut = F.when(F.lower(cut).isin(SUFFIXES), "").otherwise(F.trim(F.regexp_replace(cut, rf"(?i)\s(?:{'|'.join(SUFFIXES)})$", "")))
+    cut = F.when(among(F.lower(t), PREFIXES), "").otherwise(F.regexp_replace(t, rf"(?i)^(?:{'|'.join(p.replace('.', '[.]') for p in PREFIXES)})\s+", ""))
+    cut = F.when(among(F.lower(cut), SUFFIXES), "").otherwise(F.trim(F.regexp_replace(cut, rf"(?i)\s(?:{'|'.join(SUFFIXES)})$", "")))
     return F.nullif(cut, F.lit(""))
 
 
@@ -110,9 +116,9 @@ def is_unit_phrase(name: Column) -> Column:
 
 def unit_words(text: Column) -> Column:
     """Words that name a unit, as many as fit, without unit words and stop words."""
-    left = F.filter(_tokens(text), lambda t: ~F.lower(F.regexp_replace(t, r"^[ .,\-()]+|[ .,\-()]+$", "")).isin(UNITS))
+    left = F.filter(_tokens(text), lambda t: ~among(F.lower(F.regexp_replace(t, r"^[ .,\-()]+|[ .,\-()]+$", "")), UNITS))
     words = F.regexp_extract_all(F.array_join(left, " "), F.lit(r"([A-Za-z0-9&\-]+)"), F.lit(1))
-    kept = F.filter(words, lambda t: ~F.lower(t).isin([s for s in STOP if s != "&"]))
+    kept = F.filter(words, lambda t: ~among(F.lower(t), STOP[:-1]))
     fits = lambda out, t: F.when(out == "", F.when(t == "&", out).otherwise(t)).when(F.length(out) + 1 + F.length(t) <= WIDTH, F.concat(out, F.lit(" "), t)).otherwise(out)
     return F.nullif(F.regexp_replace(F.aggregate(kept, F.lit(""), fits), r"(?: &)+$", ""), F.lit(""))
 
@@ -131,7 +137,7 @@ def subdomain_acronym(domain: Column, base: Column, name: Column) -> Column:
     """The first label under the institution's domain, where it is the acronym of the unit and no cut word of it."""
     prefix = F.get(F.split(below(domain, base), r"\."), F.lit(0))
     core = F.coalesce(unit_phrase(name), name)
-    words = F.filter(F.regexp_extract_all(F.lower(core), F.lit("([a-z]+)"), F.lit(1)), lambda w: ~w.isin(STOP))
+    words = F.filter(F.regexp_extract_all(F.lower(core), F.lit("([a-z]+)"), F.lit(1)), lambda w: ~among(w, STOP))
     cut = F.exists(words, lambda w: tx.segment_matches(prefix, w))
     return F.when(F.length(prefix).between(2, 6) & ~cut & tx.acronym_matches(prefix, core), F.upper(prefix))
 
@@ -147,6 +153,6 @@ def search_term_2(name: Column, domain: Column, unit_domain: Column, geo: Column
     foreign = (tx.looks_like_research(name) & ~is_unit_phrase(name)) | (trade_name if trade_name is not None else F.lit(False))
     unit = F.when(~foreign & has_identifying_word(name, geo), tx.nullify(name))
     site = F.coalesce(below(unit_domain, domain), without_ending(site_of(unit_domain)), site_of(unit_domain))
-    plain = F.when(~F.regexp_replace(F.lower(site), r"^[ ./\-]+|[ ./\-]+$", "").isin([*UNITS, *GENERIC_PATHS]), F.nullif(site, F.lit("")))
+    plain = F.when(~among(F.regexp_replace(F.lower(site), r"^[ ./\-]+|[ ./\-]+$", ""), [*UNITS, *GENERIC_PATHS]), F.nullif(site, F.lit("")))
     found = F.coalesce(subdomain_acronym(unit_domain, domain, unit), F.nullif(F.regexp_extract(unit, BRACKETED, 1), F.lit("")), unit_words(F.coalesce(unit_phrase(unit), unit)), plain)
     return normalised(F.when(unit.isNotNull() & desk, "ADMIN").otherwise(found), geo)

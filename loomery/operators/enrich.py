@@ -262,7 +262,7 @@ def search_terms(df: DataFrame) -> DataFrame:
     city, region and country where ``df`` has them: at most two words each, upper case, 32 wide."""
     have = lambda *names: next((F.col(c).cast("string") for c in names if c in df.columns), F.lit(None).cast("string"))
     regions = {k: v.lower() for k, v in STATES.items() if len(k) == 2}
-    states = F.array(*(F.lit(v) for v in sorted(set(regions.values())) if " " not in v))
+    states = F.split(F.lit(" ".join(v for v in sorted(set(regions.values())) if " " not in v)), " ")
     df = df.withColumn("_geo", F.array_union(st.geo_words(have("city"), have("region", "state"), have("country"), regions), states))
     one = st.search_term_1(F.col("name_1"), have("domain"), have("ror_acronym"), F.col("_geo"))
     two = st.search_term_2(F.col("name_2"), have("domain"), have("department_domain"), F.col("_geo"), is_admin_desk(F.col("name_2")))

@@ -79,7 +79,8 @@ def is_admin_desk(c: Column) -> Column:
     core = F.regexp_replace(F.regexp_replace(text, rf"^(?:(?:{'|'.join(QUALIFIERS)}) )+(?=.)", ""), rf"(?<=.)(?: (?:{'|'.join(GENERIC_ENDS)}))+$", "")
     desks = sorted({_desk_core(d.split()) for d in DESKS} | {"a/p", "a/r"})
     phrases = [" ".join(map(_stem, p.split())) for p in DESK_PHRASES]
-    return (text != "") & (stemmed(F.split(core, " ")).isin(desks) | stemmed(words).isin(phrases))
+    listed = lambda names: F.split(F.lit("\n".join(names)), "\n")
+    return (text != "") & (F.array_contains(listed(desks), stemmed(F.split(core, " "))) | F.array_contains(listed(phrases), stemmed(words)))
 
 
 def in_order(fields: Column) -> Column:
