@@ -9,7 +9,8 @@ padded tokens are formed.
 
 The boundaries are optimal for every corpus: each length has its own cell.
 Lengths that differ sum to at most all tokens T, so there are at most sqrt(2 T)
-cells (9 million for 40 trillion tokens, some 100 MB); they alone reach the
+cells (9 million for 40 trillion tokens, at some 300 bytes of the driver
+each); they alone reach the
 driver. For one more bucket the best choice up to each cell is the lowest of
 lines in the cell's length, kept as a lower envelope, so the programme takes
 buckets x cells steps.
@@ -25,6 +26,7 @@ their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -56,7 +58,7 @@ def best_buckets(lengths: list[int], counts: list[int], buckets: int) -> tuple[l
     best: list[int | None] = [0] + [None] * m
     back = []
     for _ in range(min(buckets, m)):
-        now, at = best.copy(), [-1] * (m + 1)
+        now, at = best.copy(), array("i", [-1]) * (m + 1)
         lines: list[tuple[int, int, int]] = []  # (slope, height, i), slopes falling
         low = 0
         for j in range(1, m + 1):
