@@ -34,8 +34,12 @@ RATE, PULL = 4, 6
 TOP, BOTTOM, WINDOW = np.uint64(1 << 32), np.uint64(1 << 16), np.uint64((1 << 48) - 1)
 SHIFT = np.uint64(16)
 
-#: Running sums of 16 counts by one product; they are below 65536, so exact in float32.
-_UP_TO = np.triu(np.ones((16, 16), np.float32))
+#: What a nibble adds to the running sums of its node; sums stay below 65536.
+_ADDS = np.triu(np.full((16, 16), STEP, np.uint16))
+#: A node's sums as one item, so that numpy moves them at once.
+_ROW = np.dtype((np.void, 32))
+#: The product's highest byte is the sum of all bytes.
+_ONES, _HIGH = np.uint64(0x0101010101010101), np.uint64(56)
 _P = (np.arange(4096) + 0.5) / 4096
 #: log-odds of a 12-bit chance, in 256ths, and back.
 STRETCH = np.clip(np.rint(256 * np.log(_P / (1 - _P))), -2047, 2047).astype(np.int64)
@@ -50,20 +54,22 @@ class _Encoder:
         self.words, self.at = np.zeros((lanes, steps + 16), np.uint16), np.zeros(lanes, np.int64)
 
     def bit(self, lanes: np.ndarray, chance: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        self.narrow(lanes, self.wide[lanes] >> SHIFT, np.where(bit, 0, chance), np.where(bit, chance, 65536 - chance))
+        self.narrow(lanes, self.wide.take(lanes) >> SHIFT, np.where(bit, 0, chance), np.where(bit, chance, 65536 - chance))
         return bit
 
-    def nibble(self, lanes: np.ndarray, counts: np.ndarray, sums: np.ndarray, nibble: np.ndarray) -> np.ndarray:
-        row = np.arange(len(lanes))
-        share = counts[row, nibble]
-        self.narrow(lanes, self.wide[lanes] // sums[:, 15].astype(np.uint64), sums[row, nibble] - share, share)
-        return nibble
+    def nibble(self, lanes: np.ndarray, sums: np.ndarray, nibble: np.ndarray, unit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Code a nibble by its node's running sums; the nibble and its count."""
+        at, flat = np.arange(0, 16 * len(lanes), 16) + nibble, sums.reshape(-1)
+        start = np.where(nibble > 0, flat.take(at - 1), np.uint16(0))
+        share = flat.take(at) - start
+        self.narrow(lanes, self.wide.take(lanes) // sums[:, 15] if unit is None else unit, start, share)
+        return nibble, share
 
     def narrow(self, lanes: np.ndarray, unit: np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
-        low, wide = self.low[lanes] + unit * start.astype(np.uint64), unit * share.astype(np.uint64)
+        low, wide = self.low.take(lanes) + unit * start.astype(np.uint64), unit * share.astype(np.uint64)
         self.low[lanes], self.wide[lanes] = low, wide
         some = np.flatnonzero(((low ^ (low + wide)) < TOP) | (wide < BOTTOM))
-        lanes, low, wide = lanes[some], low[some], wide[some]
+        lanes, low, wide = lanes.take(some), low.take(some), wide.take(some)
         while len(lanes):
             cut = (low ^ (low + wide)) >= TOP  # too narrow and still unsettled: give up a part
             wide[cut] = (~low[cut] + np.uint64(1)) & (BOTTOM - np.uint64(1))
@@ -100,13 +106,15 @@ class _Decoder(_Encoder):
         self.at[:] = 3
 
     def bit(self, lanes: np.ndarray, chance: np.ndarray, bit: None) -> np.ndarray:
-        place = (self.code[lanes] - self.low[lanes]) // (self.wide[lanes] >> SHIFT)
+        place = (self.code.take(lanes) - self.low.take(lanes)) // (self.wide[lanes] >> SHIFT)
         return super().bit(lanes, chance, place < chance.astype(np.uint64))
 
-    def nibble(self, lanes: np.ndarray, counts: np.ndarray, sums: np.ndarray, nibble: None) -> np.ndarray:
-        place = (self.code[lanes] - self.low[lanes]) // (self.wide[lanes] // sums[:, 15].astype(np.uint64))
-        place = np.minimum(place, sums[:, 15].astype(np.uint64) - np.uint64(1)).astype(np.int64)
-        return super().nibble(lanes, counts, sums, (sums <= place[:, None]).sum(axis=1))
+    def nibble(self, lanes: np.ndarray, sums: np.ndarray, nibble: None, unit: None = None) -> tuple[np.ndarray, np.ndarray]:
+        unit = self.wide.take(lanes) // sums[:, 15]
+        place = np.minimum((self.code.take(lanes) - self.low.take(lanes)) // unit, sums[:, 15] - np.uint16(1)).astype(np.uint16)
+        below = (sums <= place[:, None]).view(np.uint64)  # eight flags of one byte each
+        nibble = ((below[:, 0] + below[:, 1]) * _ONES >> _HIGH).astype(np.int64)
+        return super().nibble(lanes, sums, nibble, unit)
 
     def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
         at = np.minimum(self.at[lanes], self.words.shape[1] - 1)
@@ -120,18 +128,20 @@ class _Model:
     def __init__(self, lanes: int):
         self.one, self.two, self.last = (np.zeros(lanes, np.int64) for _ in range(3))
         self.slots_1, self.slots_2 = np.zeros(lanes * SLOTS_1, np.int32), np.zeros(lanes * SLOTS_2, np.int32)
-        self.tree = np.ones((lanes * NODES, 16), np.uint16)
+        self.tree = np.empty((lanes * NODES, 16), np.uint16)  # running sums of counts
+        self.tree[:] = np.arange(1, 17)
         self.chances = np.full(lanes * CONTEXTS, 1 << 15, np.int32)
-        self.weights = np.full((lanes * 2, 3), 26_000, np.int64)
+        self.weights = np.full(3 * 2 * lanes, 26_000, np.int64)  # of the three estimates, one after the other
+        self.by_estimate = np.arange(0, 6 * lanes, 2 * lanes)[:, None]
 
     def code(self, coder: _Encoder, lanes: np.ndarray, want: np.ndarray | None) -> np.ndarray:
         """Code the next id of some lanes, known or (``want`` None) to be read."""
-        one, two = self.one[lanes], self.two[lanes]
+        one, two = self.one.take(lanes), self.two.take(lanes)
         at_1 = lanes * SLOTS_1 + (one * 40503 >> 2 & SLOTS_1 - 1)
         both = one * 40503 + two * 2654435761 & 0xFFFFFFFF
         at_2 = lanes * SLOTS_2 + (both >> 15 & SLOTS_2 - 1)
         check = both >> 4 & 0x7FF
-        slot_1, slot_2 = self.slots_1[at_1].astype(np.int64), self.slots_2[at_2].astype(np.int64)
+        slot_1, slot_2 = self.slots_1.take(at_1).astype(np.int64), self.slots_2.take(at_2).astype(np.int64)
         id_1, sure_1 = slot_1 & 0xFFFF, slot_1 >> 16
         id_2, sure_2 = slot_2 & 0xFFFF, np.where(slot_2 >> 20 == check, slot_2 >> 16 & 15, 0)
         top = sure_2 > 0
@@ -158,31 +168,32 @@ class _Model:
     def flag(self, coder: _Encoder, lanes: np.ndarray, kind: np.ndarray, sure_2: np.ndarray, sure_1: np.ndarray, agree: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
         if not len(lanes):
             return np.zeros(0, bool)
-        base, last = lanes * CONTEXTS, self.last[lanes]
-        at = np.stack([base + sure_2 * 3 + agree, base + BY_ORDER + sure_1 * 3 + agree, base + 2 * BY_ORDER + last * 2 + kind])
-        chance = self.chances[at]
-        odds = STRETCH[chance >> 4]
-        row = lanes * 2 + kind
-        weights = self.weights[row].T
-        mixed = SQUASH[np.clip((weights * odds).sum(axis=0) >> 16, -2047, 2047) + 2047]
+        last, at = self.last.take(lanes), np.empty((3, len(lanes)), np.int64)
+        at[0], at[1], at[2] = sure_2 * 3 + agree, sure_1 * 3 + (agree + BY_ORDER), last * 2 + (kind + 2 * BY_ORDER)
+        at += lanes * CONTEXTS
+        chance = self.chances.take(at)
+        odds = STRETCH.take(chance >> 4)
+        own = lanes * 2 + kind + self.by_estimate
+        weights = self.weights.take(own)
+        mixed = SQUASH.take(np.clip((weights * odds).sum(axis=0) >> 16, -2047, 2047) + 2047)
         bit = coder.bit(lanes, mixed << 4, bit)
-        self.weights[row] = (weights + (odds * ((bit << 12) - mixed) * PULL >> 10)).T
+        self.weights[own] = weights + (odds * ((bit << 12) - mixed) * PULL >> 10)
         self.chances[at] = chance + ((bit * 65535 - chance) >> RATE)
         self.last[lanes] = (last << 1 | bit) & 15
         return bit
 
     def literal(self, coder: _Encoder, lanes: np.ndarray, want: np.ndarray | None) -> np.ndarray:
-        node, tree = np.zeros(len(lanes), np.int64), self.tree.reshape(-1)
+        node, base, rows = np.zeros(len(lanes), np.int64), lanes * NODES, self.tree.view(_ROW).reshape(-1)
         for shift in (12, 8, 4, 0):
-            at = lanes * NODES + node
-            counts = self.tree[at]
-            nibble = coder.nibble(lanes, counts, counts.astype(np.float32) @ _UP_TO, None if want is None else want >> shift & 15)
-            place = at * 16 + nibble
-            now = tree[place] + np.uint16(STEP)
-            tree[place] = now
-            if now.max() > MOST:
-                full = at[now > MOST]
-                self.tree[full] = self.tree[full] + 1 >> 1
+            at = base + node
+            sums = rows.take(at).view(np.uint16).reshape(-1, 16)
+            nibble, count = coder.nibble(lanes, sums, None if want is None else want >> shift & 15)
+            sums += _ADDS.take(nibble, axis=0)
+            full = np.flatnonzero(count > MOST - STEP)
+            if len(full):
+                counts = np.diff(sums[full], axis=1, prepend=np.uint16(0))
+                sums[full] = np.cumsum(counts + np.uint16(1) >> 1, axis=1, dtype=np.uint16)
+            rows[at] = sums.view(_ROW).reshape(-1)
             node = node * 16 + nibble + 1
         return node - 0x1111  # each nibble added one to its node
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from loomery.llm import exact_dedup, kernels, lm_score, media, mixing, near_dup, packing, pieces, queries, token_counts, token_files, toxicity, transducers
+from loomery.llm import exact_dedup, kernels, lm_score, media, mixing, near_dup, packing, pieces, queries, range_coder, token_counts, token_files, toxicity, transducers
 from loomery.llm.range_coder import checksum, decode, encode
 
 SF = "/root/testdata/sf0.001"
@@ -351,6 +351,30 @@ def test_range_coder_round_trips():
     assert encode([blocks[4]])[0] == coded[4]  # a block doesn't depend on the others
 
 
+def test_order_0_tree_keeps_running_sums():
+    """A step of the coder reads its nodes' sums and adds to them; they are those of the counts, halvings too."""
+    ids = np.random.default_rng(6).zipf(1.2, 3000) % 3000
+    model, coder = range_coder._Model(1), range_coder._Encoder(1, 3000)
+    counts = {}
+    for i in ids.tolist():
+        model.literal(coder, np.zeros(1, np.int64), np.array([i]))
+        node = 0
+        for shift in (12, 8, 4, 0):
+            own, nibble = counts.setdefault(node, [1] * 16), i >> shift & 15
+            own[nibble] += range_coder.STEP
+            if own[nibble] > range_coder.MOST:
+                own[:] = [c + 1 >> 1 for c in own]
+            node = node * 16 + nibble + 1
+    assert all(model.tree[k].tolist() == list(itertools.accumulate(own)) for k, own in counts.items())
+    assert sum(counts[0]) < len(ids) * range_coder.STEP  # some were halved
+
+
+def test_coded_bytes_stay():
+    """Files written before are read: the bytes of a block are those of the first format."""
+    ids = np.random.default_rng(3).zipf(1.3, 4096) % 50257
+    assert zlib.crc32(encode([ids])[0]) == 3745096573
+
+
 def test_token_files(spark):
     docs = documents(spark)
     tk = token_counts.tokenizer(token_counts.TOKENIZER)
