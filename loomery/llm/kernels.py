@@ -110,13 +110,14 @@ def shaped_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = NOT_B
     for a, b in _cuts(data, offsets, word):
         part = data[a:b]
         inside = word[part]
-        edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        opens, closes = inside.copy(), inside.copy()
+        opens[1:] &= ~inside[:-1]
+        closes[:-1] &= ~inside[1:]
         row = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "left")] - a
         row = row[(row > 0) & (row < b - a)]
         row = row[inside[row - 1] & inside[row]]
-        if len(row):  # a document ends and the next begins without a blank
-            starts, ends = np.union1d(starts, row), np.union1d(ends, row)
+        opens[row], closes[row - 1] = True, True  # a document ends and the next begins without a blank
+        starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         if not len(starts):
             continue
         shape = ~ALNUM[part[ends - 1]] + 2 * (ends - starts > 6)

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.kernels import ASCII_LOWER, NOT_BLANK, shaped_words, text_slices, utf8
+from loomery.llm.kernels import ASCII_LOWER, NOT_BLANK, give_back, shaped_words, text_slices, utf8
 from loomery.llm.shared import stage, text_of
 
 CLASSES, SHAPES = 48, 8
@@ -58,6 +58,8 @@ LEAST = 5
 BUCKET_WORDS, BUCKET_TOKENS = 500_000, 2_000_000
 #: Buckets of a small corpus; a document has a row in each bucket that it has rare words of.
 BUCKETS = 16
+#: Pairs of a word and the class before it, or rare tokens, that a task works on at a time.
+PAIRS, RARE = 1 << 15, 1 << 18
 #: Bytes of text that a task counts together.
 PIECE = 4 << 20
 
@@ -187,6 +189,8 @@ def _count_classes(classes: np.ndarray):
         both = np.concatenate([sides[k].reshape(-1, ALL) for k in range(2)], axis=1)
         some = np.flatnonzero(both.any(axis=1))
         yield _counted([-1 - TaskContext.get().partitionId() % 64, *some.tolist()], [moves, *both[some]])
+        del sides, both
+        give_back()
 
     return run
 
@@ -202,6 +206,8 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = np.frombuffer(c.as_py(), np.int64)
             sums[w] = sums[w] + part if w in sums else part
     yield _counted(list(sums), list(sums.values()))
+    sums.clear()
+    give_back()
 
 
 def class_counts(ids: DataFrame, classes: np.ndarray) -> tuple[DataFrame, np.ndarray]:
@@ -313,6 +319,11 @@ def _by_bucket(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, b
     return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), struct)
 
 
+def runs(items: np.ndarray, sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """The items in runs whose sizes sum to about ``most``, one item at least."""
+    return [r for r in np.split(items, np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // most)) + 1) if len(r)]
+
+
 def _flat(table: pa.Table, *columns: str) -> list[np.ndarray]:
     return [table.column(c).combine_chunks().flatten().to_numpy() for c in columns]
 
@@ -334,19 +345,23 @@ def _tail_classes(core_moves: np.ndarray):
         n = np.add.reduceat(times, word)
         kind = np.full(len(word), -1)
         often = np.flatnonzero(n >= LEAST)
-        for a in range(0, len(often), 4096):
-            some = often[a : a + 4096]
+        for some in runs(often, size[often], PAIRS):
             count = size[some]
             at = np.repeat(word[some] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             base = into[codes[at] // SHAPES]
             gain = np.add.reduceat(xlogx(base + times[at][:, None]) - xlogx(base), np.cumsum(count) - count)
             kind[some] = (gain - xlogx(held + n[some][:, None]) + xlogx(held)).argmax(axis=1)
         by_pair = np.repeat(kind, size)
-        column = np.where(by_pair >= 0, by_pair, CLASSES + codes % SHAPES)
-        moves = np.bincount(codes // SHAPES * ALL + column, times, minlength=ALL * ALL).astype(np.int64)
+        into_class = np.where(by_pair >= 0, by_pair, CLASSES + codes % SHAPES)
+        moves = np.bincount(codes // SHAPES * ALL + into_class, times, minlength=ALL * ALL).astype(np.int64)
         shapes = np.bincount((codes[word] % SHAPES)[kind < 0], minlength=SHAPES)
         sums = [None] * len(word) + [np.concatenate((moves, shapes)).tobytes()]
-        return pa.table({"hash": pa.array([*hashes[word].tolist(), None], pa.int64()), "n": pa.array([*n.tolist(), None], pa.int64()), "class": pa.array([*kind.tolist(), None], pa.int32()), "sums": pa.array(sums, pa.binary())})
+        last = np.arange(len(word) + 1) == len(word)
+        column = lambda x, kind: pa.array(np.append(x, 0), kind, mask=last)
+        found = pa.table({"hash": column(hashes[word], pa.int64()), "n": column(n, pa.int64()), "class": column(kind, pa.int32()), "sums": pa.array(sums, pa.binary())})
+        del hashes, codes, times, order, pair, by_pair
+        give_back()
+        return found
 
     return run
 
@@ -425,6 +440,12 @@ def _meet(model: Model):
         own = words.column("hash").to_numpy()
         order = np.argsort(own)
         own, n, by = np.append(own[order], 0), np.append(words.column("n").to_numpy()[order], 0), np.append(words.column("class").to_numpy()[order], -1)
+        sizes = np.diff(tokens.column("hashes").combine_chunks().offsets.to_numpy())
+        parts = [met(tokens.slice(int(r[0]), len(r)), own, n, by, move, total) for r in runs(np.arange(len(sizes)), sizes, RARE)]
+        give_back()
+        return pa.concat_tables(parts or [met(tokens, own, n, by, move, total)])
+
+    def met(tokens: pa.Table, own: np.ndarray, n: np.ndarray, by: np.ndarray, move: np.ndarray, total: float) -> pa.Table:
         hashes, codes, times = _flat(tokens, "hashes", "codes", "times")
         size = np.diff(tokens.column("hashes").combine_chunks().offsets.to_numpy())
         row = np.repeat(np.arange(len(size)), size)

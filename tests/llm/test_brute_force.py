@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -204,6 +206,30 @@ def lm_hash(words):
     return dict(zip(words, zip(hashes.tolist(), shapes.tolist(), strict=True), strict=True))
 
 
+def test_words_where_documents_touch():
+    """Words end where a document ends, also if the next begins without a blank, empty ones between them."""
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        texts = ["".join(rng.choice(list("ab é\n."), rng.integers(0, 9))) for _ in range(rng.integers(1, 30))]
+        want = [(k, w) for k, t in enumerate(texts) for w in lm_tokens(t)]
+        own = lm_hash(list({w for _, w in want})) if want else {}
+        found = [x for part in kernels.shaped_words(*kernels.utf8(pa.array(texts))) for x in zip(*map(np.ndarray.tolist, part), strict=True)]
+        assert found == [(k, *own[w]) for k, w in want]
+
+
+def test_many_documents_cost_what_one_does():
+    """Cutting a megabyte into words takes little longer if it is a few hundred documents that touch."""
+    data = np.frombuffer(("".join(f"w{k * k % 99991} " for k in range(200_000)))[: 1 << 20].encode(), np.uint8)
+    taken = {}
+    for step in (len(data), 3333):
+        offsets = np.append(np.arange(0, len(data), step), len(data))
+        for _ in range(7):
+            begin = time.process_time()
+            list(kernels.shaped_words(data, offsets))
+            taken[step] = min(taken.get(step, 1e9), time.process_time() - begin)
+    assert taken[3333] < 2 * taken[len(data)]
+
+
 @pytest.mark.parametrize("tables", [(1 << 20, 1 << 16), (1 << 12, 1 << 8)])
 def test_lm_scores_by_hand(spark, monkeypatch, tables):
     """Every score again in plain Python, from the classes that were learned."""
@@ -245,6 +271,25 @@ def test_lm_scores_by_hand(spark, monkeypatch, tables):
     assert gained > 0
 
 
+def test_classes_of_a_bucket_in_bounded_memory():
+    """Words that have met all classes: what a task holds doesn't grow with 4096 of them; classes are the best by hand."""
+    rng = np.random.default_rng(12)
+    n, codes = 3000, np.arange(lm_score.ALL) * lm_score.SHAPES
+    hashes, moves = np.sort(rng.integers(0, 1 << 62, n)), rng.integers(1, 999, (lm_score.ALL, lm_score.ALL))
+    times = rng.integers(1, 9, n * len(codes))
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(times)], pa.int32()), x) for x in (pa.array(np.repeat(hashes, len(codes))), pa.array(np.tile(codes, n).astype(np.int16)), pa.array(times.astype(np.int32)))]
+    tracemalloc.start()
+    found = lm_score._tail_classes(moves)(pa.table(lists, ["hashes", "codes", "times"])).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    into = moves[:, : lm_score.CLASSES].astype(float)
+    for k in range(0, n, 100):
+        own = times.reshape(n, -1)[k][:, None]
+        gain = (lm_score.xlogx(into + own) - lm_score.xlogx(into)).sum(axis=0) - lm_score.xlogx(into.sum(axis=0) + own.sum()) + lm_score.xlogx(into.sum(axis=0))
+        assert (found[k]["hash"], found[k]["n"], found[k]["class"]) == (hashes[k], own.sum(), gain.argmax())
+
+
 def test_exchange_raises_the_likelihood(spark):
     """Words of two kinds that alternate end in classes that tell them apart, and the
     class chosen for a word is the best of all by the likelihood itself."""
