@@ -32,7 +32,7 @@ from loomery.llm.range_coder import BLOCK, checksum, decode, encode
 from loomery.llm.shared import scratch_path, text_of
 from loomery.llm.token_counts import TOKENIZER
 
-LANES, END_ID = 1024, 0
+LANES, END_ID = 2048, 0
 #: Bytes of text that a file has at most, about, and that suffice for one while cores are free.
 MOST_BYTES, LEAST_BYTES = 256 << 20, 4 << 20
 SEGMENT = "part int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, checks array<long>, blocks array<binary>"
@@ -83,7 +83,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
             sizes = [min(BLOCK, row["n_ids"] - a) for a in range(0, row["n_ids"], BLOCK)]
-            ids = [d.astype(np.uint32) for a in range(0, len(sizes), LANES) for d in decode(row["blocks"][a : a + LANES], sizes[a : a + LANES])]
+            ids = [d for a in range(0, len(sizes), LANES) for d in decode(row["blocks"][a : a + LANES], sizes[a : a + LANES])]
             for no, (block, check) in enumerate(zip(ids, row["checks"], strict=True)):
                 if checksum(block) != check:
                     raise ValueError(f"block {no} of segment {row['part']}/{row['segment']} is damaged")

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import sys
 import time
 import tracemalloc
 import zlib
@@ -420,6 +421,34 @@ def test_coded_bytes_stay():
     assert zlib.crc32(encode([ids])[0]) == 3745096573
 
 
+def calls_made(run):
+    """The calls that a run makes, those into numpy too."""
+    made, ours = [0], sys.getprofile()
+    sys.setprofile(lambda frame, event, arg: made.__setitem__(0, made[0] + (event in ("call", "c_call"))))
+    try:
+        found = run()
+    finally:
+        sys.setprofile(ours)
+    return found, made[0]
+
+
+def test_a_step_of_the_coder_is_few_calls():
+    """Lanes share the calls of a step, whose cost is most of coding when there are too many of them."""
+    blocks = list((np.random.default_rng(8).zipf(1.3, (64, 400)) % 50257).astype(np.uint16))
+    coded, to_write = calls_made(lambda: encode(blocks))
+    found, to_read = calls_made(lambda: decode(coded, [400] * 64))
+    assert all((a == b).all() for a, b in zip(blocks, found, strict=True))
+    assert to_write < 260 * 400 and to_read < 340 * 400, (to_write / 400, to_read / 400)
+
+
+def test_uneven_blocks_are_coded_as_each_alone():
+    rng = np.random.default_rng(9)
+    blocks = [(rng.zipf(1.2, n) % 50257).astype(np.uint16) for n in (3, 0, 700, 1, 4096, 700, 0, 55)]
+    coded = encode(blocks)
+    assert coded == [encode([b])[0] for b in blocks]
+    assert [b.tolist() for b in decode(coded, list(map(len, blocks)))] == [b.tolist() for b in blocks]
+
+
 def test_token_files(spark):
     docs = documents(spark)
     tk = token_counts.tokenizer(token_counts.TOKENIZER)
