@@ -107,12 +107,15 @@ ACRONYM = r"^[A-Z][A-Z&.]{1,7}$"
 def without_acronym(name: Column) -> Column:
     """A name that has an acronym and what it stands for, without the acronym: 'MIT Massachusetts Institute of
     Technology', '... (MIT)', 'MIT (...)', 'FDA - Food & Drug Administration'. Others stay as they are."""
-    v = tx.clean_whitespace(F.coalesce(name, F.lit("")))
+    return F.when(name.rlike(r"[A-Z][A-Z&.]"), tx.let(tx.clean_whitespace(name), lambda v: F.coalesce(_spelt_out(v), name))).otherwise(name)
+
+
+def _spelt_out(v: Column) -> Column:
+    """What the acronym in a name stands for; null where there is none."""
     shapes = [r"^(\S+)\s*[-‐-―]\s*(.+)$", r"^(\S+)\s*\(([^)]+)\)$", r"^(\S+)\s+(\S+\s.+)$"]
     turned = [r"^(.+\S)\s*[-‐-―]\s*(\S+)$", r"^(.+\S)\s*\(([^)]+)\)$", r"^(\S+\s.*\S)\s+(\S+)$"]
     pairs = [(F.regexp_extract(v, p, 1), F.regexp_extract(v, p, 2)) for p in shapes] + [(F.regexp_extract(v, p, 2), F.regexp_extract(v, p, 1)) for p in turned]
     listed = F.array(*(F.struct(a.alias("short"), b.alias("full")) for a, b in pairs))
     spelt = lambda x: x["short"].rlike(ACRONYM) & (F.coalesce(acronym_slots(x["short"], x["full"])["kind"], F.lit("")) == "initials")
-    full = F.get(F.filter(listed, spelt), F.lit(0))["full"]
-    tidy = F.regexp_replace(F.regexp_replace(full, r"\s*&\s*", " and "), r"^[ ,;\-]+|[ ,;\-]+$", "")
-    return F.when(name.isNull(), name).otherwise(F.coalesce(F.nullif(tidy, F.lit("")), name))
+    tidy = lambda full: F.regexp_replace(F.regexp_replace(full, r"\s*&\s*", " and "), r"^[ ,;\-]+|[ ,;\-]+$", "")
+    return tx.let(tidy(F.get(F.filter(listed, spelt), F.lit(0))["full"]), lambda t: F.when(t != "", t))

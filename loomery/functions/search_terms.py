@@ -83,8 +83,8 @@ def two_terms(text: Column, geo: Column) -> Column:
 
 def normalised(term: Column, geo: Column) -> Column:
     """Upper case, two terms, cut at a word within the width; null for nothing."""
-    cut = F.coalesce(two_terms(term, geo), tx.clean_whitespace(term))
-    return F.nullif(tx.fill_to_width(F.upper(cut), WIDTH), F.lit(""))
+    cut = tx.let(term, lambda t: F.upper(F.coalesce(two_terms(t, geo), tx.clean_whitespace(t))))
+    return tx.let(tx.fill_to_width(cut, WIDTH), lambda t: F.when(t != "", t))
 
 
 def without_ending(host: Column) -> Column:
@@ -98,15 +98,14 @@ def name_handle(name: Column) -> Column:
     """A name's words without legal forms; an '&' stays between two of them."""
     bare = F.transform(_tokens(name), lambda t: F.regexp_replace(t, r"^[ ,.;:()\[\]{}\"']+|[ ,.;:()\[\]{}\"']+$", ""))
     kept = F.filter(bare, lambda t: (t == "&") | (t.rlike(r"[\p{L}\p{N}]") & ~among(F.lower(t), LEGAL)))
-    return F.nullif(F.regexp_replace(F.array_join(kept, " "), r"^(?:& ?)+|(?: ?&)+$", ""), F.lit(""))
+    return tx.let(F.regexp_replace(F.array_join(kept, " "), r"^(?:& ?)+|(?: ?&)+$", ""), lambda t: F.when(t != "", t))
 
 
 def unit_phrase(name: Column) -> Column:
     """A unit's name without the words that only say it is one at its beginning and end; null if nothing is left."""
-    t = F.trim(name)
-    cut = F.when(among(F.lower(t), PREFIXES), "").otherwise(F.regexp_replace(t, rf"(?i)^(?:{'|'.join(p.replace('.', '[.]') for p in PREFIXES)})\s+", ""))
-    cut = F.when(among(F.lower(cut), SUFFIXES), "").otherwise(F.trim(F.regexp_replace(cut, rf"(?i)\s(?:{'|'.join(SUFFIXES)})$", "")))
-    return F.nullif(cut, F.lit(""))
+    head = lambda t: F.when(among(F.lower(t), PREFIXES), "").otherwise(F.regexp_replace(t, rf"(?i)^(?:{'|'.join(p.replace('.', '[.]') for p in PREFIXES)})\s+", ""))
+    tail = lambda t: F.when(among(F.lower(t), SUFFIXES), "").otherwise(F.trim(F.regexp_replace(t, rf"(?i)\s(?:{'|'.join(SUFFIXES)})$", "")))
+    return tx.let(tx.let(tx.let(F.trim(name), head), tail), lambda t: F.when(t != "", t))
 
 
 def is_unit_phrase(name: Column) -> Column:
@@ -120,7 +119,7 @@ def unit_words(text: Column) -> Column:
     words = F.regexp_extract_all(F.array_join(left, " "), F.lit(r"([A-Za-z0-9&\-]+)"), F.lit(1))
     kept = F.filter(words, lambda t: ~among(F.lower(t), STOP[:-1]))
     fits = lambda out, t: F.when(out == "", F.when(t == "&", out).otherwise(t)).when(F.length(out) + 1 + F.length(t) <= WIDTH, F.concat(out, F.lit(" "), t)).otherwise(out)
-    return F.nullif(F.regexp_replace(F.aggregate(kept, F.lit(""), fits), r"(?: &)+$", ""), F.lit(""))
+    return tx.let(F.regexp_replace(F.aggregate(kept, F.lit(""), fits), r"(?: &)+$", ""), lambda t: F.when(t != "", t))
 
 
 def site_of(domain: Column) -> Column:
@@ -136,10 +135,9 @@ def below(domain: Column, base: Column) -> Column:
 def subdomain_acronym(domain: Column, base: Column, name: Column) -> Column:
     """The first label under the institution's domain, where it is the acronym of the unit and no cut word of it."""
     prefix = F.get(F.split(below(domain, base), r"\."), F.lit(0))
-    core = F.coalesce(unit_phrase(name), name)
-    words = F.filter(F.regexp_extract_all(F.lower(core), F.lit("([a-z]+)"), F.lit(1)), lambda w: ~among(w, STOP))
-    cut = F.exists(words, lambda w: tx.segment_matches(prefix, w))
-    return F.when(F.length(prefix).between(2, 6) & ~cut & tx.acronym_matches(prefix, core), F.upper(prefix))
+    words = lambda core: F.filter(F.regexp_extract_all(F.lower(core), F.lit("([a-z]+)"), F.lit(1)), lambda w: ~among(w, STOP))
+    told = lambda core: ~F.exists(words(core), lambda w: tx.segment_matches(prefix, w)) & tx.acronym_matches(prefix, core)
+    return F.when(prefix.isNotNull() & F.length(prefix).between(2, 6) & tx.let(F.coalesce(unit_phrase(name), name), told), F.upper(prefix))
 
 
 def search_term_1(name: Column, domain: Column, acronym: Column, geo: Column) -> Column:
@@ -151,8 +149,8 @@ def search_term_1(name: Column, domain: Column, acronym: Column, geo: Column) ->
 def search_term_2(name: Column, domain: Column, unit_domain: Column, geo: Column, desk: Column, trade_name: Column | None = None) -> Column:
     """``desk``: the unit is a back-office desk; ``trade_name``: the slot holds a trade name, no unit."""
     foreign = (tx.looks_like_research(name) & ~is_unit_phrase(name)) | (trade_name if trade_name is not None else F.lit(False))
-    unit = F.when(~foreign & has_identifying_word(name, geo), tx.nullify(name))
     site = F.coalesce(below(unit_domain, domain), without_ending(site_of(unit_domain)), site_of(unit_domain))
     plain = F.when(~among(F.regexp_replace(F.lower(site), r"^[ ./\-]+|[ ./\-]+$", ""), [*UNITS, *GENERIC_PATHS]), F.nullif(site, F.lit("")))
-    found = F.coalesce(subdomain_acronym(unit_domain, domain, unit), F.nullif(F.regexp_extract(unit, BRACKETED, 1), F.lit("")), unit_words(F.coalesce(unit_phrase(unit), unit)), plain)
-    return normalised(F.when(unit.isNotNull() & desk, "ADMIN").otherwise(found), geo)
+    found = lambda unit: F.coalesce(subdomain_acronym(unit_domain, domain, unit), F.when(unit.rlike(BRACKETED), F.regexp_extract(unit, BRACKETED, 1)), tx.let(F.coalesce(unit_phrase(unit), unit), unit_words), plain)
+    term = lambda unit: F.when(unit.isNotNull() & desk, "ADMIN").otherwise(found(unit))
+    return normalised(tx.let(F.when(~foreign & has_identifying_word(name, geo), tx.nullify(name)), term), geo)

@@ -7,6 +7,7 @@ narrow; evidence comes by joins on the lookup key.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,9 +25,15 @@ from loomery.operators.streets import route_care_of, route_segments
 DEPARTMENTS = NAMES[1:]
 
 
+def spread(df: DataFrame, key: str, rows_a_task: int = 4096) -> DataFrame:
+    """``df`` dealt out by ``key``, ``rows_a_task`` to a partition on average: a record costs near a millisecond, and a table
+    whose few columns fit one split would be one task's work, whatever the number of its rows."""
+    return df.repartition(max(1, math.ceil(df.count() / rows_a_task)), key)
+
+
 def _all(df: DataFrame, columns: list[str], f) -> DataFrame:
-    """``f`` on every slot; it is put into the plan once, for the array of them."""
-    made = df.withColumn("_all", F.transform(F.array(*[F.col(c).cast("string") for c in columns]), lambda x: tx.nullify(f(x))))
+    """``f`` on every slot that isn't null; it is put into the plan once, for the array of them."""
+    made = df.withColumn("_all", F.transform(F.array(*[F.col(c).cast("string") for c in columns]), lambda x: F.when(x.isNotNull(), tx.let(f(x), tx.nullify))))
     return made.withColumns({c: F.get(F.col("_all"), F.lit(k)) for k, c in enumerate(columns)}).drop("_all")
 
 
@@ -52,14 +59,42 @@ def has_room(columns: list[str]) -> Column:
     return F.greatest(*[tx.blank(F.col(c)) for c in columns])
 
 
-def put_all(df: DataFrame, columns: list[str], values: Column, left: str) -> DataFrame:
-    """An array of values into the empty slots, in order; those without a slot are in the column ``left``."""
-    empty = [tx.blank(F.col(c)).cast("int") for c in columns]
-    before = [sum(empty[:k], F.lit(0)) for k in range(len(columns))]
-    df = df.withColumn("_values", F.coalesce(values, F.array().cast("array<string>")))
-    put = {c: F.when(empty[k] == 1, F.get("_values", before[k])).otherwise(F.col(c)) for k, c in enumerate(columns)}
-    room = sum(empty, F.lit(0))
-    return df.withColumns({left: F.slice("_values", room + 1, F.greatest(F.size("_values"), F.lit(1)))} | put).drop("_values")
+SLOTS = "struct<names:array<string>,streets:array<string>,full:boolean>"
+
+
+def fold_slots(df: DataFrame, when: Column, put) -> DataFrame:
+    """Names and streets after ``put(slots, n)`` for n = 0..4 in turn, each on what the one before left; ``slots``
+    is a struct(names, streets, full). Done in the rows with ``when``; the column ``_full`` says what ``full`` ended as."""
+    start = F.struct(F.array(*NAMES).alias("names"), F.array(*STREETS).alias("streets"), F.lit(False).alias("full")).cast(SLOTS)
+    steps = F.array(*[F.lit(n) for n in range(len(STREETS))])
+    df = df.withColumn("_fold", F.when(when, F.aggregate(steps, start, lambda s, n: put(s, n).cast(SLOTS))))
+    made = {c: F.when(F.col("_fold").isNotNull(), F.get(f"_fold.{kind}", F.lit(k))).otherwise(F.col(c)) for kind, slots in (("names", NAMES), ("streets", STREETS)) for k, c in enumerate(slots)}
+    return df.withColumns(made | {"_full": F.coalesce("_fold.full", F.lit(False))}).drop("_fold")
+
+
+def slots_of(names: Column, streets: Column, full: Column) -> Column:
+    return F.struct(names.alias("names"), streets.alias("streets"), full.alias("full"))
+
+
+def with_slot(slots: Column, n: Column, value) -> Column:
+    """An array of slots whose n-th is ``value`` of it."""
+    return F.transform(slots, lambda x, k: F.when(k == n, value(x)).otherwise(x))
+
+
+def with_first_empty(slots: Column, value: Column) -> Column:
+    """An array of slots with ``value`` in the first empty one."""
+    return tx.let(F.array_position(F.transform(slots, tx.blank), True), lambda at: F.transform(slots, lambda x, k: F.when(k + 1 == at, value).otherwise(x)))
+
+
+def with_values(slots: Column, values: Column) -> Column:
+    """An array of slots with an array of values in the empty ones, in order."""
+    before = lambda k: F.size(F.filter(F.slice(slots, F.lit(1), k), tx.blank))
+    return F.transform(slots, lambda x, k: F.when(tx.blank(x), F.get(values, before(k))).otherwise(x))
+
+
+def without_slot(slots: Column, values: Column) -> Column:
+    """Those of the values that ``with_values`` has no slot for."""
+    return F.slice(values, F.size(F.filter(slots, tx.blank)) + 1, F.greatest(F.size(values), F.lit(1)))
 
 
 def raise_flag(df: DataFrame, flag: str, when: Column) -> DataFrame:
@@ -76,7 +111,7 @@ def route_first(df: DataFrame, sources: list[str], f, target: str) -> DataFrame:
     value = F.get(F.filter(F.transform("_x", lambda x: x["value"]), lambda v: v.isNotNull()), F.lit(0))
     got = got.withColumn(target, F.coalesce(tx.nullify(F.col(target)), value))
     same = lambda x: F.coalesce(tx.clean_whitespace(F.lower(x["value"])) == tx.clean_whitespace(F.lower(F.col(target))), F.lit(False))
-    got = got.withColumn("_rest", F.transform("_x", lambda x: F.struct(same(x).alias("placed"), tx.nullify(x["rest"]).alias("text"))))
+    got = got.withColumn("_rest", F.transform("_x", lambda x: F.struct(same(x).alias("placed"), F.when(same(x), tx.nullify(x["rest"])).alias("text"))))
     got = raise_flag(got, f"{target.replace('_', '-')}-conflict", F.exists("_x", lambda x: x["value"].isNotNull() & ~same(x)))
     rest = lambda k: F.get(F.col("_rest"), F.lit(k))
     return got.withColumns({c: F.when(rest(k)["placed"], rest(k)["text"]).otherwise(F.col(c)) for k, c in enumerate(sources)}).drop("_x", "_rest")
@@ -84,7 +119,7 @@ def route_first(df: DataFrame, sources: list[str], f, target: str) -> DataFrame:
 
 def take(f):
     """A plain extraction as struct(value, rest)."""
-    return lambda c: F.struct(f(c).alias("value"), ex.cut_first(c, f(c)).alias("rest"))
+    return lambda c: tx.let(f(c), lambda v: F.struct(v.alias("value"), ex.cut_first(c, v).alias("rest")))
 
 
 #: Parent organisations that units are written behind.
@@ -119,17 +154,48 @@ def split_streets(df: DataFrame, separator: str = r"[|;]") -> DataFrame:
     kind = lambda x: F.when(ex.looks_like_street(x) | ex.has(x, ex.PO_BOX), 0).when(ex.looks_like_department(x) | tx.looks_like_research(x) | tx.is_unit_construction(x), 1).otherwise(2)
     parts_of = lambda x: F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), separator), lambda y: F.trim(y)), lambda y: y != "")
     df = df.withColumn("_cells", F.transform(F.array(*[F.col(c) for c in STREETS]), lambda x: tx.let(parts_of(x), lambda p: F.when(F.size(p) > 1, F.transform(p, lambda y: F.struct(kind(y).alias("k"), y.alias("v")))))))
-    for n, c in enumerate(STREETS):
-        parts = F.get("_cells", F.lit(n))
-        of = lambda k: F.transform(F.filter(parts, lambda p: p["k"] == k), lambda p: p["v"])  # noqa: B023, E731
-        df = df.withColumns({"_several": parts.isNotNull(), "_names": of(1), "_rest": of(2), c: F.when(parts.isNotNull(), F.nullif(F.array_join(of(0), ", "), F.lit(""))).otherwise(F.col(c))})
-        df = put_all(df, NAMES, F.col("_names"), "_names_left")
-        df = put_all(df, STREETS, F.col("_rest"), "_rest_left")
-        left = F.concat("_names_left", "_rest_left")
-        df = raise_flag(df, "street-slots-full", F.col("_several") & (F.size(left) > 0))
-        df = df.withColumn(c, F.when(F.col("_several"), F.nullif(F.array_join(F.filter(F.concat(F.array(F.col(c)), left), lambda x: x.isNotNull()), "; "), F.lit(""))).otherwise(F.col(c)))
-        df = df.drop("_several", "_names", "_rest", "_names_left", "_rest_left")
-    return df.drop("_cells")
+
+    def put(s: Column, n: Column) -> Column:
+        parts = F.get("_cells", n)
+        of = lambda k: F.transform(F.filter(parts, lambda p: p["k"] == k), lambda p: p["v"])
+        joined = lambda pieces, by: F.nullif(F.array_join(pieces, by), F.lit(""))
+        kept = with_slot(s["streets"], n, lambda _: joined(of(0), ", "))
+        left = F.concat(without_slot(s["names"], of(1)), without_slot(kept, of(2)))
+        streets = with_slot(with_values(kept, of(2)), n, lambda x: joined(F.filter(F.concat(F.array(x), left), lambda y: y.isNotNull()), "; "))
+        return F.when(parts.isNotNull(), slots_of(with_values(s["names"], of(1)), streets, s["full"] | (F.size(left) > 0))).otherwise(s)
+
+    df = df.withColumns({c: F.when(~tx.blank(F.col(c)), F.col(c)) for c in NAMES + STREETS})
+    df = fold_slots(df, F.exists("_cells", lambda x: x.isNotNull()), put)
+    return raise_flag(df, "street-slots-full", F.col("_full")).drop("_cells", "_full")
+
+
+def departments_to_names(df: DataFrame) -> DataFrame:
+    """Departments and organisations that stand in streets go to the first empty name; without one they stay."""
+    moves = lambda x: (ex.looks_like_department(x) & ~ex.looks_like_street(x)) | ex.organisation_in_street(x)
+    df = df.withColumn("_moves", F.transform(F.array(*STREETS), moves))
+
+    def put(s: Column, n: Column) -> Column:
+        moved = slots_of(with_first_empty(s["names"], F.get(s["streets"], n)), with_slot(s["streets"], n, lambda _: F.lit(None).cast("string")), s["full"])
+        return F.when(F.get("_moves", n) & F.exists(s["names"], tx.blank), moved).otherwise(s)
+
+    return fold_slots(df, F.exists("_moves", lambda x: x), put).drop("_moves", "_full")
+
+
+def addresses_to_streets(df: DataFrame) -> DataFrame:
+    """An address in a name goes to the first empty street, unless a street says the same; without one it stays in the name."""
+    piece = lambda x: F.when(ex.may_hold_street(x), F.get(F.filter(ex.address_fragments(x), lambda y: ex.looks_like_street(y)), F.lit(0)))
+    df = df.withColumn("_pieces", F.transform(F.array(*NAMES), piece))
+    any_piece = F.exists("_pieces", lambda x: x.isNotNull())
+    known = F.transform(F.array(*STREETS), ex.street_key)
+    df = df.withColumn("_new", F.when(any_piece, tx.let(known, lambda have: F.transform("_pieces", lambda x: F.when(~F.array_contains(have, ex.street_key(x)), x)))))
+
+    def put(s: Column, n: Column) -> Column:
+        out, new = F.get("_pieces", n), F.get("_new", n)
+        names = with_slot(s["names"], n, lambda x: tx.nullify(ex.cut_first(x, out)))
+        streets = F.when(new.isNotNull(), with_first_empty(s["streets"], new)).otherwise(s["streets"])
+        return F.when(out.isNotNull() & (new.isNull() | F.exists(s["streets"], tx.blank)), slots_of(names, streets, s["full"])).otherwise(s)
+
+    return fold_slots(df, any_piece, put).drop("_pieces", "_new", "_full")
 
 
 def split_embedded_department(df: DataFrame) -> DataFrame:
@@ -155,24 +221,12 @@ def preprocess(df: DataFrame) -> DataFrame:
     df = df.withColumn("name_1", cov.without_acronym(F.col("name_1")))
     df = route_care_of(df, DEPARTMENTS)
     df = split_streets(df)
-    for c in STREETS:  # departments and organisations that stand in streets go to names
-        dept = ex.looks_like_department(F.col(c)) & ~ex.looks_like_street(F.col(c))
-        df = df.withColumn("_moves", has_room(NAMES) & (dept | ex.organisation_in_street(F.col(c))))  # without room it stays in the street
-        df = put_first_empty(df, NAMES, F.when(F.col("_moves"), F.col(c))).withColumn(c, F.when(~F.col("_moves"), F.col(c)))
-    df = df.drop("_moves").withColumn("_desk", F.when(has_room(DEPARTMENTS), ex.split_accounts_payable(F.col("name_1"))))
+    df = departments_to_names(df)
+    df = df.withColumn("_desk", F.when(has_room(DEPARTMENTS), ex.split_accounts_payable(F.col("name_1"))))
     df = put_first_empty(df, DEPARTMENTS, F.when(F.col("_desk").isNotNull(), "Accounts Payable")).withColumn("name_1", F.coalesce("_desk", "name_1")).drop("_desk")
     df = df.withColumns({c: F.when(ex.is_accounts_payable(F.col(c)), "Accounts Payable").otherwise(F.col(c)) for c in DEPARTMENTS})
     df = route_first(df, NAMES + STREETS, take(ex.email), "email")
-    # an address in a name goes to the first empty street, unless a street says the same
-    df = df.withColumn("_pieces", F.transform(F.array(*[F.col(c) for c in NAMES]), lambda x: F.get(F.filter(ex.address_fragments(x), lambda y: ex.looks_like_street(y)), F.lit(0))))
-    df = df.withColumn("_known", F.transform(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in STREETS]), lambda x: ex.street_key(x)))
-    df = df.withColumn("_new", F.transform("_pieces", lambda x: F.when(~F.array_contains(F.col("_known"), ex.street_key(x)), x)))
-    for k, c in enumerate(NAMES):
-        piece, new = F.get(F.col("_pieces"), F.lit(k)), F.get(F.col("_new"), F.lit(k))
-        df = df.withColumn("_out", (piece.isNotNull() & new.isNull()) | (new.isNotNull() & has_room(STREETS)))  # without room it stays in the name
-        df = put_first_empty(df, STREETS, F.when(F.col("_out"), new)).withColumn(c, F.when(F.col("_out"), tx.nullify(ex.cut_first(F.col(c), piece))).otherwise(F.col(c)))
-    df = df.drop("_out")
-    df = df.drop("_pieces", "_known", "_new")
+    df = addresses_to_streets(df)
     df = split_brackets(df)
     df = _all(df, NAMES, lambda c: tx.collapse_legal_suffix(ex.normalise_dba(tx.strip_parentheticals(c))))
     df = df.withColumns({c: F.when(~ex.is_opaque_code(F.col(c)), F.col(c)) for c in DEPARTMENTS})
@@ -223,7 +277,7 @@ def process_address(df: DataFrame) -> DataFrame:
 
 def finalise(df: DataFrame) -> DataFrame:
     """Abbreviations, legal forms and unit names made official, Division before Department, changes marked."""
-    df = df.withColumn("name_1", tx.collapse_legal_suffix(tx.expand_abbreviations(F.col("name_1"))))
+    df = df.withColumn("name_1", tx.let(tx.expand_abbreviations(F.col("name_1")), tx.collapse_legal_suffix))
     df = _all(df, DEPARTMENTS, lambda c: F.when(tx.is_granular_unit(c), c).otherwise(tx.canonicalise_unit(c)))
     df = drop_equal_slots(df, NAMES)
     rank = lambda x: F.when(tx.ordered_unit_word(x) == "Division", 0).otherwise(1)

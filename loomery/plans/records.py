@@ -57,7 +57,8 @@ def compare_report(spark, sf_dir):
 
 
 def enrich_records(spark, sf_dir):
-    out = enrich.search_terms(enrich.finalise(enrich.process_address(enrich.preprocess(dirty_records(spark, sf_dir)))))
+    records = enrich.spread(dirty_records(spark, sf_dir), "record_id")
+    out = enrich.search_terms(enrich.finalise(enrich.process_address(enrich.preprocess(records))))
     return out.select("record_id", *enrich.NAMES, *enrich.STREETS, "contact", "email", "care_of", "po_box", "unloading_point", "suite", "room", "floor", "search_term_1", "search_term_2", "name_1_changed")
 
 
